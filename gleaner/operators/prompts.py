@@ -193,7 +193,8 @@ def balanced_sample(
     """
 
     def drawn(salt: int) -> list[Column]:
-        return [F.xxhash64("chunk_id", F.lit(seed + salt)), F.col("chunk_id")]
+        drawn_text = F.concat_ws(":", F.lit(str(seed + salt)), F.col("chunk_id").cast("string"))
+        return [F.md5(drawn_text), F.col("chunk_id")]
 
     keys = with_group_rank(
         chunks.select("chunk_id", "source_type"), ["source_type"], *drawn(0), name="draw"
