@@ -38,7 +38,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(c % 17 == 0, F.concat(F.lit("As an AI "), "replied", F.lit(".")))
         .otherwise(F.concat("replied", F.lit(".")))
     )
-    score = ((c * 37 + F.col("turn") * 11) % 101) / F.lit(100.0)
+    score = ((c * 37 + F.col("turn") * 11) % 101) / F.lit(101.0)
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     return turns(spark, sf_dir).select(
         (c * 100 + F.col("turn")).alias("id"),
@@ -120,7 +120,7 @@ def order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", "approved").otherwise("pending").alias(
             "validation_status"
         ),
-        ((F.col("o_orderkey") % 101) / F.lit(100.0)).alias("quality_score"),
+        ((F.col("o_orderkey") % 101) / F.lit(101.0)).alias("quality_score"),
     )
 
 

@@ -63,7 +63,7 @@ pairs AS (
     ['medquad','rag_ollama','pdf_ollama','pubmed_ollama'][conv_id % 4 + 1] AS source_type,
     CASE WHEN conv_id % 6 <> 0 THEN 'doc' || (conv_id % 9) END AS source_document,
     CASE WHEN conv_id % 5 <> 0 THEN ['gpt-4o','gpt-4o-mini','llama3'][conv_id % 3 + 1] END AS model_used,
-    CASE WHEN conv_id % 8 <> 0 THEN ((conv_id * 37 + turn * 11) % 101) / 100.0::DOUBLE END AS quality_score,
+    CASE WHEN conv_id % 8 <> 0 THEN ((conv_id * 37 + turn * 11) % 101) / 101.0::DOUBLE END AS quality_score,
     ['approved','pending','rejected'][conv_id % 3 + 1] AS validation_status,
     TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id * 7) AS created_at
   FROM turns)
