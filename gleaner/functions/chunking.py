@@ -15,7 +15,7 @@ PRIORITY_SECTIONS = [
 # What a heading line looks like (all capitals, numbered, or
 # short and ending with a colon). Applied to one trimmed line.
 HEADING = (
-    rf"(?s)\A(?:[A-Z][A-Z{WS}]{{4,}}\z"
+    rf"(?sU)\A(?:[A-Z][A-Z{WS}]{{4,}}\z"
     rf"|\p{{Nd}}+\.[\p{{Nd}}.]*[{WS}]+.+\z"
     rf"|.{{5,60}}:[{WS}]*\z)"
 )

@@ -6,9 +6,19 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The code points a Unicode-aware split treats as whitespace.
-# Java's own \s is ASCII-only, hence the explicit class.
-WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# Whitespace as a Unicode-aware split sees it. Java's \s needs (?U) for that and
+# lacks the four separator controls.
+WS = r"\s\x1c-\x1f"
+SPACES = rf"(?U)[{WS}]+"
+
+# The same characters as a set, for trimming.
+WS_CHARS = "".join(
+    map(
+        chr,
+        [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+         0x2028, 0x2029, 0x202F, 0x205F, 0x3000],
+    )
+)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -21,17 +31,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Trim every kind of whitespace (``trim`` only knows the space)."""
-    return F.regexp_replace(text, rf"\A[{WS}]+|[{WS}]+\z", "")
+    """Trim every kind of whitespace (``trim`` alone only knows the space)."""
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def collapse_spaces(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"[{WS}]+", " "))
+    return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
 def words(text: Column) -> Column:
     """Whitespace-separated words, never an empty one."""
-    return F.filter(F.split(text, f"[{WS}]+"), lambda w: w != "")
+    return let(
+        strip(text),
+        lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACES)),
+    )
 
 
 def word_count(text: Column) -> Column:

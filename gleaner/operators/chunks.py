@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.chunking import chunk_article, create_chunks
 from gleaner.functions.text import clean_text, word_count
 from gleaner.operators.ranking import with_global_rank
+from gleaner.session import checkpointed
 from gleaner.sources.articles import display_name, has_full_text
 
 ARTICLE_SOURCE = "pubmed_articles"  # fixed value: all article chunks share one source
@@ -84,8 +85,9 @@ def chunk_articles(
     rows = pieces.select("position", "pmid", "display_name", F.posexplode("_chunks")).select(
         "position", "pmid", "display_name", F.col("pos").alias("_at"), "col.content", "col.section"
     )
+    # ranking reads its input twice (sample, then sort): chunk only once
     ranked = with_global_rank(
-        rows, F.col("position"), F.col("pmid"), F.col("_at"), name="chunk_index"
+        checkpointed(rows), F.col("position"), F.col("pmid"), F.col("_at"), name="chunk_index"
     )
     return ranked.select(
         chunk_id(F.lit(ARTICLE_SOURCE), F.col("chunk_index"), F.col("content")).alias("chunk_id"),
