@@ -6,9 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import normalise_question
-from gleaner.functions.vectors import Encoder, embed, hashing_encoder
-from gleaner.operators.similar_text import DEFAULT_THRESHOLD, similar_pairs
-from gleaner.operators.similar_vectors import cosine_self_pairs
+from gleaner.operators.similar_text import (
+    DEFAULT_THRESHOLD,
+    ROWS_PER_TASK,
+    candidate_pairs,
+    leading_texts,
+    measured_pairs,
+    similar_pairs,
+)
+from gleaner.operators.similar_vectors import (
+    cosine_pairs,
+    cosine_self_pairs,
+    leading_vectors,
+)
 from gleaner.session import checkpointed
 
 TAIL_EDGES = 100_000
@@ -94,8 +104,89 @@ def fuzzy_edges(
     return exact.unionByName(fuzzy)
 
 
+def _text_edges(
+    leaders: DataFrame, rest: DataFrame, nodes: DataFrame, threshold: float
+) -> DataFrame:
+    found = candidate_pairs(leaders, threshold).unionByName(
+        candidate_pairs(leaders, threshold, others=rest)
+    )
+    return measured_pairs(found, nodes, threshold).select("earlier", "later")
+
+
+def _vector_edges(
+    leaders: DataFrame, rest: DataFrame, nodes: DataFrame, threshold: float
+) -> DataFrame:
+    found = cosine_pairs(
+        leaders.select(F.col("gid").alias("lid"), "vec"),
+        leaders.unionByName(rest).select(F.col("gid").alias("rid"), "vec"),
+        threshold,
+    ).filter("lid != rid")
+    place = nodes.select("gid", "order")
+    both = found.join(
+        place.select(F.col("gid").alias("lid"), F.col("order").alias("lo")), "lid"
+    ).join(place.select(F.col("gid").alias("rid"), F.col("order").alias("ro")), "rid")
+    swap = F.col("lo") > F.col("ro")
+    return both.select(
+        F.when(swap, F.col("rid")).otherwise(F.col("lid")).alias("earlier"),
+        F.when(swap, F.col("lid")).otherwise(F.col("rid")).alias("later"),
+    ).distinct()
+
+
+def thin_crowds(
+    nodes: DataFrame,
+    string_threshold: float | None = DEFAULT_THRESHOLD,
+    vector_threshold: float | None = None,
+    hot_rows: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """Nodes left after crowds of near-copies lost all but certain winners.
+
+    A crowd of ``m`` near-copies would make ``m * m`` pairs although its first
+    member rejects the rest. So, while pieces (or neighbourhoods of vectors)
+    hold ``hot_rows`` nodes, their first members are compared with everything;
+    those with no similar node before them are certain to be accepted, and all
+    nodes similar to them leave. What stays is resolved pair by pair.
+
+    ``nodes(gid, order, text[, vec])`` must be checkpointed.
+    """
+    size = nodes.count()
+    while True:
+        leaders = None
+        if string_threshold is not None:
+            leaders = leading_texts(nodes, string_threshold, hot_rows)
+        if vector_threshold is not None:
+            near = leading_vectors(nodes, vector_threshold, hot_rows)
+            leaders = near if leaders is None else leaders.unionByName(near).distinct()
+        chosen = checkpointed(nodes.join(leaders, "gid", "left_semi"))
+        if chosen.isEmpty():
+            return nodes
+        rest = nodes.join(chosen.select("gid"), "gid", "left_anti")
+        edges = None
+        if string_threshold is not None:
+            edges = _text_edges(chosen, rest, nodes, string_threshold)
+        if vector_threshold is not None:
+            close = _vector_edges(chosen, rest, nodes, vector_threshold)
+            edges = close if edges is None else edges.unionByName(close)
+        edges = checkpointed(edges)
+        certain = chosen.select("gid").join(
+            edges.select(F.col("later").alias("gid")), "gid", "left_anti"
+        )
+        beaten = (
+            edges.join(certain, edges["earlier"] == certain["gid"], "left_semi")
+            .select(F.col("later").alias("gid"))
+            .distinct()
+        )
+        nodes = checkpointed(nodes.join(beaten, "gid", "left_anti"))
+        before, size = size, nodes.count()
+        if before - size < hot_rows // 2:  # common phrases, not copies
+            return nodes
+
+
 def dedup_questions(
-    df: DataFrame, position: str, question: str, threshold: float = DEFAULT_THRESHOLD
+    df: DataFrame,
+    position: str,
+    question: str,
+    threshold: float = DEFAULT_THRESHOLD,
+    hot_rows: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Rows that survive first-wins removal of near-equal questions.
 
@@ -103,11 +194,14 @@ def dedup_questions(
     resolved between distinct texts and copies never become edges.
     """
     rows = df.select(F.col(position).alias("at"), normalise_question(F.col(question)).alias("text"))
-    nodes = checkpointed(exact_groups(rows, F.col("text"), "at")).select(
-        F.col("first").alias("gid"), "text"
+    nodes = checkpointed(
+        exact_groups(rows, F.col("text"), "at").select(
+            F.col("first").alias("gid"), F.col("first").alias("order"), "text"
+        )
     )
-    lost = first_wins_rejected(similar_pairs(nodes, threshold)).withColumnRenamed("id", "gid")
-    kept = nodes.select("gid").join(lost, "gid", "left_anti")
+    nodes = thin_crowds(nodes, threshold, hot_rows=hot_rows)
+    lost = first_wins_rejected(similar_pairs(nodes.select("gid", "text"), threshold))
+    kept = nodes.select("gid").join(lost.withColumnRenamed("id", "gid"), "gid", "left_anti")
     return df.join(kept, df[position] == kept["gid"], "left_semi")
 
 
@@ -121,18 +215,22 @@ def semantic_edges(
 
 
 def dedup_vectors(
-    df: DataFrame, position: str, vector: str, threshold: float = DEFAULT_THRESHOLD
+    df: DataFrame,
+    position: str,
+    vector: str,
+    threshold: float = DEFAULT_THRESHOLD,
+    hot_rows: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Rows that survive first-wins removal of close vectors.
 
     Equal vectors are reduced to their first row before any comparison.
     """
-    nodes = checkpointed(df.groupBy(F.col(vector).alias("vec")).agg(F.min(position).alias("gid")))
+    nodes = checkpointed(
+        df.groupBy(F.col(vector).alias("vec"))
+        .agg(F.min(position).alias("gid"))
+        .select("gid", F.col("gid").alias("order"), "vec")
+    )
+    nodes = thin_crowds(nodes, None, threshold, hot_rows)
     lost = first_wins_rejected(cosine_self_pairs(nodes.select("gid", "vec"), threshold))
     kept = nodes.select("gid").join(lost.withColumnRenamed("id", "gid"), "gid", "left_anti")
     return df.join(kept, df[position] == kept["gid"], "left_semi")
-
-
-def embed_questions(texts: DataFrame, encoder: Encoder = hashing_encoder) -> DataFrame:
-    """``(gid, vec)`` of normalised questions."""
-    return texts.select("gid", embed(F.col("text"), encoder).alias("vec"))

@@ -30,6 +30,7 @@ from gleaner.session import checkpointed
 DEFAULT_THRESHOLD = 0.92
 PIECE = 5  # longest piece; shorter texts use shorter ones
 EPS = 1e-9
+ROWS_PER_TASK = 20_000
 
 # Fourteen character groups plus "everything else"; any grouping is lossless.
 GROUPS = ["e", "t", "a", "o", "i", "n", "s", "r", "h", "l", "d", "cu", "mpfg", " "]
@@ -102,56 +103,64 @@ def _substrings(threshold: float) -> Column:
     )
 
 
-def candidate_pairs(
-    texts: DataFrame, threshold: float = DEFAULT_THRESHOLD, rows_per_task: int = 20_000
-) -> DataFrame:
-    """Unordered pairs ``(a, b)`` of ``texts(gid, text)`` that may be similar.
-
-    ``texts`` must hold distinct texts. No similar pair is missed.
-    """
-    if not 0.75 <= threshold <= 1:
-        raise ValueError("threshold must lie between 0.75 and 1")
+def _prepared(texts: DataFrame) -> DataFrame:
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = (
+    return (
         # each text becomes about as many rows as it has characters: spread first
         texts.repartition(parts, "gid")
         .select("gid", "text", F.length("text").alias("len"), _profile(F.col("text")).alias("p"))
         .select("gid", "text", "len", *[F.col("p")[i].alias(f"p{i}") for i in range(3)])
     )
-    facts = ["gid", "len", "p0", "p1", "p2"]
-    pieces = checkpointed(
+
+
+FACTS = ["gid", "len", "p0", "p1", "p2"]
+
+
+def _pieces(base: DataFrame, threshold: float) -> DataFrame:
+    return (
         # a shorter text leaves its partners no room for an unmatched character
         base.filter(_unmatched(F.col("len") * 2, threshold) >= 1)
-        .select(*facts, F.explode(_cut_points(threshold)).alias("c"))
-        .select(*facts, "c.key", "c.at")
+        .select(*FACTS, F.explode(_cut_points(threshold)).alias("c"))
+        .select(*FACTS, "c.key", "c.at")
+    )
+
+
+def _grams(base: DataFrame, threshold: float) -> DataFrame:
+    return base.select(*FACTS, F.explode(_substrings(threshold)).alias("c")).select(
+        *FACTS, "c.key", "c.at"
     )
-    usage = pieces.groupBy("key").count()
-    total = pieces.count()
-    # At most total / floor keys can reach the floor, so the list stays below
-    # 50,000 entries whatever the data size.
-    floor = max(rows_per_task // 10, math.ceil(total / 50_000), 2)
-    frequent = checkpointed(usage.filter(F.col("count") >= floor))
+
+
+def _frequent(pieces: DataFrame, rows_per_task: int) -> DataFrame:
+    """Keys held by many pieces, with their counts.
+
+    At most ``total / floor`` keys can reach the floor, so the list stays
+    below 50,000 entries whatever the data size and may be broadcast.
+    """
+    floor = max(rows_per_task // 10, math.ceil(pieces.count() / 50_000), 2)
+    return checkpointed(pieces.groupBy("key").count().filter(F.col("count") >= floor))
+
+
+def _matched(
+    pieces: DataFrame, grams: DataFrame, frequent: DataFrame, threshold: float, rows_per_task: int
+) -> DataFrame:
+    """Pairs whose longer text has a rare piece at a possible place of the other."""
     needed = (_unmatched(F.col("len") * 2, threshold) + 1).cast("int")
     rarest = (
         pieces.join(F.broadcast(frequent), "key", "left")
-        .groupBy(*facts)
+        .groupBy(*FACTS)
         .agg(
             F.sort_array(
                 F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("uses"), "at", "key"))
             ).alias("c")
         )
-        .select(*facts, F.explode(F.slice("c", F.lit(1), needed)).alias("c"))
-        .select(*facts, "c.key", "c.at")
-    )
-    grams = base.select(*facts, F.explode(_substrings(threshold)).alias("c")).select(
-        *facts, "c.key", "c.at"
+        .select(*FACTS, F.explode(F.slice("c", F.lit(1), needed)).alias("c"))
+        .select(*FACTS, "c.key", "c.at")
     )
     # A frequent key is spread over several tasks: substrings draw one salt,
     # pieces are repeated for each.
     salts = F.broadcast(
-        frequent.select(
-            "key", F.ceil(F.col("count") / rows_per_task).cast("int").alias("salts")
-        )
+        frequent.select("key", F.ceil(F.col("count") / rows_per_task).cast("int").alias("salts"))
     )
     n_salts = F.coalesce(F.col("salts"), F.lit(1))
     long_side = (
@@ -169,20 +178,64 @@ def candidate_pairs(
     la, lb = F.col("a.len"), F.col("b.len")
     room = _unmatched(la + lb, threshold)
     shift = F.col("b.at") - F.col("a.at")
+    return long_side.join(
+        short_side,
+        (F.col("a.key") == F.col("b.key"))
+        & (F.col("a.salt") == F.col("b.salt"))
+        & ((lb < la) | ((lb == la) & (F.col("b.gid") != F.col("a.gid"))))
+        & (la - lb <= room)
+        & (shift * 2 <= room - (la - lb))
+        & (-shift * 2 <= room + (la - lb))
+        & (_profile_gap("a", "b") <= room),
+    ).select(F.least("a.gid", "b.gid").alias("a"), F.greatest("a.gid", "b.gid").alias("b"))
+
+
+def candidate_pairs(
+    texts: DataFrame,
+    threshold: float = DEFAULT_THRESHOLD,
+    rows_per_task: int = ROWS_PER_TASK,
+    others: DataFrame | None = None,
+) -> DataFrame:
+    """Unordered pairs ``(a, b)`` of ``texts(gid, text)`` that may be similar.
+
+    With ``others`` the pairs join a text to one of the other table instead.
+    Texts must be distinct, over both tables. No similar pair is missed.
+    """
+    if not 0.75 <= threshold <= 1:
+        raise ValueError("threshold must lie between 0.75 and 1")
+    left = _prepared(texts)
+    pieces = checkpointed(_pieces(left, threshold))
+    frequent = _frequent(pieces, rows_per_task)
+    if others is None:
+        grams = _grams(left, threshold)
+        return _matched(pieces, grams, frequent, threshold, rows_per_task).distinct()
+    right = _prepared(others)
+    right_pieces = checkpointed(_pieces(right, threshold))
+    one_way = _matched(pieces, _grams(right, threshold), frequent, threshold, rows_per_task)
+    other_way = _matched(
+        right_pieces,
+        _grams(left, threshold),
+        _frequent(right_pieces, rows_per_task),
+        threshold,
+        rows_per_task,
+    )
+    return one_way.unionByName(other_way).distinct()
+
+
+def leading_texts(
+    nodes: DataFrame, threshold: float = DEFAULT_THRESHOLD, hot_rows: int = ROWS_PER_TASK
+) -> DataFrame:
+    """First text (by ``order``) behind every piece that ``hot_rows`` texts share.
+
+    ``nodes(gid, text, order)``; returns ``(gid)``, empty when no piece is hot.
+    """
+    pieces = _pieces(_prepared(nodes), threshold).select("gid", "key")
     return (
-        long_side.join(
-            short_side,
-            (F.col("a.key") == F.col("b.key"))
-            & (F.col("a.salt") == F.col("b.salt"))
-            & ((lb < la) | ((lb == la) & (F.col("b.gid") < F.col("a.gid"))))
-            & (la - lb <= room)
-            & (shift * 2 <= room - (la - lb))
-            & (-shift * 2 <= room + (la - lb))
-            & (_profile_gap("a", "b") <= room),
-        )
-        .select(
-            F.least("a.gid", "b.gid").alias("a"), F.greatest("a.gid", "b.gid").alias("b")
-        )
+        pieces.join(nodes.select("gid", "order"), "gid")
+        .groupBy("key")
+        .agg(F.count("*").alias("texts"), F.min_by("gid", "order").alias("gid"))
+        .filter(F.col("texts") >= hot_rows)
+        .select("gid")
         .distinct()
     )
 
@@ -200,17 +253,22 @@ def _common_subsequence(a: str, b: str) -> int:
     return len(a) - open_bits.bit_count()
 
 
+def _bigrams(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.bincount((codes[:-1] * 31 + codes[1:]) % 2048, minlength=2048)
+
+
 def _ratio(later: str, earlier: str, threshold: float) -> float:
     """The ratio, or -1 once a bound on it rules the threshold out.
 
-    Matched characters form a common subsequence, which in turn cannot use a
-    character more often than both texts hold it; both bounds are far cheaper
-    than the ratio itself.
+    ``M`` matched characters in ``B`` blocks share ``M - B`` bigrams, and every
+    block but one costs an unmatched character. They also form a common
+    subsequence. Both bounds are far cheaper than the ratio itself.
     """
-    needed = threshold * (len(later) + len(earlier)) / 2 - EPS
-    x = np.bincount(np.frombuffer(later.encode("utf-32-le"), np.uint32) % 256, minlength=256)
-    y = np.bincount(np.frombuffer(earlier.encode("utf-32-le"), np.uint32) % 256, minlength=256)
-    if np.minimum(x, y).sum() < needed or _common_subsequence(later, earlier) < needed:
+    total = len(later) + len(earlier)
+    needed = threshold * total / 2 - EPS
+    shared = np.minimum(_bigrams(later), _bigrams(earlier)).sum()
+    if shared < 3 * needed - total - 1 or _common_subsequence(later, earlier) < needed:
         return -1.0
     return difflib.SequenceMatcher(None, later, earlier).ratio()
 
@@ -226,27 +284,49 @@ def similarity(later: Column, earlier: Column, threshold: float = DEFAULT_THRESH
     return measured(later, earlier)
 
 
-def similar_pairs(
-    texts: DataFrame, threshold: float = DEFAULT_THRESHOLD, rows_per_task: int = 20_000
+def measured_pairs(
+    pairs: DataFrame, nodes: DataFrame, threshold: float = DEFAULT_THRESHOLD
 ) -> DataFrame:
-    """Ordered pairs ``(earlier, later, ratio)`` at or above the threshold.
+    """Candidate pairs that are similar, as ``(earlier, later, ratio)`` gids.
 
-    ``texts(gid, text)`` holds distinct normalised texts; the smaller ``gid``
-    is the earlier one. The ratio is not symmetric, hence the order matters.
+    ``nodes(gid, text, order)`` says which of the two comes first; the ratio is
+    not symmetric.
     """
-    pairs = candidate_pairs(texts, threshold, rows_per_task)
-    first = texts.select(F.col("gid").alias("a"), F.col("text").alias("earlier_text"))
-    second = texts.select(F.col("gid").alias("b"), F.col("text").alias("later_text"))
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def side(gid: str) -> DataFrame:
+        return nodes.select(
+            F.col("gid").alias(gid), F.struct("order", "gid", "text").alias(f"node_{gid}")
+        )
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    swap = F.col("node_a.order") > F.col("node_b.order")
+    ordered = both.select(
+        F.when(swap, F.col("node_b")).otherwise(F.col("node_a")).alias("first"),
+        F.when(swap, F.col("node_a")).otherwise(F.col("node_b")).alias("second"),
+    )
     return (
-        pairs.join(first, "a")
-        .join(second, "b")
         # measuring is costly per row, so do not let small rows share one task
-        .repartition(parts, "a", "b")
+        ordered.repartition(parts, "first.gid", "second.gid")
         .select(
-            F.col("a").alias("earlier"),
-            F.col("b").alias("later"),
-            similarity(F.col("later_text"), F.col("earlier_text"), threshold).alias("ratio"),
+            F.col("first.gid").alias("earlier"),
+            F.col("second.gid").alias("later"),
+            similarity(F.col("second.text"), F.col("first.text"), threshold).alias("ratio"),
         )
         .filter(F.col("ratio") >= threshold)
     )
+
+
+def similar_pairs(
+    texts: DataFrame, threshold: float = DEFAULT_THRESHOLD, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Ordered pairs ``(earlier, later, ratio)`` at or above the threshold.
+
+    ``texts(gid, text)`` holds distinct normalised texts; the smaller ``gid``
+    is the earlier one.
+    """
+    return measured_pairs(
+        candidate_pairs(texts, threshold, rows_per_task),
+        texts.select("gid", "text", F.col("gid").alias("order")),
+        threshold,
+    )

@@ -23,10 +23,13 @@ from gleaner.session import checkpointed
 SLACK = 1e-6  # angles come from rounded cosines
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(norms == 0, 1.0, norms)
+
+
 def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = vectors / np.where(norms == 0, 1.0, norms)
-    return np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))
+    return np.arccos(np.clip(_unit(vectors) @ pivots.T, -1.0, 1.0))
 
 
 def _by_cell(sizes: dict[int, int], tile_rows: int) -> Column:
@@ -53,9 +56,7 @@ def cosine_pairs(
         return left.select("lid").join(right.select("rid"), F.lit(False)).select(
             "lid", "rid", F.lit(0.0).alias("score")
         )
-    centres = np.array([r["vec"] for r in chosen], dtype=np.float64)
-    norms = np.linalg.norm(centres, axis=1, keepdims=True)
-    centres = centres / np.where(norms == 0, 1.0, norms)
+    centres = _unit(np.array([r["vec"] for r in chosen], dtype=np.float64))
     theta = math.acos(min(1.0, max(-1.0, threshold)))
 
     def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,6 +127,40 @@ def cosine_pairs(
     )
 
 
+def leading_vectors(
+    nodes: DataFrame, threshold: float, hot_rows: int, pivots: int = 16
+) -> DataFrame:
+    """First node (by ``order``) of every neighbourhood holding ``hot_rows`` nodes.
+
+    ``nodes(gid, order, vec)``. Nodes within half the angle of a sampled pivot
+    are close to each other; a group holding a good share of all nodes is met
+    by some pivot with near certainty, and missing one only costs time.
+    """
+    chosen = nodes.orderBy(F.xxhash64("gid"), "gid").limit(pivots).collect()
+    kind = nodes.schema["gid"].dataType.simpleString()
+    if not chosen:
+        return nodes.select("gid")
+    centres = _unit(np.array([r["vec"] for r in chosen], dtype=np.float64))
+    half = math.acos(min(1.0, max(-1.0, threshold))) / 2
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                row, cell = np.nonzero(_angles(stacked(pdf["vec"]), centres) <= half)
+                yield pdf.iloc[row][["gid", "order"]].assign(cell=cell)
+
+    order = nodes.schema["order"].dataType.simpleString()
+    return (
+        nodes.select("gid", "order", "vec")
+        .mapInPandas(members, f"gid {kind}, order {order}, cell int")
+        .groupBy("cell")
+        .agg(F.count("*").alias("n"), F.min_by("gid", "order").alias("gid"))
+        .filter(F.col("n") >= hot_rows)
+        .select("gid")
+        .distinct()
+    )
+
+
 def cosine_self_pairs(
     vectors: DataFrame, threshold: float, tile_rows: int = 4_096, pivots: int = 16
 ) -> DataFrame:

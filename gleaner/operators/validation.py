@@ -6,9 +6,15 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import quality
 from gleaner.functions.text import normalise_question
-from gleaner.functions.vectors import Encoder, hashing_encoder
-from gleaner.operators.dedup import embed_questions, exact_groups, first_wins_rejected
-from gleaner.operators.similar_text import DEFAULT_THRESHOLD, candidate_pairs, similarity
+from gleaner.functions.vectors import Encoder, embed, hashing_encoder
+from gleaner.operators.dedup import exact_groups, first_wins_rejected, thin_crowds
+from gleaner.operators.similar_text import (
+    DEFAULT_THRESHOLD,
+    ROWS_PER_TASK,
+    candidate_pairs,
+    measured_pairs,
+    similarity,
+)
 from gleaner.operators.similar_vectors import cosine_self_pairs
 from gleaner.session import checkpointed
 
@@ -66,6 +72,7 @@ def validate_pairs(
     encoder: Encoder = hashing_encoder,
     string_threshold: float = DEFAULT_THRESHOLD,
     semantic_threshold: float = DEFAULT_THRESHOLD,
+    hot_rows: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Validate pairs in the order of ``position`` (unique, not negative).
 
@@ -119,49 +126,59 @@ def validate_pairs(
         )
         .withColumn("gid", F.xxhash64("text"))
     )
-    pairs_found = checkpointed(_both_ways(nodes, string_threshold))
-    leads = nodes.filter("lead is not null")
-    # Texts equal or similar to a seed can never be accepted.
-    by_seed = (
-        nodes.filter("seed_at is not null")
-        .select("gid")
-        .unionByName(
-            pairs_found.join(
-                nodes.filter("seed_at is not null").select(F.col("gid").alias("leader")), "leader"
-            ).select("gid")
+    seed_nodes = nodes.filter("seed_at is not null")
+    plain = nodes.filter("seed_at is null")
+    from_seeds = checkpointed(
+        _led(
+            candidate_pairs(seed_nodes, string_threshold, others=plain),
+            seed_nodes.withColumn("order", F.lit(-1).cast("long")),
+            plain,
+            string_threshold,
         )
-        .distinct()
     )
-    open_leads = leads.join(by_seed, "gid", "left_anti").select("gid", "lead", "text")
-    ends = open_leads.select("gid", "lead")
-    string_edges = (
-        pairs_found.join(ends.select("gid", F.col("lead").alias("later")), "gid")
-        .join(ends.select(F.col("gid").alias("leader"), F.col("lead").alias("earlier")), "leader")
-        .filter("earlier < later")
-        .select("earlier", "later")
+    # Texts equal or similar to a seed can never be accepted.
+    open_leads = checkpointed(
+        plain.filter("lead is not null")
+        .join(from_seeds.select("gid"), "gid", "left_anti")
+        .select("gid", F.col("lead").alias("order"), "text")
+        .withColumn("vec", embed(F.col("text"), encoder))
     )
-    vectors = checkpointed(
-        embed_questions(open_leads.select(F.col("lead").alias("gid"), "text"), encoder)
+    rivals = thin_crowds(open_leads, string_threshold, semantic_threshold, hot_rows)
+    string_edges = measured_pairs(
+        candidate_pairs(rivals, string_threshold), rivals, string_threshold
+    ).select("earlier", "later")
+    order_of = rivals.select("gid", "order")
+    close = cosine_self_pairs(
+        rivals.select(F.col("order").alias("gid"), "vec"), semantic_threshold
+    ).select("earlier", "later")
+    by_order = (
+        string_edges.join(order_of.select(F.col("gid").alias("earlier"), F.col("order").alias("e")),
+                          "earlier")
+        .join(order_of.select(F.col("gid").alias("later"), F.col("order").alias("l")), "later")
+        .select(F.col("e").alias("earlier"), F.col("l").alias("later"))
     )
-    close = checkpointed(cosine_self_pairs(vectors, semantic_threshold))
-    edges = string_edges.unionByName(close.select("earlier", "later"))
-    lost = first_wins_rejected(edges)
+    lost = first_wins_rejected(by_order.unionByName(close))
     winners = checkpointed(
-        open_leads.join(lost, open_leads["lead"] == lost["id"], "left_anti").select("gid", "lead")
+        rivals.select("gid", "order", "text").join(
+            lost, rivals["order"] == lost["id"], "left_anti"
+        )
+    )
+    # Every tested text against the winners, which are few in a crowd of copies.
+    losers = plain.join(winners.select("gid"), "gid", "left_anti")
+    from_winners = _led(
+        candidate_pairs(winners, string_threshold, others=losers), winners, losers, string_threshold
     )
-    leaders = winners.select("gid", F.col("lead").alias("order")).unionByName(
+    leaders = winners.select("gid", "order").unionByName(
         # seeds precede every row; their own order decides between them
-        nodes.filter("seed_at is not null").select(
-            "gid", (F.col("seed_at") - F.lit(1 << 62)).alias("order")
-        )
+        seed_nodes.select("gid", (F.col("seed_at") - F.lit(1 << 62)).alias("order"))
     )
     first = _first_match(
         tested.select("at", F.xxhash64("text").alias("gid")),
         leaders,
-        pairs_found,
+        from_seeds.unionByName(from_winners),
     ).join(nodes.select(F.col("gid").alias("duplicate_gid"), F.col("text").alias("duplicate_of")),
            "duplicate_gid")
-    accepted = winners.select(F.col("lead").alias("at"), F.lit(True).alias("won"))
+    accepted = winners.select(F.col("order").alias("at"), F.lit(True).alias("won"))
     checked = judged.join(first.select("at", "similarity", "duplicate_of"), "at", "left").join(
         accepted, "at", "left"
     )
@@ -187,27 +204,23 @@ def validate_pairs(
     return pairs.join(outcome, position)
 
 
-def _both_ways(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Similar texts as ``(gid, leader, ratio)``, the leader being the earlier list entry.
+def _led(pairs: DataFrame, leaders: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs of a leader and a row text as ``(gid, leader, ratio)``.
 
-    The ratio is measured with the leader as the listed question. Positions
-    differ per row, so both directions are measured where both can occur.
+    ``leaders(gid, order, text)``; ``rows(gid, last, text)``, ``last`` being the
+    last position that holds the text: a leader behind it is not measured.
     """
-    found = candidate_pairs(nodes.select("gid", "text"), threshold)
-    directed = found.select(F.col("a").alias("gid"), F.col("b").alias("leader")).unionByName(
-        found.select(F.col("b").alias("gid"), F.col("a").alias("leader"))
+    ends = pairs.select(F.col("a").alias("gid"), F.col("b").alias("leader")).unionByName(
+        pairs.select(F.col("b").alias("gid"), F.col("a").alias("leader"))
     )
-    listed = nodes.filter("lead is not null or seed_at is not null").select(
-        F.col("gid").alias("leader"),
-        F.col("text").alias("leader_text"),
-        F.when(F.col("seed_at").isNotNull(), F.lit(-1)).otherwise(F.col("lead")).alias("from"),
+    listed = leaders.select(
+        F.col("gid").alias("leader"), F.col("text").alias("leader_text"), "order"
     )
-    rows = nodes.filter("last is not null").select("gid", "text", "last")
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        directed.join(listed, "leader")
-        .join(rows, "gid")
-        .filter(F.col("last") > F.col("from"))
+        ends.join(listed, "leader")
+        .join(rows.select("gid", "text", "last"), "gid")
+        .filter(F.col("last") > F.col("order"))
         .repartition(parts, "gid", "leader")
         .select(
             "gid",
@@ -264,9 +277,10 @@ def store_curated(pairs: DataFrame, position: str) -> DataFrame:
     nodes = checkpointed(exact_groups(rows, F.col("text"), "at").withColumn("gid", F.col("first")))
     # First holder of each text leads; a pair of texts matters from the later
     # text's last row on, in either direction.
-    found = _both_ways(
-        nodes.select("gid", "text", F.col("first").alias("lead"), "last",
-                     F.lit(None).cast("long").alias("seed_at")),
+    found = _led(
+        candidate_pairs(nodes.select("gid", "text")),
+        nodes.withColumn("order", F.col("first")),
+        nodes,
         DEFAULT_THRESHOLD,
     )
     held = rows.join(nodes.select("text", "gid"), "text").select("at", "gid")

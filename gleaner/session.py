@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +42,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
             configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(configured)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Arrow functions are pickled by module name, so workers must be able to
+    import the package wherever the driver was started.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parent
+        stem = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), root.name)
+        spark.sparkContext.addPyFile(shutil.make_archive(stem, "zip", root.parent, root.name))
+        _shipped.add(app)
