@@ -149,7 +149,7 @@ def thin_crowds(
     ``nodes(gid, order, text[, vec])`` must be checkpointed.
     """
     size = nodes.count()
-    while True:
+    while size >= hot_rows:
         leaders = None
         if string_threshold is not None:
             leaders = leading_texts(nodes, string_threshold, hot_rows)
@@ -178,7 +178,8 @@ def thin_crowds(
         nodes = checkpointed(nodes.join(beaten, "gid", "left_anti"))
         before, size = size, nodes.count()
         if before - size < hot_rows // 2:  # common phrases, not copies
-            return nodes
+            break
+    return nodes
 
 
 def dedup_questions(

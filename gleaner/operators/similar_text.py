@@ -137,7 +137,10 @@ def _frequent(pieces: DataFrame, rows_per_task: int) -> DataFrame:
     At most ``total / floor`` keys can reach the floor, so the list stays
     below 50,000 entries whatever the data size and may be broadcast.
     """
-    floor = max(rows_per_task // 10, math.ceil(pieces.count() / 50_000), 2)
+    total = pieces.count()
+    floor = max(rows_per_task // 10, math.ceil(total / 50_000), 2)
+    if total < floor:
+        return pieces.sparkSession.createDataFrame([], "key long, count long")
     return checkpointed(pieces.groupBy("key").count().filter(F.col("count") >= floor))
 
 

@@ -128,14 +128,17 @@ def validate_pairs(
     )
     seed_nodes = nodes.filter("seed_at is not null")
     plain = nodes.filter("seed_at is null")
-    from_seeds = checkpointed(
-        _led(
-            candidate_pairs(seed_nodes, string_threshold, others=plain),
-            seed_nodes.withColumn("order", F.lit(-1).cast("long")),
-            plain,
-            string_threshold,
+    if seeds is None:
+        from_seeds = judged.sparkSession.createDataFrame([], "gid long, leader long, ratio double")
+    else:
+        from_seeds = checkpointed(
+            _led(
+                candidate_pairs(seed_nodes, string_threshold, others=plain),
+                seed_nodes.withColumn("order", F.lit(-1).cast("long")),
+                plain,
+                string_threshold,
+            )
         )
-    )
     # Texts equal or similar to a seed can never be accepted.
     open_leads = checkpointed(
         plain.filter("lead is not null")

@@ -94,8 +94,10 @@ def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")
     )
-    return vectors.join(texts, "chunk_id", "left").select(
-        "*", F.length("content").alias("word_count")
+    return (
+        vectors.join(texts, "chunk_id", "left")
+        .withColumn("content", F.coalesce("content", F.lit("")))
+        .withColumn("word_count", F.length("content"))
     )
 
 

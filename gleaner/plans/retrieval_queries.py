@@ -69,7 +69,7 @@ def diverse_top_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(DIVERSE + """SELECT query, rank, chunk_id, c.source_filename, round(score, 6) AS score,
-  d.text AS content, (SELECT count(*) FROM embeddings) AS total_indexed
+  coalesce(d.text, '') AS content, (SELECT count(*) FROM embeddings) AS total_indexed
 FROM chosen c LEFT JOIN documents d ON d.doc_id = c.chunk_id""")
 def topic_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = retrieval.retrieve(
@@ -81,13 +81,13 @@ def topic_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(DIVERSE + """SELECT query, string_agg(chunk_id || ':' || source_filename || ':' || (chunk_id % 40)
-  || ':' || printf('%.4f', round(score, 4)) || ':' || left(text, 200), '|' ORDER BY rank) AS citations,
+  || ':' || printf('%.4f', round(score, 4)) || ':' || left(coalesce(text, ''), 200), '|' ORDER BY rank) AS citations,
   string_agg(chunk_id::VARCHAR, ',' ORDER BY rank) AS ids
-FROM chosen c JOIN documents d ON d.doc_id = c.chunk_id GROUP BY query""")
+FROM chosen c LEFT JOIN documents d ON d.doc_id = c.chunk_id GROUP BY query""")
 def topic_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = inputs.vector_chunks(spark, sf_dir)
     rows = retrieval.evidence_lists(
-        retrieval.retrieve(inputs.topics(spark, sf_dir), chunks.filter("content is not null"), TOP_K)
+        retrieval.retrieve(inputs.topics(spark, sf_dir), chunks, TOP_K)
     )
     shown = F.transform(
         "citations",
@@ -204,7 +204,7 @@ FILLED = template_sql(
 @query(f"""WITH {HITS}, {diverse_sql('k0', '5')}, {diverse_sql('k1', '6')}, {diverse_sql('k2', '7')},
 picked AS (SELECT 0 AS variant, * FROM k0 UNION ALL SELECT 1, * FROM k1 UNION ALL SELECT 2, * FROM k2),
 sized AS (SELECT *, count(*) OVER (PARTITION BY query, variant) AS n
-  FROM picked p JOIN documents d ON d.doc_id = p.chunk_id),
+  FROM picked p LEFT JOIN documents d ON d.doc_id = p.chunk_id),
 per AS (SELECT greatest(1, {PLAN_TARGET} // greatest(count(*), 1)) AS per_term FROM topics),
 found AS (SELECT query, row_number() OVER (ORDER BY position) - 1 AS place
   FROM topics WHERE query IN (SELECT query FROM hits)),
@@ -212,7 +212,7 @@ plan AS (SELECT query, turn, place * per_term + turn AS prompt_index FROM (
   SELECT query, place, per_term, unnest(range(0, per_term)) AS turn FROM found, per)),
 blocks AS (
   SELECT l.prompt_index, l.query AS query_term,
-    string_agg('--- Medical Source (' || s.source_filename || ') ---' || chr(10) || s.text, chr(10) || chr(10)
+    string_agg('--- Medical Source (' || s.source_filename || ') ---' || chr(10) || coalesce(s.text, ''), chr(10) || chr(10)
       ORDER BY (s.rank - 1 - l.turn % s.n + s.n) % s.n) AS block,
     arg_min(s.chunk_id, (s.rank - 1 - l.turn % s.n + s.n) % s.n) AS primary_chunk_id,
     string_agg(s.chunk_id::VARCHAR, ',' ORDER BY s.rank) AS cited
@@ -224,7 +224,7 @@ SELECT prompt_index, query_term, primary_chunk_id, cited,
 def evidence_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = prompts.rag_prompts(
         inputs.topics(spark, sf_dir),
-        inputs.vector_chunks(spark, sf_dir).filter("content is not null"),
+        inputs.vector_chunks(spark, sf_dir),
         "cardiology", PLAN_TYPES, PLAN_LEVELS, PLAN_TARGET,
     )
     return plan.select(

@@ -13,5 +13,7 @@ def spark():
     session = local_session("tests")
     session.sparkContext.setLogLevel("ERROR")
     ship_package(session)
+    for module in Path(__file__).parent.glob("test_*.py"):
+        session.sparkContext.addPyFile(str(module))  # stand-in generators live there
     yield session
     session.stop()
