@@ -144,6 +144,41 @@ def _frequent(pieces: DataFrame, rows_per_task: int) -> DataFrame:
     return checkpointed(pieces.groupBy("key").count().filter(F.col("count") >= floor))
 
 
+def _growth(threshold: float) -> float:
+    """More than the largest length ratio of two similar texts."""
+    return max((2 - threshold) / threshold, 1.01) * 1.000001
+
+
+def _band(threshold: float) -> Column:
+    """Length band; a similar shorter text lies in the same band or the one below."""
+    return F.floor(F.log(F.col("len").cast("double")) / math.log(_growth(threshold))).cast("int")
+
+
+def _slot_width(band: Column, threshold: float) -> Column:
+    """About the widest shift of a piece within the band, so a few slots cover it."""
+    longest = F.pow(F.lit(_growth(threshold)), band + 1)
+    return F.greatest(F.lit(16.0), longest * 2 * (1 - threshold))
+
+
+def _long_places(pieces: DataFrame, threshold: float) -> DataFrame:
+    """Pieces under every (length band, position slot) a partner may have them in."""
+    reach = _unmatched(F.col("len") * 2, threshold)
+    banded = pieces.withColumn("band", F.explode(F.array(_band(threshold) - 1, _band(threshold))))
+    width = _slot_width(F.col("band"), threshold)
+    slots = F.sequence(
+        F.floor((F.col("at") - reach) / width), F.floor((F.col("at") + reach) / width)
+    )
+    return banded.withColumn("slot", F.explode(slots)).withColumn(
+        "key", F.xxhash64("key", "band", "slot")
+    )
+
+
+def _short_places(grams: DataFrame, threshold: float) -> DataFrame:
+    banded = grams.withColumn("band", _band(threshold))
+    slot = F.floor(F.col("at") / _slot_width(F.col("band"), threshold))
+    return banded.withColumn("key", F.xxhash64("key", "band", slot))
+
+
 def _matched(
     pieces: DataFrame, grams: DataFrame, frequent: DataFrame, threshold: float, rows_per_task: int
 ) -> DataFrame:
@@ -170,14 +205,16 @@ def _matched(
         rarest.join(salts, "key", "left")
         .withColumn("salt", F.explode(F.sequence(F.lit(0), n_salts - 1)))
         .drop("salts")
-        .alias("a")
     )
     short_side = (
         grams.join(salts, "key", "left")
         .withColumn("salt", F.pmod(F.xxhash64("gid"), n_salts).cast("int"))
         .drop("salts")
-        .alias("b")
     )
+    # Length band and position slot join the key: a common phrase meets only
+    # texts of similar length that hold it at a similar place.
+    long_side = _long_places(long_side, threshold).alias("a")
+    short_side = _short_places(short_side, threshold).alias("b")
     la, lb = F.col("a.len"), F.col("b.len")
     room = _unmatched(la + lb, threshold)
     shift = F.col("b.at") - F.col("a.at")
