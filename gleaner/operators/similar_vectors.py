@@ -51,11 +51,10 @@ def cosine_pairs(
     """
     schema_l = left.schema["lid"].dataType.simpleString()
     schema_r = right.schema["rid"].dataType.simpleString()
+    result = f"lid {schema_l}, rid {schema_r}, score double"
     chosen = right.orderBy(F.xxhash64("rid"), "rid").limit(pivots).collect()
     if not chosen:
-        return left.select("lid").join(right.select("rid"), F.lit(False)).select(
-            "lid", "rid", F.lit(0.0).alias("score")
-        )
+        return left.sparkSession.createDataFrame([], result)
     centres = _unit(np.array([r["vec"] for r in chosen], dtype=np.float64))
     theta = math.acos(min(1.0, max(-1.0, threshold)))
 
@@ -90,9 +89,7 @@ def cosine_pairs(
     )
     guests = {r["cell"]: r["count"] for r in visiting.groupBy("cell").count().collect()}
     if not guests:
-        return visiting.select("lid").join(right.select("rid"), F.lit(False)).select(
-            "lid", "rid", F.lit(0.0).alias("score")
-        )
+        return left.sparkSession.createDataFrame([], result)
     home_tiles = _by_cell({s["cell"]: s["n"] for s in stats}, tile_rows)
     guest_tiles = _by_cell(guests, tile_rows)
     rows_r = placed.filter(F.col("cell").isin(*guests)).select(
@@ -123,7 +120,7 @@ def cosine_pairs(
     return (
         rows_l.groupBy(*tile)
         .cogroup(rows_r.groupBy(*tile))
-        .applyInPandas(product, f"lid {schema_l}, rid {schema_r}, score double")
+        .applyInPandas(product, result)
     )
 
 
