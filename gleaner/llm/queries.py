@@ -6,8 +6,9 @@ can express the result.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleaner.llm import decontamination
+from gleaner.llm import decontamination, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +28,11 @@ def query(sql: str | None = None):
     return add
 
 
+def hash_part(of, parts: int):
+    """Remainder of the CRC-32 of an id's text; a null id belongs to no part."""
+    return F.crc32(of.cast("string")) % parts
+
+
 # list of words in SQL, lower-casing A-Z only
 SQL_LOW = "translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL_WORDS = f"regexp_extract_all({SQL_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -56,3 +62,16 @@ FROM d LEFT JOIN marked USING (r) LEFT JOIN named USING (r)
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontamination.overlap_digest(found)
+
+
+@query()
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    usable = F.coalesce(hash_part(F.col("id"), 3) != 1, F.lit(True))
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), usable)
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id",
+        F.coalesce(hash_part(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )

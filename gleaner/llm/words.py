@@ -73,6 +73,7 @@ class Words:
     first: np.ndarray  # row i has words first[i] up to first[i + 1]
     start: np.ndarray  # byte where each word starts
     end: np.ndarray
+    low: np.ndarray  # the classed bytes
 
     @property
     def counts(self) -> np.ndarray:
@@ -104,7 +105,7 @@ def words_of(texts: pa.Array, classes: np.ndarray, step: int = SLICE_BYTES) -> W
             part = flat[starts[a] : ends[b - 1]]
             own = _BYTE[low[starts[a] : ends[b - 1]][inside[starts[a] : ends[b - 1]]]] if len(part) else _BYTE[:0]
             out[a:b] = np.add.reduceat(own * power[place], at)
-    return Words(mix(out), np.searchsorted(starts, rows), starts, ends)
+    return Words(mix(out), np.searchsorted(starts, rows), starts, ends, low)
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
