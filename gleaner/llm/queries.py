@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontamination, toxicity
+from gleaner.llm import decontamination, token_ids, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,12 @@ def hash_part(of, parts: int):
     return F.crc32(of.cast("string")) % parts
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 # list of words in SQL, lower-casing A-Z only
 SQL_LOW = "translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL_WORDS = f"regexp_extract_all({SQL_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -75,3 +81,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
     )
+
+
+@query()
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.tokenized(table(spark, sf_dir, "documents"), tokenizer_path())

@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
 U64 = np.uint64
-_BYTE = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_BASE = 0x9E3779B97F4A7C15
+BYTE = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+BASE = 0x9E3779B97F4A7C15
 _SHINGLE = 0xD6E8FEB86659FD93
 
 
@@ -94,7 +94,7 @@ def words_of(texts: pa.Array, classes: np.ndarray, step: int = SLICE_BYTES) -> W
     ends = np.flatnonzero(inside & ~after) + 1
     out = np.empty(len(starts), U64)
     length = ends - starts
-    power = np.cumprod(np.full(int(length.max(initial=1)), _BASE, U64))
+    power = np.cumprod(np.full(int(length.max(initial=1)), BASE, U64))
     total = np.cumsum(length)
     cut = [0, *(np.flatnonzero(np.diff(total // step)) + 1).tolist(), len(starts)]
     for a, b in zip(cut, cut[1:]):
@@ -103,7 +103,7 @@ def words_of(texts: pa.Array, classes: np.ndarray, step: int = SLICE_BYTES) -> W
             at = np.cumsum(n) - n
             place = np.arange(int(n.sum())) - np.repeat(at, n)
             part = flat[starts[a] : ends[b - 1]]
-            own = _BYTE[low[starts[a] : ends[b - 1]][inside[starts[a] : ends[b - 1]]]] if len(part) else _BYTE[:0]
+            own = BYTE[low[starts[a] : ends[b - 1]][inside[starts[a] : ends[b - 1]]]] if len(part) else BYTE[:0]
             out[a:b] = np.add.reduceat(own * power[place], at)
     return Words(mix(out), np.searchsorted(starts, rows), starts, ends, low)
 
