@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -25,22 +26,28 @@ def local_session(app: str = "gleaner", cpus: str = "8") -> SparkSession:
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on shared storage and cut its lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate data, from ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local master may
-    fall back to a temporary folder: on a cluster that would be lost with its
-    executor.
+    Only a local master may go without: driver and executors are one process
+    there, and a temporary folder serves.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            if not sc.master.startswith("local"):
+    folder = sc.getCheckpointDir()
+    if folder is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.match(r"local(\[|$)", sc.master):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(configured)
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(folder)
+        folder = sc.getCheckpointDir()
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` on shared storage and cut its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
