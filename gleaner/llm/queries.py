@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontamination, token_ids, toxicity
+from gleaner.llm import decontamination, jaccard_join, token_ids, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,22 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.tokenized(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+OP10_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all({SQL_LOW.format(c='text')}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' ')) END) AS s FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.x, r.c FROM l JOIN r ON l.y = r.doc_id)
+SELECT d.doc_id AS doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+
+
+@query(OP10_SQL)
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
