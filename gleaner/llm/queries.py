@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontamination, jaccard_join, token_ids, toxicity
+from gleaner.llm import decontamination, jaccard_join, language_id, token_ids, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,16 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP
 @query(OP10_SQL)
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    training = F.coalesce(hash_part(F.col("doc_id"), 4) != 2, F.lit(True))
+    return language_id.identified(docs, training).select(
+        "doc_id",
+        F.coalesce(hash_part(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
+        F.col("best").alias("lang_pred"),
+        "score",
+        "rejected",
+    )
