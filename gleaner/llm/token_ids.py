@@ -4,12 +4,12 @@ A shard file holds the ids of a run of documents, in order, and where each
 document ends. Layout, all little-endian:
 
     8 bytes   magic ``GLTOKID1``
-    6 x u64   documents, ids, low bits per boundary, bytes of the low part,
-              bytes of the high part, documents per sample
+    7 x u64   documents, ids, low bits per boundary, bytes of the low part,
+              bytes of the high part, documents per sample, bytes per id
     low part  the low bits of every boundary, packed
     high part the other bits in unary: boundary i sets bit (high(i) + i)
     u64 each  samples: bit position of every s-th set bit, for select
-    u32 each  ids
+    u16 or u32 each  ids: 16 bits where all ids of the shard fit
 
 Boundary i is read with one select in the high part, so no table of 64-bit
 offsets is needed: about ``2 + log2(ids / documents)`` bits a document.
@@ -95,24 +95,25 @@ class EliasFano:
         return (high << self.width) + low
 
 
-def pack_shard(ends: np.ndarray, ids: bytes) -> bytes:
+def pack_shard(ends: np.ndarray, ids: np.ndarray) -> bytes:
     width, low, high, samples = ef_encode(ends)
-    head = np.array([len(ends), len(ids) // 4, width, len(low), len(high), SAMPLE], "<u8")
-    return b"".join([MAGIC, head.tobytes(), low, high, samples.astype("<u8").tobytes(), ids])
+    each = 2 if ids.max(initial=0) < 65536 else 4
+    head = np.array([len(ends), len(ids), width, len(low), len(high), SAMPLE, each], "<u8")
+    return b"".join([MAGIC, head.tobytes(), low, high, samples.astype("<u8").tobytes(), ids.astype(f"<u{each}").tobytes()])
 
 
 def unpack_shard(data) -> tuple[EliasFano, np.ndarray]:
     """Boundaries and ids of a shard; views of ``data``, nothing is copied."""
     if bytes(data[:8]) != MAGIC:
         raise ValueError("not a token shard")
-    n, total, width, n_low, n_high, sample = np.frombuffer(data, "<u8", 6, 8).tolist()
-    at = 8 + 48
+    n, total, width, n_low, n_high, sample, each = np.frombuffer(data, "<u8", 7, 8).tolist()
+    at = 8 + 56
     low = np.frombuffer(data, np.uint8, n_low, at)
     high = np.frombuffer(data, np.uint8, n_high, at + n_low)
     at += n_low + n_high
     n_samples = -(-n // sample)
     samples = np.frombuffer(data, np.uint8, n_samples * 8, at).view("<u8")
-    ids = np.frombuffer(data, np.uint8, total * 4, at + n_samples * 8).view("<u4")
+    ids = np.frombuffer(data, np.uint8, total * each, at + n_samples * 8).view(f"<u{each}")
     return EliasFano(n, width, low, high, samples, sample), ids
 
 
@@ -240,7 +241,7 @@ def _write(batches, folder: str, tokenizer: str, end_id: int, shard_ids: int):
 
     def flush():
         name = f"shard-{part:06d}-{len(written):05d}-{uuid.uuid4().hex}.bin"
-        blob = pack_shard(np.concatenate(ends), np.concatenate(ids).astype("<u4").tobytes())
+        blob = pack_shard(np.concatenate(ends), np.concatenate(ids))
         with fs.open_output_stream(f"{root}/{name}") as out:
             out.write(blob)
         # the doc ids of a shard are a file of their own, in the same order
@@ -319,7 +320,7 @@ def _read(batches, folder: str):
                 names = pa.ipc.open_stream(f).read_all()["doc_id"].combine_chunks()
             ends = bounds.all()
             begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            crc = [zlib.crc32(ids[a:b]) for a, b in zip(begins.tolist(), ends.tolist())]
+            crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(begins.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [names, pa.array(begins + shard["start"]), pa.array(ends - begins), pa.array(crc, pa.int64())], schema=schema
             )
