@@ -40,6 +40,7 @@ FREQUENT = 200_000
 SHORT_LIST = 32  # texts in a list whose pairs are written
 TILE = 500  # texts in one side of a tile
 BUCKET_ROWS = 100_000
+BROADCAST_IDS = 1_000_000  # counted first; beyond it the ids are joined by a shuffle
 _SIGN = (U64(0x1B873593CC9E2D51), U64(0xE6546B64A5A5A5A5))
 
 
@@ -291,8 +292,7 @@ def family_links(texts: DataFrame, hot: DataFrame, k: int, share: int, tile: int
         "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
     return (
-        texts.filter(F.col("id").isNotNull())
-        .join(tiles, "id")
+        texts.join(tiles, "id")
         .groupBy("component", "i", "j")
         .applyInArrow(lambda t: _tile(t, k, share), "a long, b long")
     )
@@ -340,7 +340,9 @@ def similar_documents(
         .mapInArrow(lambda it: _bucket_pairs(it, share, short_list), "a long, b long, hot boolean")
     )
     pairs = found.filter("not hot").select("a", "b").distinct()
-    named = texts.filter(F.col("id").isNotNull())
+    # only texts that a list names are joined: few, so their ids are mostly small enough to broadcast
+    ids = checkpointed(found.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    named = checkpointed(texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"))
     one, two = named.alias("one"), named.alias("two")
     joined = (
         pairs.join(one, F.col("a") == F.col("one.id"))
@@ -349,7 +351,7 @@ def similar_documents(
         .select("a", "b", "text_a", F.col("two.text").alias("text_b"))
     )
     links = joined.mapInArrow(lambda it: _verified(it, k, share), "a long, b long")
-    links = links.unionByName(family_links(texts, found.filter("hot"), k, share, tile))
+    links = links.unionByName(family_links(named, found.filter("hot"), k, share, tile))
     # equal sets: everything above may name any of them, the smallest stands for all
     first = meta.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("first"))
     first = checkpointed(meta.filter("n > 0").join(first, ["n", "s1", "s2"]).select("id", "first").distinct())
