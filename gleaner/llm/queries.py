@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontamination, html_text, jaccard_join, language_id, mixing, token_ids, toxicity
+from gleaner.llm import decontamination, fingerprints, html_text, jaccard_join, language_id, mixing, token_ids, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +130,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query()
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared_with_next(table(spark, sf_dir, "documents"))
