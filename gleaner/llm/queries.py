@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontamination, fingerprints, html_text, jaccard_join, language_id, mixing, token_ids, toxicity
+from gleaner.llm import decontamination, fingerprints, html_text, jaccard_join, language_id, line_dedup, mixing, token_ids, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +135,24 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared_with_next(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = """
+WITH l AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS raw FROM documents),
+e AS (SELECT r, source, unnest(range(1, len(raw) + 1)) AS p, unnest(raw) AS line FROM l),
+b AS (SELECT r, source, p, line, trim(line, ' ' || chr(9) || chr(13)) AS bare FROM e),
+s AS (SELECT bare FROM b WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= 5),
+k AS (SELECT r, count(*) FILTER (WHERE bare <> '') AS n_lines, count(s.bare) AS n_removed,
+        string_agg(line, chr(10) ORDER BY p) FILTER (WHERE s.bare IS NULL) AS kept
+      FROM b LEFT JOIN s USING (bare) GROUP BY r)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS text_sha256
+FROM l LEFT JOIN k USING (r)
+"""
+
+
+@query(OP9_SQL)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_boilerplate(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    )
