@@ -188,6 +188,36 @@ def merged_spans(spans):
     return F.expr(f"aggregate(array_sort({spans}), cast(array() as {kind}), (acc, s) -> {step})")
 
 
+def shipped_blocks(items: DataFrame, item_id: str, item_text: str, n: int, k: int, block_words: int) -> list:
+    """The benchmark as broadcast blocks of about ``block_words`` words; its size is counted first."""
+    spark = items.sparkSession
+    tests = items.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t"))
+    size = tests.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = max(1, -(-size // (block_words * 6)))
+    own = [tests.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect() for b in range(blocks)]
+    return [spark.sparkContext.broadcast(build_block([(r.i, r.t) for r in rows], k, n)) for rows in own]
+
+
+def _clean_rows(batches, model, text, k, n):
+    for batch in slices(batches, text):
+        w = words_of(batch.column(text), ALNUM)
+        start, _, _ = _matches(model.value, w.hash, w.counts, k, n)
+        clean = np.ones(batch.num_rows, bool)
+        clean[np.searchsorted(w.first, start, "right") - 1] = False
+        yield batch.filter(pa.array(clean))
+
+
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    n: int = 10, k: int = 5, block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """The rows, with all their columns, that hold no window of any item; no shuffle."""
+    ship_package(docs.sparkSession)
+    for m in shipped_blocks(items, item_id, item_text, n, k, block_words):
+        docs = docs.mapInArrow(lambda it, m=m: _clean_rows(it, m, text, k, n), docs.schema)
+    return docs
+
+
 def find_overlaps(
     docs: DataFrame,
     items: DataFrame,
@@ -205,21 +235,15 @@ def find_overlaps(
     ``block_words`` words: one pass over the documents each, no shuffle for the
     usual single block.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
+    ship_package(docs.sparkSession)
     texts = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.xxhash64(F.col(text)).alias("text_key"),
         F.col(text).cast("string").alias("text"),
     )
-    tests = items.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t"))
-    size = tests.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-size // (block_words * 6)))
-    passes = []
-    for b in range(blocks):
-        own = tests.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
-        block = spark.sparkContext.broadcast(build_block([(r.i, r.t) for r in own], k, n))
-        passes.append(texts.mapInArrow(lambda it, m=block: _search(it, m, k, n), SCHEMA))
+    models = shipped_blocks(items, item_id, item_text, n, k, block_words)
+    passes = [texts.mapInArrow(lambda it, m=m: _search(it, m, k, n), SCHEMA) for m in models]
+    blocks = len(passes)
     if blocks == 1:
         return passes[0].drop("text_key")
     every = passes[0].withColumn("block", F.lit(0))

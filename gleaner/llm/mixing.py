@@ -196,19 +196,15 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     )
     key = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("z"))
     columns = [F.col(c) for c in docs.columns]
-    # equal rows are one group: they are dealt its copies in turn
     own = docs.withColumn("mix_key", key).join(
         count,
         F.col(doc_id).eqNullSafe(F.col("mix_id")) & (F.xxhash64(F.col(text)) == F.col("mix_text")) & (F.col("mix_key") == F.col("mix_source")),
     )
-    lone = own.filter("mix_rows = 1").withColumn("mix_n", F.col("mix_copies"))
-    turn = F.row_number().over(Window.partitionBy("mix_id", "mix_text", "mix_source").orderBy("mix_text"))
-    many = own.filter("mix_rows > 1").withColumn(
-        "mix_n", F.floor(F.col("mix_copies") / F.col("mix_rows")).cast("int") + (turn <= F.col("mix_copies") % F.col("mix_rows")).cast("int")
-    )
+    # rows equal in id, text and source are one row with the copies of all of them
+    many = own.filter("mix_rows > 1").dropDuplicates(["mix_id", "mix_text", "mix_source"])
     return (
-        lone.unionByName(many)
-        .filter("mix_n > 0")
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_n"))))
+        own.filter("mix_rows = 1")
+        .unionByName(many)
+        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
         .select(*columns)
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontamination, fingerprints, html_text, jaccard_join, language_id, line_dedup, mixing, token_ids, toxicity
+from gleaner.llm import decontamination, fingerprints, html_text, jaccard_join, language_id, line_dedup, mixing, passages, token_ids, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -156,3 +156,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.without_boilerplate(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
     )
+
+
+@query()
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
