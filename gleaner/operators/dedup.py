@@ -93,12 +93,17 @@ def fuzzy_edges(
     rows = df.select(F.col(position).alias("at"), normalise_question(F.col(question)).alias("text"))
     groups = checkpointed(exact_groups(rows, F.col("text"), "at"))
     nodes = groups.select(F.col("first").alias("gid"), "text")
-    pairs = similar_pairs(nodes, threshold)
+    found = checkpointed(candidate_pairs(nodes, threshold))
+    nodes = nodes.withColumn("order", F.col("gid"))
+    pairs = measured_pairs(found, nodes, threshold).unionByName(
+        # a later copy of the first text comes after the other one: the ratio is not symmetric
+        measured_pairs(found, nodes.withColumn("order", -F.col("gid")), threshold)
+    )
     held = rows.join(groups.select("text", "first"), "text").select("at", "first")
     exact = held.filter("at > first").select(
         F.col("first").alias("earlier"), F.col("at").alias("later"), F.lit(1.0).alias("similarity")
     )
-    fuzzy = held.join(pairs, held["first"] == pairs["later"]).select(
+    fuzzy = held.join(pairs, (held["first"] == pairs["later"]) & (held["at"] > pairs["earlier"])).select(
         "earlier", F.col("at").alias("later"), F.col("ratio").alias("similarity")
     )
     return exact.unionByName(fuzzy)

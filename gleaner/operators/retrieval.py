@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from gleaner.operators.similar_vectors import cosine_pairs
 
 MIN_SCORE = 0.25
 MAX_PER_SOURCE = 3
-QUERY_LIMIT = 2_000  # queries shipped to every scan task; more take the tiled join
+QUERY_BLOCK = 2_000  # queries that ride along with one scan of the chunks
 POOL = 10  # candidates considered per result wanted
 
 
@@ -41,35 +42,44 @@ def scored_hits(
     ``queries(query, vec)``; ``chunks(chunk_id, source_filename, vec)``. Ties
     go to the smaller chunk id.
     """
-    few = queries.select("query", "vec").limit(QUERY_LIMIT + 1).collect()
-    if 0 < len(few) <= QUERY_LIMIT:
-        hits = _scan(few, queries, chunks, pool, min_score)
-    else:
-        near = cosine_pairs(
-            queries.select(F.col("query").alias("lid"), "vec"),
-            chunks.select(F.col("chunk_id").alias("rid"), "vec"),
-            min_score,
-        ).select(F.col("lid").alias("query"), F.col("rid").alias("chunk_id"), "score")
-        hits = near.join(chunks.select("chunk_id", "source_filename"), "chunk_id").select(
-            "query", "chunk_id", "source_filename", "score"
-        )
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    part = F.pmod(F.xxhash64("query"), F.lit(blocks))
+    scans = [
+        _scan(queries.filter(part == b).select("query", "vec").collect(), queries, chunks, pool, min_score)
+        for b in range(blocks)
+    ]
+    hits = reduce(DataFrame.unionByName, scans)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "chunk_id")
     return hits.withColumn("pool_rank", F.row_number().over(order)).filter(
         F.col("pool_rank") <= pool
     )
 
 
+def all_hits(queries: DataFrame, chunks: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """Every chunk at or above the score: ``(query, chunk_id, source_filename, score)``."""
+    near = cosine_pairs(
+        queries.select(F.col("query").alias("lid"), "vec"),
+        chunks.select(F.col("chunk_id").alias("rid"), "vec"),
+        min_score,
+    ).select(F.col("lid").alias("query"), F.col("rid").alias("chunk_id"), "score")
+    return near.join(chunks.select("chunk_id", "source_filename"), "chunk_id").select(
+        "query", "chunk_id", "source_filename", "score"
+    )
+
+
 def _scan(
     few: list, queries: DataFrame, chunks: DataFrame, pool: int, min_score: float
 ) -> DataFrame:
     """One pass over the chunks; each task keeps its best candidates only."""
     names = [r["query"] for r in few]
     wanted = np.array([r["vec"] for r in few], dtype=np.float64)
+    if not few:
+        wanted = np.zeros((0, 1))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: list[pd.DataFrame | None] = [None] * len(names)
         for pdf in batches:
-            if not len(pdf):
+            if not len(pdf) or not names:
                 continue
             scores = stacked(pdf["vec"]) @ wanted.T
             rows = pdf[["chunk_id", "source_filename"]]

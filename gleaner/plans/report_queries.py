@@ -295,7 +295,16 @@ def training_text_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.training_lines(exported(spark, sf_dir))
 
 
-@query()
+BASE_JSON = """'question', question, 'answer', answer, 'source_type', source_type,
+    'quality_score', quality_score, 'validation_status', validation_status"""
+
+
+@query(pairs_and(RAG) + f"""SELECT CASE WHEN rag THEN
+    regexp_replace(json_object({BASE_JSON}, 'rag', true, 'query_term', term,
+      'citation_chunk_ids', string_split(ids, ';'))::VARCHAR, '.$', '')
+      || ',"retrieval_scores":[0.5,' || CASE WHEN conv_id % 1000 = 0 THEN (conv_id / 1000.0)::VARCHAR
+         ELSE rtrim(printf('%.3f', conv_id / 1000.0), '0') END || ']}}'
+  ELSE json_object({BASE_JSON})::VARCHAR END AS value FROM rags""")
 def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.json_records(exported(spark, sf_dir))
 

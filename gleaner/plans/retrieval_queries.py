@@ -51,10 +51,9 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {HITS} SELECT query, chunk_id, source_filename, round(score, 6) AS score, pool_rank "
-       "FROM ranked WHERE pool_rank <= 1000000")
+@query(f"WITH {HITS} SELECT query, chunk_id, source_filename, round(score, 6) AS score FROM hits")
 def cosine_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(hits(spark, sf_dir, 1_000_000))
+    return rounded(retrieval.all_hits(inputs.topics(spark, sf_dir), inputs.vector_chunks(spark, sf_dir)))
 
 
 @query(f"WITH {HITS} SELECT query, pool_rank AS rank, chunk_id, source_filename, round(score, 6) AS score "

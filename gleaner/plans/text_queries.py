@@ -238,12 +238,15 @@ def xml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAFE = r"regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]', ' ', 'g')"
 
 
-@query(f"""SELECT doc_id, array_to_string(list_filter([lang, replace({SAFE}, chr(13), chr(10)), 'bold'],
-  lambda t: {sql_strip('t')} <> ''), chr(10) || chr(10)) AS text FROM documents""")
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 10 <> 3 THEN
+    array_to_string(list_filter([lang, replace({SAFE}, chr(13), chr(10)), 'bold'],
+      lambda t: {sql_strip('t')} <> ''), chr(10) || chr(10)) END AS text, doc_id % 10 = 3 AS broken FROM documents""")
 def xml_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return xml_documents(spark, sf_dir).select(
-        "doc_id", documents.xml_text(F.col("content")).alias("text")
-    )
+    """Every tenth file is cut off: an error row."""
+    c = F.col("content")
+    content = F.when(F.col("doc_id") % 10 == 3, F.substr(c, F.lit(1), F.length(c) - 6)).otherwise(c)
+    found = xml_documents(spark, sf_dir).select("doc_id", documents.xml_text(content).alias("found"))
+    return found.select("doc_id", "found.text", F.col("found.error").isNotNull().alias("broken"))
 
 
 KEYWORDS = ["tion the", "ent", "Ciónos "]
@@ -258,11 +261,16 @@ SELECT id, question, answer FROM found WHERE question <> '' AND answer <> '' AND
   OR contains(lower(title || ' ' || question || ' ' || answer), 'ent')
   OR contains(lower(title || ' ' || question || ' ' || answer), 'ciónos'))""")
 def keyword_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth pair stands outside the wrapping element."""
+
+    def wrap(tag: str) -> Column:
+        return F.when(F.col("conv_id") % 5 == 0, F.lit("")).otherwise(F.lit(tag))
+
     xml = F.concat(
         F.lit("<document><full_title>Talk "), F.col("conv_id").cast("string"),
-        F.lit("</full_title><qa_pairs><qa_pair><question>"), inputs.escaped(F.col("asked")),
+        F.lit("</full_title>"), wrap("<qa_pairs>"), F.lit("<qa_pair><question>"), inputs.escaped(F.col("asked")),
         F.lit("</question><answer>"), inputs.escaped(F.col("replied")),
-        F.lit("</answer></qa_pair></qa_pairs></document>"),
+        F.lit("</answer></qa_pair>"), wrap("</qa_pairs>"), F.lit("</document>"),
     )
     rows = inputs.turns(spark, sf_dir).select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("id"), xml.alias("content")

@@ -73,11 +73,12 @@ def training_lines(rows: DataFrame) -> DataFrame:
 def json_records(rows: DataFrame) -> DataFrame:
     """Full records, one JSON object per line."""
     extra = ["citations"] if "citations" in rows.columns else []
-    record = F.struct(
-        *EXPORT_COLUMNS[:5],
-        *_evidence("rag", "query_term", "citation_chunk_ids", "retrieval_scores", *extra),
+    evidence = ["rag", "query_term", "citation_chunk_ids", "retrieval_scores", *extra]
+    keep = {"ignoreNullFields": "false"}  # a missing score is written as null
+    plain = F.to_json(F.struct(*EXPORT_COLUMNS[:5]), keep)
+    return rows.select(
+        F.when(F.col("rag"), F.to_json(F.struct(*EXPORT_COLUMNS[:5], *evidence), keep)).otherwise(plain).alias("value")
     )
-    return rows.select(F.to_json(record).alias("value"))
 
 
 def jsonl_records(rows: DataFrame) -> DataFrame:

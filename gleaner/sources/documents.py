@@ -58,10 +58,13 @@ def register_sources(files: DataFrame, project_id: str, max_bytes: int = MAX_BYT
     )
 
 
-def xml_text(content: Column) -> Column:
+def _xml_text(blob: bytes | None) -> tuple[str | None, str | None]:
     """Leading text of every element, blank ones dropped, joined by blank lines."""
-    texts = F.xpath(content, F.lit("//*/text()[not(preceding-sibling::node())]"))
-    return F.array_join(F.filter(texts, lambda t: strip(t) != ""), "\n\n")
+    try:
+        texts = [e.text for e in ET.fromstring(blob or b"").iter() if isinstance(e.tag, str) and e.text]
+        return "\n\n".join(t for t in texts if t.strip()), None
+    except Exception as problem:  # a broken file is a row with an error
+        return None, str(problem) or type(problem).__name__
 
 
 def _docx_text(blob: bytes | None) -> tuple[str | None, str | None]:
@@ -85,10 +88,25 @@ def _docx_text(blob: bytes | None) -> tuple[str | None, str | None]:
         return None, str(problem) or type(problem).__name__
 
 
+_READERS = {"xml": _xml_text, "docx": _docx_text}
+
+
 @F.pandas_udf(_EXTRACTED)
-def docx_text(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for blobs in batches:
-        yield pd.DataFrame([_docx_text(b) for b in blobs], columns=["text", "error"])
+def file_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Text and error of each file content by its type; both null for other types."""
+    for kinds, blobs in batches:
+        found = [_READERS[k](b) if k in _READERS else (None, None) for k, b in zip(kinds, blobs)]
+        yield pd.DataFrame(found, columns=["text", "error"])
+
+
+def xml_text(content: Column) -> Column:
+    """``(text, error)`` of XML content."""
+    return file_text(F.lit("xml"), content.cast("binary"))
+
+
+def docx_text(content: Column) -> Column:
+    """``(text, error)`` of a Word file's content."""
+    return file_text(F.lit("docx"), content)
 
 
 def assemble_pages(pages: DataFrame) -> DataFrame:
@@ -107,27 +125,23 @@ def extract_text(files: DataFrame, page_texts: DataFrame | None = None) -> DataF
     page reader the cluster has; files without a reader become error rows.
     """
     kind = file_extension(file_name(F.col("path")))
-    typed = files.select("path", "content", kind.alias("file_type"))
-    xml = F.col("content").cast("string")
-    out = typed.filter("file_type = 'xml'").select(
-        "path", "file_type", xml_text(xml).alias("text"), F.lit(None).cast("string").alias("error")
-    )
-    docx = (
-        typed.filter("file_type = 'docx'")
-        .withColumn("found", docx_text("content"))
+    read = F.col("file_type").isin(list(_READERS))
+    found = (
+        files.select("path", kind.alias("file_type"), "content")
+        # contents of other types are not sent to Python
+        .withColumn("found", file_text("file_type", F.when(read, F.col("content"))))
         .select("path", "file_type", "found.text", "found.error")
     )
-    pdf = typed.filter("file_type = 'pdf'").select("path", "file_type")
-    if page_texts is None:
-        pdf = pdf.withColumn("text", F.lit(None).cast("string"))
+    if page_texts is not None:
+        whole = assemble_pages(page_texts).select(F.col("doc").alias("path"), F.col("text").alias("pages"))
+        found = found.join(whole, "path", "left")
     else:
-        whole = assemble_pages(page_texts).select(F.col("doc").alias("path"), "text")
-        pdf = pdf.join(whole, "path", "left")
-    pdf = pdf.withColumn("error", F.when(F.col("text").isNull(), F.lit("no page text")))
-    rest = typed.filter(~F.col("file_type").isin(ALLOWED)).select(
-        "path",
-        "file_type",
-        F.lit(None).cast("string").alias("text"),
-        F.concat(F.lit("unsupported file type: ."), "file_type").alias("error"),
+        found = found.withColumn("pages", F.lit(None).cast("string"))
+    is_pdf = F.col("file_type") == "pdf"
+    text = F.when(is_pdf, F.col("pages")).otherwise(F.col("text"))
+    error = (
+        F.when(is_pdf, F.when(F.col("pages").isNull(), F.lit("no page text")))
+        .when(~F.col("file_type").isin(ALLOWED), F.concat(F.lit("unsupported file type: ."), "file_type"))
+        .otherwise(F.col("error"))
     )
-    return out.unionByName(docx).unionByName(pdf).unionByName(rest)
+    return found.select("path", "file_type", text.alias("text"), error.alias("error"))

@@ -1,20 +1,20 @@
 """Question/answer XML dumps filtered by keyword."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import strip
 
-PAIR = "question string, answer string"
-DOCUMENT = f"full_title string, qa_pairs struct<qa_pair:array<struct<{PAIR}>>>".replace(
-    PAIR, "question:string,answer:string"
-)
+_PAIRS = "array<struct<question:string,answer:string>>"
+DOCUMENT = f"full_title string, qa_pairs struct<qa_pair:{_PAIRS}>, qa_pair {_PAIRS}"
 
 
 def read_qa_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per ``document`` element; big files are split by Spark."""
-    return (
+    return _unwrapped(
         spark.read.format("xml")
         .option("rowTag", "document")
         .schema(DOCUMENT)
@@ -27,7 +27,15 @@ def parse_qa_documents(rows: DataFrame, content: str) -> DataFrame:
     """The same rows from a column holding ``document`` elements as text."""
     return rows.withColumn("_doc", F.from_xml(F.col(content), DOCUMENT)).select(
         *[c for c in rows.columns if c != content], "_doc.*"
-    )
+    ).transform(_unwrapped)
+
+
+def _unwrapped(documents: DataFrame) -> DataFrame:
+    """Pairs that stand outside ``qa_pairs`` serve where it holds none."""
+    loose = F.struct(F.col("qa_pair"))
+    return documents.withColumn(
+        "qa_pairs", F.when(F.size(F.coalesce("qa_pairs.qa_pair", F.array())) > 0, F.col("qa_pairs")).otherwise(loose)
+    ).drop("qa_pair")
 
 
 def mentions_any(text: Column, keywords: list[str]) -> Column:
@@ -35,7 +43,8 @@ def mentions_any(text: Column, keywords: list[str]) -> Column:
     low = [k.lower().strip() for k in keywords if k.strip()]
     if not low:
         return F.lit(False)
-    return F.exists(F.array(*[F.lit(k) for k in low]), lambda k: F.contains(F.lower(text), k))
+    lowered = F.lower(text)
+    return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(k)) for k in low])
 
 
 def keyword_pairs(documents: DataFrame, keywords: list[str]) -> DataFrame:

@@ -15,8 +15,10 @@ from gleaner.operators.validation import validate_pairs
 def _table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:  # nothing written yet
-        return None
+    except AnalysisException as problem:
+        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # nothing written yet
+            return None
+        raise
 
 
 def ingest_documents(

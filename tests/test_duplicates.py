@@ -108,6 +108,13 @@ def test_fuzzy_edges_reach_copies_from_the_first_holder(spark):
     assert got == {(0, 1), (0, 2)}
 
 
+def test_fuzzy_edges_reach_later_copies_of_an_earlier_text(spark):
+    rows = [(0, "What is severe asthma?"), (1, "What was severe asthma?"), (2, "WHAT  is severe asthma?")]
+    df = spark.createDataFrame(rows, "pos long, q string")
+    got = {(r["earlier"], r["later"]) for r in dedup.fuzzy_edges(df, "pos", "q", 0.9).collect()}
+    assert got == {(0, 1), (0, 2), (1, 2)}
+
+
 def unit(rng, n, d):
     m = rng.normal(size=(n, d))
     return (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
