@@ -1,7 +1,6 @@
 """First-wins removal of exact, fuzzy and semantic near-duplicates."""
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +20,6 @@ from gleaner.operators.similar_vectors import (
 )
 from gleaner.session import checkpointed
 
-TAIL_EDGES = 100_000
-
 
 def exact_groups(df: DataFrame, text: Column, position: str) -> DataFrame:
     """One row per distinct text: size, first and last position.
@@ -37,26 +34,17 @@ def exact_groups(df: DataFrame, text: Column, position: str) -> DataFrame:
     )
 
 
-def _resolve_tail(edges: pd.DataFrame) -> pd.DataFrame:
-    rejected: set = set()
-    for later, earlier in edges.sort_values("later").groupby("later", sort=True)["earlier"]:
-        if any(e not in rejected for e in earlier):
-            rejected.add(later)
-    return pd.DataFrame({"later": list(rejected)}, dtype=edges["later"].dtype)
-
-
-def first_wins_rejected(edges: DataFrame, tail_edges: int = TAIL_EDGES) -> DataFrame:
+def first_wins_rejected(edges: DataFrame) -> DataFrame:
     """Ids rejected when rows are taken in order and the first one wins.
 
     ``edges(earlier, later)`` links similar rows; a row is rejected when some
     accepted earlier row is similar. Each round accepts the rows no undecided
-    row precedes, rejects their neighbours and drops the settled edges; once
-    few edges are left one task finishes them in order.
+    row precedes, rejects their neighbours and drops the settled edges, until
+    no edge is left: as many rounds as the longest chain of undecided rows.
     """
     left = checkpointed(edges.select("earlier", "later").distinct())
-    done: DataFrame | None = None
-    count = left.count()
-    while count > tail_edges:
+    done = left.select(F.col("later").alias("id")).limit(0)
+    while not left.isEmpty():
         heads = left.select(F.col("earlier").alias("id")).distinct().join(
             left.select(F.col("later").alias("id")).distinct(), "id", "left_anti"
         )
@@ -71,15 +59,8 @@ def first_wins_rejected(edges: DataFrame, tail_edges: int = TAIL_EDGES) -> DataF
                 beaten, F.col("later") == beaten["id"], "left_anti"
             )
         )
-        done = beaten if done is None else done.unionByName(beaten)
-        count = left.count()
-    kind = left.schema["later"].dataType.simpleString()
-    tail = (
-        left.groupBy(F.lit(0).alias("all"))
-        .applyInPandas(_resolve_tail, f"later {kind}")
-        .select(F.col("later").alias("id"))
-    )
-    return tail if done is None else done.unionByName(tail)
+        done = done.unionByName(beaten)
+    return done
 
 
 def fuzzy_edges(
