@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.session import checkpointed
+from gleaner.llm.names import unused
+from gleaner.llm.store import stored
 
 MIN_SITES = 5
 LOG_K = 12  # sketch of 4,096 registers: about 1.6 % standard error
@@ -42,7 +43,7 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, log_k: int = LOG_
         .select("line", F.hll_sketch_estimate("sketch").alias("about"))
     )
     low, high = min_sites * (1 - MARGIN) - 1, min_sites * (1 + MARGIN) + 1
-    likely = checkpointed(sites.filter(F.col("about") >= low))
+    likely = stored(sites.filter(F.col("about") >= low))
     sure = likely.filter(F.col("about") > high).select("line")
     near = likely.filter(F.col("about") <= high).select("line")
     exact = (
@@ -69,7 +70,8 @@ def without_boilerplate(
     own = docs.drop("n_lines", "n_removed") if {"n_lines", "n_removed"} & set(docs.columns) else docs
     body, place = F.col(text).cast("string"), F.col(site).cast("string")
     row = F.xxhash64(body, F.lit(1))
-    lines = checkpointed(
+    gone_at, gone_row = unused(own.columns, "gone_at", "gone_row")
+    lines = stored(
         own.filter(body.isNotNull())
         .select(row.alias("row"), place.alias("site"), F.posexplode(_lines(body)).alias("pos", "raw"))
         .filter(_bare(F.col("raw")) != "")
@@ -81,16 +83,16 @@ def without_boilerplate(
         lines.select("row", "pos", "line")
         .join(gone, "line")
         .groupBy("row")
-        .agg(F.collect_set("pos").alias("gone_at"))
-        .withColumnRenamed("row", "gone_row")
+        .agg(F.collect_set("pos").alias(gone_at))
+        .withColumnRenamed("row", gone_row)
     )
-    joined = own.join(places, row == F.col("gone_row"), "left")
+    joined = own.join(places, row == F.col(gone_row), "left")
     every = _lines(body)
-    at = F.coalesce("gone_at", F.array().cast("array<int>"))
+    at = F.coalesce(gone_at, F.array().cast("array<int>"))
     kept = F.array_join(F.filter(every, lambda x, i: ~F.array_contains(at, i)), "\n")
     filled = F.size(F.filter(every, lambda x: _bare(x) != ""))
     return joined.select(
-        *[F.when(F.col("gone_at").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c) for c in own.columns],
+        *[F.when(F.col(gone_at).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c) for c in own.columns],
         F.when(body.isNull(), 0).otherwise(filled).cast("long").alias("n_lines"),
         F.size(at).cast("long").alias("n_removed"),
     )

@@ -32,7 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleaner.session import checkpointed, ship_package
+from gleaner.llm.names import unused
+from gleaner.llm.store import stored
+from gleaner.session import ship_package
 
 WORD = r"[^\x20\x09-\x0D]+"
 RESERVE = 20_000
@@ -144,7 +146,7 @@ def mix(
         F.coalesce(F.concat(F.lit("s"), own), F.lit("z")).alias("source_key"),  # the null source sorts last
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     ).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_key"))
-    rows = checkpointed(rows)
+    rows = stored(rows)
     counts = rows.groupBy("source_key", "size").agg(F.count("*").alias("n"))
     sums = counts.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()
     sums = sorted((r.source_key.encode(), r.source_key, r.words) for r in sums)
@@ -188,23 +190,23 @@ def mix(
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The rows of the mix, each as often as the mix holds it."""
+    names = unused(docs.columns, "mix_id", "mix_text", "mix_source", "mix_copies", "mix_rows", "mix_key", "mix_copy")
+    of_id, of_text, of_source, copies, rows, key, copy = names
     count = (
         mix(docs, doc_id, text, source, **options)
         .filter("copies > 0")
-        .groupBy(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_text"), F.col("source_key").alias("mix_source"))
-        .agg(F.sum("copies").cast("int").alias("mix_copies"), F.count("*").cast("int").alias("mix_rows"))
+        .groupBy(F.col("doc_id").alias(of_id), F.col("text_key").alias(of_text), F.col("source_key").alias(of_source))
+        .agg(F.sum("copies").cast("int").alias(copies), F.count("*").cast("int").alias(rows))
     )
-    key = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("z"))
-    columns = [F.col(c) for c in docs.columns]
-    own = docs.withColumn("mix_key", key).join(
+    own = docs.withColumn(key, F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("z"))).join(
         count,
-        F.col(doc_id).eqNullSafe(F.col("mix_id")) & (F.xxhash64(F.col(text)) == F.col("mix_text")) & (F.col("mix_key") == F.col("mix_source")),
+        F.col(doc_id).eqNullSafe(F.col(of_id)) & (F.xxhash64(F.col(text)) == F.col(of_text)) & (F.col(key) == F.col(of_source)),
     )
     # rows equal in id, text and source are one row with the copies of all of them
-    many = own.filter("mix_rows > 1").dropDuplicates(["mix_id", "mix_text", "mix_source"])
+    many = own.filter(F.col(rows) > 1).dropDuplicates([of_id, of_text, of_source])
     return (
-        own.filter("mix_rows = 1")
+        own.filter(F.col(rows) == 1)
         .unionByName(many)
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-        .select(*columns)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+        .select(*docs.columns)
     )
