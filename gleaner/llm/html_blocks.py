@@ -163,6 +163,16 @@ _EXTRA = {
 }
 
 
+_NEUTRAL = "x y box col row wrap inner block clearfix left right lead item large text-md main-area".split()
+
+
+def _class(r: random.Random, *names: str) -> str:
+    """A class attribute with the given names among others that say nothing."""
+    own = [*names, *r.sample(_NEUTRAL, r.choice([0, 0, 0, 1, 2]))]
+    r.shuffle(own)
+    return f' class="{" ".join(own)}"' if own else ""
+
+
 def _prose(r: random.Random, low: int, high: int) -> str:
     parts = ["ka", "to", "mi", "ren", "sol", "va", "du", "lis", "on", "er", "th", "ique", "ung", "cion"]
     words = ["".join(r.choice(parts) for _ in range(r.randint(1, 4))) for _ in range(r.randint(low, high))]
@@ -181,7 +191,7 @@ def _links(r: random.Random) -> str:
 
 def _extra(r: random.Random, kind: str) -> str:
     name = r.choice(_EXTRA[kind])
-    where = r.choice([f'class="{name}"', f'id="{name}"', f'class="x {name}-box"', f'class="{name} y" role="{name}"'])
+    where = r.choice([_class(r, name), f' id="{name}"', _class(r, f"{name}-box"), _class(r, name) + f' role="{name}"']).strip()
     tag = {"menu": "nav", "head": "header", "foot": "footer", "side": "aside"}.get(kind, "section")
     start, end = r.choice([(f"<{tag}>", f"</{tag}>"), (f"<{tag} {where}>", f"</{tag}>"), (f"<div {where}>", "</div>")])
     if kind not in ("menu", "head", "foot", "side"):
@@ -201,7 +211,9 @@ def _extra(r: random.Random, kind: str) -> str:
     elif kind == "share":
         body = r.choice([_links(r), f"<span>{_prose(r, 1, 5)}</span>", f'<form><input name="q"><button>{_prose(r, 1, 2)}</button></form>'])
     else:
-        body = r.choice([f"<p>{_prose(r, 4, 30)}</p>", _prose(r, 3, 25), f"<p>{_prose(r, 4, 20)}</p><button>{_prose(r, 1, 2)}</button>"])
+        body = r.choice([f"<p>{_prose(r, 1, 30)}</p>", _prose(r, 1, 25), f"<p>{_prose(r, 4, 20)}</p><button>{_prose(r, 1, 2)}</button>"])
+        if r.random() < 0.2:
+            return f"<p {where}>{_prose(r, 1, 25)}</p>"
     return start + body + end
 
 
@@ -211,8 +223,8 @@ def _form(r: random.Random) -> str:
 
 
 def _article(r: random.Random) -> str:
-    parts = [f"<h1>{_prose(r, 3, 12)}</h1>"]
-    for _ in range(r.randint(1, 9)):
+    parts = [f"<h1>{_prose(r, 3, 12)}</h1>"] if r.random() < 0.7 else []
+    for _ in range(r.randint(1, 9) if parts and r.random() < 0.8 else r.randint(1, 2)):
         kind = r.random()
         if kind < 0.7:
             text = _prose(r, *r.choice([(1, 3), (1, 25), (1, 120)]))
@@ -222,7 +234,7 @@ def _article(r: random.Random) -> str:
                 text = f"<b>{text}" + ("</b>" if r.random() < 0.6 else "<br>")
             if r.random() < 0.3:
                 text += f' <a href="/z">{_prose(r, 1, 4)}</a> {_prose(r, 2, 20)}'
-            parts.append(f"<p>{text}" + ("</p>" if r.random() < 0.8 else ""))
+            parts.append(f"<p{_class(r)}>{text}" + ("</p>" if r.random() < 0.8 else ""))
         elif kind < 0.78:
             parts.append(f"<h2>{_prose(r, 1, 8)}</h2>")
         elif kind < 0.86:
@@ -235,7 +247,7 @@ def _article(r: random.Random) -> str:
             parts.append(f"<pre>{_prose(r, 3, 20)}</pre>")
     name = r.choice(_CONTENT)
     start, end = r.choice(
-        [("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), (f'<div class="{name}">', "</div>"), (f'<div id="{name}">', "</div>"), (f'<main><article class="{name}">', "</article></main>"), ("", "")]
+        [("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), (f"<div{_class(r, name)}>", "</div>"), (f"<article{_class(r)}>", "</article>"), (f'<div id="{name}">', "</div>"), (f'<main><article class="{name}">', "</article></main>"), ("", "")]
     )
     return start + "".join(parts) + end
 
@@ -253,11 +265,14 @@ def labelled_pages(n: int, seed: int = 3) -> list[tuple[list[Block], list[int]]]
         if r.random() < 0.3:
             after.append(_form(r))
         r.shuffle(before)
+        alone = r.random()
+        before = [] if alone < 0.15 else before
+        after = [] if 0.1 < alone < 0.25 else after
         article = _article(r)
-        if r.random() < 0.3:  # something foreign inside the article
+        if r.random() < 0.5:  # something foreign inside the article
             cut = article.rfind("</")
-            article = article[:cut] + _extra(r, r.choice(["ad", "share", "talk", "side"])) + article[cut:]
-        head = f"<html><head><title>{_prose(r, 2, 9)}</title></head><body>"
+            article = article[:cut] + _extra(r, r.choice(["ad", "share", "talk", "talk", "side", "notice"])) + article[cut:]
+        head = f"<html><head><title>{_prose(r, 2, 9)}</title></head><body>" if r.random() < 0.7 else ""
         marked = re.sub(r">([^<>]+)(?=<|$)", r">@@\1", article) if article.startswith("<") else article
         blocks = leaf_blocks(head + "".join(before) + marked + "".join(after) + "</body></html>")
         labels = []

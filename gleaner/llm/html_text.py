@@ -24,7 +24,7 @@ from gleaner.llm.html_blocks import block_features, labelled_pages, leaf_blocks
 from gleaner.llm.words import slices
 from gleaner.session import ship_package
 
-TRAINING_PAGES = 300
+TRAINING_PAGES = 600
 CELLS = 2_000_000  # blocks times pages decoded at once
 
 
@@ -49,7 +49,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
 
 
-def train_field(pages: list[tuple[list, list[int]]], steps: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> CRF:
+def train_field(pages: list[tuple[list, list[int]]], steps: int = 200, rate: float = 0.1, ridge: float = 3e-4) -> CRF:
     lists = [f for blocks, _ in pages for f in block_features(blocks)]
     number = {f: i for i, f in enumerate(sorted({f for own in lists for f in own}))}
     lengths = np.array([len(b) for b, _ in pages])

@@ -34,6 +34,7 @@ POSITIVES = 10_000
 UNLABELLED = 20_000
 CANDIDATES = 50_000
 KEPT = 2_000
+RIDGE = 5e-5  # favours features that many toxic texts share
 LEAST_POSITIVES = 3  # positives that must hold a feature
 LEAST_GAIN = 10.0  # log-likelihood ratio of a kept feature
 PREFIXES = (4, 5)  # bytes of a word's beginning
@@ -121,7 +122,7 @@ def train(places: list[np.ndarray], positive: np.ndarray, drawn: np.ndarray, pri
         negative = drawn * p / n_drawn - positive * p * (prior / n_pos)
         g = as_positive + negative if below >= 0 else -negative
         grad = np.append(np.bincount(cols, g[rows], width), g.sum())
-        grad[:width] += 1e-6 * w[:width]
+        grad[:width] += RIDGE * w[:width]
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         w = w - 0.2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
@@ -237,7 +238,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id"
 def _scores(texts: pa.Array, model: ToxicityModel, find: Lookup) -> np.ndarray:
     rows, place = find(*word_features(texts))
     f = np.bincount(rows, model.weights[place], len(texts)) + model.bias
-    return 1 / (1 + np.exp(-np.clip(f, -700, 700)))
+    return np.where(np.isneginf(f), 0.0, 1 / (1 + np.exp(-np.clip(f, -700, 700))))  # no model: no score
 
 
 def _kept_rows(batches, model, threshold, text):
