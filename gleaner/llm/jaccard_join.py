@@ -9,8 +9,9 @@ lists are merged, and long ones are only probed:
 1. One row per text: set size and a 128-bit signature; equal sets collapse.
 2. The first shingles of each text go to buckets by hash; a bucket sorts them
    and finds the inverted lists of two or more texts.
-3. Short lists give pairs that pass the length and position bounds; the pairs'
-   texts are joined and the overlap counted exactly.
+3. Short lists are merged: they give pairs with the number of first shingles in
+   common. What is left of a text bounds the rest of the overlap; pairs that
+   can still reach T are joined with their texts and counted exactly.
 4. Long lists join their texts into families. A family is cut into tiles of
    bounded size, and each tile runs the T-occurrence search (DivideSkip): short
    lists merged, the longest probed by binary search, texts kept that reach the
@@ -32,14 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.graph import components
+from gleaner.llm.names import unused
+from gleaner.llm.store import stored
 from gleaner.llm.words import SPACED, U64, mix, runs, shingles, slices, words_of
-from gleaner.session import checkpointed, ship_package
+from gleaner.session import ship_package
 
-SAMPLE_DOCS = 5_000  # texts that show which shingles are frequent: this only sets the order
-FREQUENT = 200_000
+SAMPLE_DOCS = 20_000  # texts that show which shingles are frequent: this only sets the order
+FREQUENT = 1_000_000
 SHORT_LIST = 32  # texts in a list whose pairs are written
 TILE = 500  # texts in one side of a tile
 BUCKET_ROWS = 100_000
+BUCKETS_A_TASK = 16  # so that most lists of a pair meet in few tasks and leave them as few rows
 BROADCAST_IDS = 1_000_000  # counted first; beyond it the ids are joined by a shuffle
 _SIGN = (U64(0x1B873593CC9E2D51), U64(0xE6546B64A5A5A5A5))
 
@@ -102,7 +106,7 @@ def _shingle_counts(batches, k):
 
 
 def prefixes(rows, hashes, n_rows, frequent: tuple[np.ndarray, np.ndarray], share: int):
-    """First shingles of each set in the common order: ``(rows, hashes, places)``."""
+    """First shingles of each set in the common order: ``(rows, hashes)``."""
     keys, rank = frequent
     size = np.bincount(rows, minlength=n_rows)
     if len(keys) and len(hashes):
@@ -113,13 +117,12 @@ def prefixes(rows, hashes, n_rows, frequent: tuple[np.ndarray, np.ndarray], shar
     place = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
     first = size + (-size * share // 100) + 1  # n - ceil(share n / 100) + 1
     keep = place < first[rows]
-    return rows[keep], hashes[keep], place[keep]
+    return rows[keep], hashes[keep]
 
 
 def _blobs(batches, k, share, frequent, buckets):
     """First shingles, packed by bucket; equal sets seen by this task are sent once."""
     freq, seen = frequent.value, set()
-    kind = ("bucket", "h", "id", "sig", "n", "place")
     for batch in slices(batches, "text"):
         rows, hashes = shingle_sets(batch.column("text"), k)
         size, (s1, s2) = signatures(rows, hashes, batch.num_rows)
@@ -133,16 +136,16 @@ def _blobs(batches, k, share, frequent, buckets):
                 seen.add(key)
                 fresh[r] = True
         own = fresh[rows]
-        rows, hashes, place = prefixes(rows[own], hashes[own], batch.num_rows, freq, share)
+        rows, hashes = prefixes(rows[own], hashes[own], batch.num_rows, freq, share)
         to = (hashes % U64(buckets)).astype(np.int64)
         order = np.argsort(to.astype(np.uint16) if buckets <= 65536 else to, kind="stable")
-        to, rows, hashes, place = to[order], rows[order], hashes[order], place[order]
+        to, rows, hashes = to[order], rows[order], hashes[order]
         cuts = np.flatnonzero(np.diff(to, prepend=-1))
         ends = np.append(cuts[1:], len(to))
         sig = (s1 ^ (s2 << U64(1))).astype(np.uint32)
-        columns = (hashes, ids[rows].astype(np.int64), sig[rows], size[rows].astype(np.int32), place.astype(np.int32))
+        columns = (hashes, ids[rows].astype(np.int64), sig[rows], size[rows].astype(np.int32))
         packed = [[c[a:b].tobytes() for a, b in zip(cuts.tolist(), ends.tolist())] for c in columns]
-        yield pa.RecordBatch.from_arrays([pa.array(to[cuts], pa.int64()), *(pa.array(c, pa.binary()) for c in packed)], names=list(kind))
+        yield pa.RecordBatch.from_arrays([pa.array(to[cuts], pa.int64()), *(pa.array(c, pa.binary()) for c in packed)], names=["bucket", "h", "id", "sig", "n"])
 
 
 def needed(n1, n2, share: int):
@@ -150,61 +153,58 @@ def needed(n1, n2, share: int):
     return -(-share * (n1 + n2) // (100 + share))
 
 
-def list_pairs(h, ids, sig, n, place, share: int, short: int):
-    """Candidate pairs of short lists, and hub links of long ones, from one bucket."""
+def list_pairs(h, ids, sig, n, share: int, short: int):
+    """From one bucket, ``(a, b, n_a, n_b, common)`` of short lists, and hub links of long ones."""
     order = np.argsort(h)
     h = h[order]
     same = np.zeros(len(h) + 1, bool)
     same[1:-1] = h[1:] == h[:-1]
     own = same[1:] | same[:-1]  # in a list of two or more
     order, h = order[own], h[own]
-    ids, sig, n, place = ids[order], sig[order], n[order], place[order]
+    ids, sig, n = ids[order], sig[order], n[order]
     group = np.cumsum(np.diff(h, prepend=h[:1] ^ U64(1)) != 0) if len(h) else np.empty(0, np.int64)
     # equal sets count once in a list: the smallest id stays
     order = np.lexsort((ids, n, sig, group))
-    group, ids, sig, n, place = group[order], ids[order], sig[order], n[order], place[order]
+    group, ids, sig, n = group[order], ids[order], sig[order], n[order]
     new = np.ones(len(group), bool)
     new[1:] = (group[1:] != group[:-1]) | (sig[1:] != sig[:-1]) | (n[1:] != n[:-1])
-    group, ids, n, place = group[new], ids[new], n[new], place[new]
+    group, ids, n = group[new], ids[new], n[new]
     start = np.flatnonzero(np.diff(group, prepend=-1))
     count = np.diff(np.append(start, len(group)))
-    hot, pairs = [], []
+    hot, pairs = np.empty((0, 2), np.int64), []
     long = np.repeat(count > short, count)
     if long.any():
         hub = np.repeat(ids[start], count)
         hot = np.unique(np.stack([ids[long], hub[long]], 1), axis=0)
     left = np.repeat(start + count, count) - np.arange(len(group)) - 1  # later texts of the list
     left[long] = 0
-    for part in np.array_split(np.arange(len(group)), max(1, int(left.sum()) // 2_000_000 + 1)):
-        if not len(part):
-            continue
+    for part in np.array_split(np.arange(len(group)), max(1, int(left.sum()) // 1_000_000 + 1)):
         one, nth = runs(left[part])
         x = part[one]
         y = x + 1 + nth
-        most = 1 + np.minimum(n[x] - place[x], n[y] - place[y]) - 1
-        ok = (most >= needed(n[x], n[y], share)) & (ids[x] != ids[y])
-        a, b = ids[x[ok]], ids[y[ok]]
-        pairs.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
-    pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
-    return pairs, hot if len(hot) else np.empty((0, 2), np.int64)
+        ok = (100 * np.minimum(n[x], n[y]) >= share * np.maximum(n[x], n[y])) & (ids[x] != ids[y])
+        x, y = x[ok], y[ok]
+        x, y = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
+        rows, times = np.unique(np.stack([ids[x], ids[y], n[x], n[y]], 1), axis=0, return_counts=True)
+        pairs.append(np.column_stack([rows, times]))
+    return np.concatenate(pairs) if pairs else np.empty((0, 5), np.int64), hot
 
 
 def _bucket_pairs(batches, share, short):
-    kinds = {"h": np.uint64, "id": np.int64, "sig": np.uint32, "n": np.int32, "place": np.int32}
+    kinds = {"h": np.uint64, "id": np.int64, "sig": np.uint32, "n": np.int32}
     held: dict[str, list] = {k: [] for k in kinds}
     for batch in batches:
         for name, kind in kinds.items():
             held[name].append(np.frombuffer(b"".join(batch.column(name).to_pylist()), kind))
     if not held["h"]:
         return
-    col = {k: np.concatenate(v) for k, v in held.items()}
-    pairs, hot = list_pairs(col["h"], col["id"], col["sig"], col["n"], col["place"], share, short)
+    pairs, hot = list_pairs(*(np.concatenate(held[k]) for k in kinds), share, short)
+    hot = np.column_stack([hot, np.zeros((len(hot), 3), np.int64)])
     for rows, is_hot in ((pairs, False), (hot, True)):
         for a in range(0, len(rows), 100_000):
-            some = rows[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some[:, 0]), pa.array(some[:, 1]), pa.array(np.full(len(some), is_hot))], names=["a", "b", "hot"]
-            )
+            some = rows[a : a + 100_000].astype(np.int64)
+            columns = [pa.array(np.ascontiguousarray(some[:, i])) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(some), is_hot))], names=["a", "b", "n_a", "n_b", "common", "hot"])
 
 
 def _verified(batches, k, share):
@@ -253,10 +253,9 @@ def _tile(table: pa.Table, k: int, share: int) -> pa.Table:
     table = table.combine_chunks()
     rows, hashes = shingle_sets(table["text"].combine_chunks(), k)
     ids = table["id"].to_numpy()
-    block = table["block"].to_numpy()
     sizes = np.bincount(rows, minlength=len(ids))
-    first = block == block.min() if len(block) else block
-    inner = table["i"][0].as_py() == table["j"][0].as_py()
+    first = table["first"].to_numpy()
+    inner = table["inner"][0].as_py()
     index = np.flatnonzero(first)
     queries = index if inner else np.flatnonzero(~first)
     number = np.full(len(ids), -1)
@@ -283,17 +282,35 @@ def _tile(table: pa.Table, k: int, share: int) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
-def family_links(texts: DataFrame, hot: DataFrame, k: int, share: int, tile: int) -> DataFrame:
-    """Links inside the families that long lists make, found tile by tile."""
-    family = components(hot)
-    sizes = family.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
-    placed = family.join(sizes, "component").withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
-    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+def family_links(texts: DataFrame, hot: DataFrame, sizes: DataFrame, k: int, share: int, tile: int) -> DataFrame:
+    """Links inside the families that long lists make, found tile by tile.
+
+    A family is cut by size: sets that link are within a factor of 100 / share,
+    so a band of that width meets itself and the next one only. A band is cut
+    into blocks of about ``tile`` texts; a tile is two blocks.
+    """
+    placed = stored(
+        components(hot)
+        .join(sizes, "id")
+        .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / share)) + 1e-9).cast("int"))
+    )
+    blocks = placed.groupBy("component", "band").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
+    own = placed.join(blocks, ["component", "band"]).withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
+    # the bands that a text meets: its own and those beside it
+    near = F.explode(F.array(*[F.struct(F.lit(d).alias("step")) for d in (-1, 0, 1)]))
+    met = own.select("id", "component", "band", "block", near.alias("d")).select(
+        "id", "component", "band", "block", (F.col("band") + F.col("d.step")).alias("other_band")
+    )
+    met = met.join(blocks.toDF("component", "other_band", "others"), ["component", "other_band"])
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    here, there = F.struct("band", "block"), F.struct(F.col("other_band").alias("band"), F.col("other").alias("block"))
+    tiles = met.select(
+        "id", "component", F.least(here, there).alias("i"), F.greatest(here, there).alias("j"), (here <= there).alias("first")
     )
     return (
         texts.join(tiles, "id")
-        .groupBy("component", "i", "j")
+        .select("id", "text", "first", (F.col("i") == F.col("j")).alias("inner"), "component", F.col("i.band").alias("ib"), F.col("i.block").alias("i"), F.col("j.band").alias("jb"), F.col("j.block").alias("j"))
+        .groupBy("component", "ib", "i", "jb", "j")
         .applyInArrow(lambda t: _tile(t, k, share), "a long, b long")
     )
 
@@ -312,7 +329,7 @@ def similar_documents(
     spark = docs.sparkSession
     ship_package(spark)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    meta = checkpointed(texts.mapInArrow(lambda it: _meta(it, k), "id long, n long, s1 long, s2 long"))
+    meta = stored(texts.mapInArrow(lambda it: _meta(it, k), "id long, n long, s1 long, s2 long"))
     facts = meta.agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).first()
     # frequent shingles, from a sample: any order is right, this one keeps lists short
     some = int(1_000_000 * min(1.0, sample_docs / max(1, facts.docs)))
@@ -321,7 +338,7 @@ def similar_documents(
         .mapInArrow(lambda it: _shingle_counts(it, k), "h long, n long")
         .groupBy("h")
         .agg(F.sum("n").alias("n"))
-        .filter("n >= 3")
+        .filter("n >= 2")
         .orderBy(F.desc("n"), "h")
         .limit(FREQUENT)
         .toArrow()
@@ -330,19 +347,28 @@ def similar_documents(
     order = np.argsort(keys)
     frequent = spark.sparkContext.broadcast((keys[order], rank[order]))
     buckets = max(64, (facts.shingles or 0) * (100 - share) // 100 // BUCKET_ROWS)
-    found = checkpointed(
+    found = stored(
         texts.filter(F.col("id").isNotNull())
         .mapInArrow(
             lambda it: _blobs(it, k, share, frequent, buckets),
-            "bucket long, h binary, id binary, sig binary, n binary, place binary",
+            "bucket long, h binary, id binary, sig binary, n binary",
         )
-        .repartition(max(8, buckets // 4), "bucket")
-        .mapInArrow(lambda it: _bucket_pairs(it, share, short_list), "a long, b long, hot boolean")
+        .repartition(max(8, buckets // BUCKETS_A_TASK), "bucket")
+        .mapInArrow(lambda it: _bucket_pairs(it, share, short_list), "a long, b long, n_a long, n_b long, common long, hot boolean")
+    )
+    hot = stored(found.filter("hot").select("a", "b").distinct())
+    # lists that are not short are searched by family, so `common` counts all others of a pair
+    rest = F.floor(F.greatest("n_a", "n_b") * share / 100 + 1)  # at least what either has beyond its first shingles
+    pairs = stored(
+        found.filter("not hot")
+        .groupBy("a", "b")
+        .agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("common").alias("common"))
+        .filter((100 + share) * (F.col("common") + rest) >= share * (F.col("n_a") + F.col("n_b")))
+        .select("a", "b")
     )
-    pairs = found.filter("not hot").select("a", "b").distinct()
     # only texts that a list names are joined: few, so their ids are mostly small enough to broadcast
-    ids = checkpointed(found.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    named = checkpointed(texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"))
+    ids = stored(pairs.unionByName(hot).select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    named = stored(texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"))
     one, two = named.alias("one"), named.alias("two")
     joined = (
         pairs.join(one, F.col("a") == F.col("one.id"))
@@ -351,10 +377,11 @@ def similar_documents(
         .select("a", "b", "text_a", F.col("two.text").alias("text_b"))
     )
     links = joined.mapInArrow(lambda it: _verified(it, k, share), "a long, b long")
-    links = links.unionByName(family_links(named, found.filter("hot"), k, share, tile))
+    sizes = meta.filter(F.col("id").isNotNull()).groupBy("id").agg(F.max("n").alias("n"))
+    links = links.unionByName(family_links(named, hot, sizes, k, share, tile))
     # equal sets: everything above may name any of them, the smallest stands for all
     first = meta.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("first"))
-    first = checkpointed(meta.filter("n > 0").join(first, ["n", "s1", "s2"]).select("id", "first").distinct())
+    first = stored(meta.filter("n > 0").join(first, ["n", "s1", "s2"]).select("id", "first").distinct())
     ends = links.join(first.toDF("a", "fa"), "a").join(first.toDF("b", "fb"), "b").select("fa", "fb")
     many = first.filter("id <> first").select(F.col("id").alias("fa"), F.col("first").alias("fb"))
     linked = components(ends.unionByName(many), "fa", "fb").withColumnRenamed("id", "linked")
@@ -368,12 +395,13 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 
     Of rows that repeat an id one stays; rows without an id stay.
     """
+    (gone_id,) = unused(docs.columns, "gone_id")
     gone = (
         similar_documents(docs, doc_id, text, k, share)
         .filter("doc_id <> component_id")
-        .select(F.col("doc_id").alias("gone_id"))
+        .select(F.col("doc_id").alias(gone_id))
         .distinct()
     )
-    left = docs.join(gone, F.col(doc_id).cast("long") == F.col("gone_id"), "left_anti")
+    left = docs.join(gone, F.col(doc_id).cast("long") == F.col(gone_id), "left_anti")
     named = left.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
     return named.unionByName(left.filter(F.col(doc_id).isNull()))
