@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
-from conftest import WORDS  # noqa: F401  (tests/llm/conftest.py)
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
