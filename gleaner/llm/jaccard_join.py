@@ -142,7 +142,7 @@ def _blobs(batches, k, share, frequent, buckets):
         to, rows, hashes = to[order], rows[order], hashes[order]
         cuts = np.flatnonzero(np.diff(to, prepend=-1))
         ends = np.append(cuts[1:], len(to))
-        sig = (s1 ^ (s2 << U64(1))).astype(np.uint32)
+        sig = s1 ^ (s2 << U64(1))
         columns = (hashes, ids[rows].astype(np.int64), sig[rows], size[rows].astype(np.int32))
         packed = [[c[a:b].tobytes() for a, b in zip(cuts.tolist(), ends.tolist())] for c in columns]
         yield pa.RecordBatch.from_arrays([pa.array(to[cuts], pa.int64()), *(pa.array(c, pa.binary()) for c in packed)], names=["bucket", "h", "id", "sig", "n"])
@@ -187,11 +187,18 @@ def list_pairs(h, ids, sig, n, share: int, short: int):
         x, y = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
         rows, times = np.unique(np.stack([ids[x], ids[y], n[x], n[y]], 1), axis=0, return_counts=True)
         pairs.append(np.column_stack([rows, times]))
-    return np.concatenate(pairs) if pairs else np.empty((0, 5), np.int64), hot
+    if not pairs:
+        return np.empty((0, 5), np.int64), hot
+    rows = np.concatenate(pairs)
+    rows = rows[np.lexsort(rows.T[3::-1])]
+    at = np.flatnonzero(np.append(True, (rows[1:, :4] != rows[:-1, :4]).any(1))) if len(rows) else np.empty(0, np.int64)
+    if len(at):
+        rows = np.column_stack([rows[at, :4], np.add.reduceat(rows[:, 4], at)])
+    return rows, hot
 
 
 def _bucket_pairs(batches, share, short):
-    kinds = {"h": np.uint64, "id": np.int64, "sig": np.uint32, "n": np.int32}
+    kinds = {"h": np.uint64, "id": np.int64, "sig": np.uint64, "n": np.int32}
     held: dict[str, list] = {k: [] for k in kinds}
     for batch in batches:
         for name, kind in kinds.items():
@@ -358,12 +365,13 @@ def similar_documents(
     )
     hot = stored(found.filter("hot").select("a", "b").distinct())
     # lists that are not short are searched by family, so `common` counts all others of a pair
-    rest = F.floor(F.greatest("n_a", "n_b") * share / 100 + 1)  # at least what either has beyond its first shingles
+    # an id with several texts has several sizes: the bounds hold for each of them
+    rest = F.floor(F.greatest(F.max("n_a"), F.max("n_b")) * share / 100 + 1)  # at least what is beyond first shingles
     pairs = stored(
         found.filter("not hot")
         .groupBy("a", "b")
-        .agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("common").alias("common"))
-        .filter((100 + share) * (F.col("common") + rest) >= share * (F.col("n_a") + F.col("n_b")))
+        .agg(((100 + share) * (F.sum("common") + rest)).alias("most"), (F.min("n_a") + F.min("n_b")).alias("both"))
+        .filter(F.col("most") >= share * F.col("both"))
         .select("a", "b")
     )
     # only texts that a list names are joined: few, so their ids are mostly small enough to broadcast
