@@ -42,7 +42,7 @@ from gleaner.session import ship_package
 MAGIC = b"GLTOKID1"
 SAMPLE = 256
 SHARD_IDS = 8_000_000
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 500_000  # about 100 MB, which a worker keeps between tasks
 
 
 # ---------------------------------------------------------------- Elias-Fano
