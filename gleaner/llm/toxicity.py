@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from gleaner.llm.words import ALNUM, U64, mix, slices, words_of
 from gleaner.session import ship_package
 
-POSITIVES = 10_000
+POSITIVES = 8_000
 UNLABELLED = 20_000
-CANDIDATES = 50_000
+CANDIDATES = 20_000  # fits 16 bits: the lists are collected
 KEPT = 2_000
 RIDGE = 5e-5  # favours features that many toxic texts share
 LEAST_POSITIVES = 3  # positives that must hold a feature
@@ -100,7 +100,7 @@ def _listed(batches, lookup):
     for batch in slices(batches, "text"):
         rows, place = find(*word_features(batch.column("text")))
         ends = np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int32)))
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int16)))
         yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("drawn"), lists], names=["positive", "drawn", "places"])
 
 
@@ -180,14 +180,14 @@ def fit_toxicity(
     lookup = spark.sparkContext.broadcast(Lookup(names))
     fit = (
         sample.filter("positive or drawn")
-        .mapInArrow(lambda it: _listed(it, lookup), "positive boolean, drawn boolean, places array<int>")
+        .mapInArrow(lambda it: _listed(it, lookup), "positive boolean, drawn boolean, places array<smallint>")
         .toArrow()
         .combine_chunks()
     )
     is_pos = fit["positive"].to_numpy().astype(bool)
     is_drawn = fit["drawn"].to_numpy().astype(bool)
     lists = fit["places"].combine_chunks()
-    flat = lists.values.to_numpy() if len(lists) else np.empty(0, np.int32)
+    flat = lists.values.to_numpy() if len(lists) else np.empty(0, np.int16)
     n_each = pc.list_value_length(lists).to_numpy()
     row = np.repeat(np.arange(len(lists)), n_each)
     with_pos = np.bincount(flat[is_pos[row]], minlength=len(names)).astype(float)
