@@ -211,6 +211,35 @@ def test_planted_passages_are_found(spark, awkward, empty_docs):
     assert ps.repeated_passages(empty_docs).count() == 0
 
 
+def test_repeats_behind_a_first_window_that_fails(spark):
+    """Passages put together from frequent lines, and longer ones around shorter ones, against brute force."""
+    r = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(3_000)]
+    draw = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    texts = {}
+    for _ in range(10):
+        whole = draw(75)
+        for a in range(0, 60, 10):  # smaller ids hold every shingle, but too few in a row
+            for _ in range(6):
+                texts[len(texts)] = draw(60) + whole[a : a + 20] + draw(60)
+        texts[1_000 + len(texts)] = draw(60) + whole[:55] + draw(60)
+        for _ in range(3):
+            texts[2_000 + len(texts)] = draw(r.randint(0, 80)) + whole + draw(r.randint(0, 80))
+        texts[len(texts)] = draw(20) + (twice := draw(60)) + draw(40) + twice  # both places of the smallest id
+        texts[len(texts)] = draw(30) + twice + draw(10)
+    holders = defaultdict(set)
+    for i, w in texts.items():
+        for j in range(len(w) - 49):
+            holders[tuple(w[j : j + 50])].add(i)
+    want = {(i, j) for i, w in texts.items() for j in range(len(w) - 49) if len(holders[tuple(w[j : j + 50])]) > 1}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(3)
+    got = {(x.doc_id, j) for x in ps.repeated_passages(docs).collect() for j in range(x.start_word, x.start_word + x.n_words - 49)}
+    assert want <= got
+    assert {i for i, _ in got} == {i for i, _ in want}
+    at, left = ps.linked_runs([{"l": 3, "r": 120}], [{"start": 10, "end": 70}, {"start": 40, "end": 90}], 5, 46, 200)
+    assert at.tolist() == [*range(3, 76)] and at[left].tolist() == [*range(3, 10), *range(41, 76)]
+
+
 def bag(t):
     w = SPACED.findall(low(t))
     return Counter(zip(w, w[1:])) if len(w) > 1 else Counter(w)
