@@ -10,8 +10,9 @@ whose negative part is held at zero or above, so that a flexible model cannot
 win by fitting the unlabelled positives.
 
 Bounds (documented parameters): ``positives`` and ``unlabelled`` rows, chosen
-by a hash of their id, fit the model; at most ``candidates`` features are
-weighed and ``kept`` of them stay. Scoring covers every whole text.
+by a hash of their id, fit the model. All features of these rows are counted
+and weighed in Spark; the ``kept`` of the highest gain reach the driver. Scoring
+covers every whole text.
 
 Defined results: a null or empty text has no features and gets the score of
 the intercept; without any confirmed toxic document every score is 0; a label
@@ -30,10 +31,9 @@ from pyspark.sql import functions as F
 from gleaner.llm.words import ALNUM, U64, mix, slices, words_of
 from gleaner.session import ship_package
 
-POSITIVES = 8_000
+POSITIVES = 10_000
 UNLABELLED = 20_000
-CANDIDATES = 20_000  # fits 16 bits: the lists are collected
-KEPT = 2_000
+KEPT = 2_000  # fits 16 bits: the lists are collected
 RIDGE = 5e-5  # favours features that many toxic texts share
 LEAST_POSITIVES = 3  # positives that must hold a feature
 LEAST_GAIN = 10.0  # log-likelihood ratio of a kept feature
@@ -85,14 +85,26 @@ class Lookup:
 
 
 def _feature_counts(batches):
+    """Positive and drawn texts of each batch that hold a feature."""
     for batch in slices(batches, "text"):
         found, rows = word_features(batch.column("text"))
         order = np.lexsort((rows, found))
         found, rows = found[order], rows[order]
         new = np.ones(len(found), bool)
         new[1:] = (found[1:] != found[:-1]) | (rows[1:] != rows[:-1])
-        keys, n = np.unique(found[new], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["feature", "n"])
+        keys, place = np.unique(found[new], return_inverse=True)
+        counts = []
+        for name in ("positive", "drawn"):
+            marked = batch.column(name).to_numpy(zero_copy_only=False).astype(bool)[rows[new]]
+            counts.append(pa.array(np.bincount(place[marked], minlength=len(keys)).astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *counts], names=["feature", "p", "d"])
+
+
+def _gains(batches, n_pos, n_all):
+    for batch in batches:
+        p, d = (batch.column(c).to_numpy().astype(float) for c in ("p", "d"))
+        gain = np.where(p / n_pos > d / n_all, _gain(p, n_pos, d, n_all), 0.0)
+        yield pa.RecordBatch.from_arrays([batch.column("feature"), pa.array(gain)], names=["feature", "gain"])
 
 
 def _listed(batches, lookup):
@@ -139,7 +151,6 @@ def fit_toxicity(
     label: str = "toxic",
     positives: int = POSITIVES,
     unlabelled: int = UNLABELLED,
-    candidates: int = CANDIDATES,
     kept: int = KEPT,
 ) -> ToxicityModel:
     """Train on the rows for which ``usable`` (a condition on the id column ``id``) holds."""
@@ -163,24 +174,27 @@ def fit_toxicity(
     sample = rows.join(F.broadcast(chosen.withColumn("positive", F.lit(True))), "id", "left").select(
         "text", F.coalesce("positive", F.lit(False)).alias("positive"), F.coalesce(drawn, F.lit(False)).alias("drawn")
     )
-    counts = (
-        sample.filter("positive")
-        .select("text")
-        .mapInArrow(_feature_counts, "feature long, n long")
+    sample = sample.filter("positive or drawn")
+    size = sample.agg(F.sum(F.col("positive").cast("int")).alias("p"), F.sum(F.col("drawn").cast("int")).alias("d")).first()
+    if not size.p:
+        return ToxicityModel()
+    best = (
+        sample.mapInArrow(_feature_counts, "feature long, p long, d long")
         .groupBy("feature")
-        .agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= LEAST_POSITIVES)
-        .orderBy(F.desc("n"), "feature")
-        .limit(candidates)
+        .agg(F.sum("p").alias("p"), F.sum("d").alias("d"))
+        .filter(F.col("p") >= LEAST_POSITIVES)
+        .mapInArrow(lambda it: _gains(it, size.p, max(1, size.d)), "feature long, gain double")
+        .filter(F.col("gain") >= LEAST_GAIN)
+        .orderBy(F.desc("gain"), "feature")
+        .limit(kept)
         .toArrow()
     )
-    names = np.sort(counts["feature"].to_numpy().view(U64))
+    names = np.sort(best["feature"].to_numpy().view(U64))
     if not len(names):
         return ToxicityModel()
     lookup = spark.sparkContext.broadcast(Lookup(names))
     fit = (
-        sample.filter("positive or drawn")
-        .mapInArrow(lambda it: _listed(it, lookup), "positive boolean, drawn boolean, places array<smallint>")
+        sample.mapInArrow(lambda it: _listed(it, lookup), "positive boolean, drawn boolean, places array<smallint>")
         .toArrow()
         .combine_chunks()
     )
@@ -189,20 +203,9 @@ def fit_toxicity(
     lists = fit["places"].combine_chunks()
     flat = lists.values.to_numpy() if len(lists) else np.empty(0, np.int16)
     n_each = pc.list_value_length(lists).to_numpy()
-    row = np.repeat(np.arange(len(lists)), n_each)
-    with_pos = np.bincount(flat[is_pos[row]], minlength=len(names)).astype(float)
-    with_all = np.bincount(flat[is_drawn[row]], minlength=len(names)).astype(float)
-    n_pos, n_all = is_pos.sum(), max(1, is_drawn.sum())
-    gain = _gain(with_pos, n_pos, with_all, n_all)
-    gain[with_pos / n_pos <= with_all / n_all] = 0
-    best = np.sort(np.argsort(-gain, kind="stable")[:kept])
-    best = best[gain[best] >= LEAST_GAIN]
-    to = np.full(len(names), -1)
-    to[best] = np.arange(len(best))
-    own = to[flat] >= 0
-    ends = np.cumsum(np.bincount(row[own], minlength=len(lists)))[:-1] if len(lists) else []
-    weights, bias = train(np.split(to[flat[own]], ends), is_pos, is_drawn, prior, len(best))
-    return ToxicityModel(names[best], weights, bias)
+    ends = np.cumsum(n_each)[:-1] if len(lists) else []
+    weights, bias = train(np.split(flat, ends), is_pos, is_drawn, prior, len(names))
+    return ToxicityModel(names, weights, bias)
 
 
 def _gain(a: np.ndarray, n_a: float, b: np.ndarray, n_b: float) -> np.ndarray:

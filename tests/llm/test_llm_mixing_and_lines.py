@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -146,3 +147,17 @@ def test_risk_stays_at_zero_or_above():
     positive = np.array([True] * 20 + [False] * 20)
     w, b = toxicity.train(places, positive, ~positive, 0.5, 1)
     assert np.isfinite(w).all() and np.isfinite(b) and abs(w[0] + b) < 20
+
+
+def test_rare_toxic_words_among_many_ordinary_ones(spark):
+    """Words of a quarter of the toxic texts are weighed, however many commoner features there are."""
+    r = random.Random(4)
+    ordinary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(8_000)]
+    marks = ["q1", "q2", "q3", "q4"]
+    rows = [(i, " ".join([w for w in ordinary if r.random() < 0.5] + [marks[i % 4]])) for i in range(40)]
+    rows += [(i, " ".join(ordinary)) for i in range(40, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    found, _ = toxicity.word_features(pa.array(marks))
+    assert set(found.tolist()) <= set(model.features.tolist())
