@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontamination, fingerprints, hard_negatives, html_text, jaccard_join, language_id, line_dedup, mixing, passages, token_ids, toxicity
+from gleaner.llm import decontamination, fingerprints, hard_negatives, html_text, jaccard_join, language_id, line_dedup, minhash_join, mixing, passages, token_ids, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -187,3 +187,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     noised = F.when(v % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = table(spark, sf_dir, "embeddings").withColumn("label", noised)
     return hard_negatives.mine_hard_negatives(rows, v % 100 == 0)
+
+
+OP13_SQL = OP10_SQL.replace(">= 75 *", ">= 85 *").replace("m.c AS component_id", "m.c AS component_id, m.c = d.doc_id AS kept")
+
+
+@query(OP13_SQL)
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_copies(table(spark, sf_dir, "documents"))
