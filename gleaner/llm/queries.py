@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontamination, fingerprints, hard_negatives, html_text, jaccard_join, language_id, line_dedup, minhash_join, mixing, passages, token_ids, toxicity
+from gleaner.llm import collocations, decontamination, fingerprints, hard_negatives, html_text, jaccard_join, language_id, line_dedup, minhash_join, mixing, passages, token_ids, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -195,3 +195,34 @@ OP13_SQL = OP10_SQL.replace(">= 75 *", ">= 85 *").replace("m.c AS component_id",
 @query(OP13_SQL)
 def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_copies(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+    regexp_split_to_array({SQL_LOW.format(c='text')}, '[.,;:!?\\x0A-\\x0D]') AS pieces FROM documents),
+p AS (SELECT r, lang, unnest(range(1, len(pieces) + 1)) AS i, unnest(pieces) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda q: array_to_string(w[q:q + k - 1], ' '))) AS phrase
+      FROM w, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS s FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT c.*, cut, x.f AS l, y.f AS r, 1000000 * a * a // (x.f * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(s[:cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(s[cut + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_ AS (SELECT lang, array_to_string(s[:2], ' ') AS phrase, a FROM c WHERE k = 3
+  UNION ALL SELECT lang, array_to_string(s[2:], ' '), a FROM c WHERE k = 3),
+longer AS (SELECT lang, phrase, max(a) AS longer FROM inner_ GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, CAST(encode(phrase) AS BLOB)) AS rank, phrase,
+  CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN n USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, CAST(encode(phrase) AS BLOB)) <= 2000
+"""
+
+
+@query(OP12_SQL)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"))
