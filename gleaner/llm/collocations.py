@@ -6,7 +6,8 @@ counts. Neither part is rarer than the phrase, so a prefix of frequency p whose
 own first word has frequency q bounds every growth of it: a <= p and r >= a, so
 no three-word phrase behind it scores over floor(10^6 p / q).
 
-1. Words and pairs of words are counted over the whole corpus.
+1. Words are counted over the whole corpus, then pairs of frequent words: a pair
+   is no more frequent than its words.
 2. The frontier is every pair that is frequent enough. A wave takes, per
    language, the prefixes whose bound reaches a threshold, best first, and those
    that can grow into a phrase that would drop a pair of that score. Only their
@@ -40,7 +41,8 @@ from gleaner.llm.words import SPACED, U64, Words, mix, slices, text_bytes, words
 from gleaner.session import ship_package
 
 MAP_BITS = 28  # of the largest bit map: 32 MB
-HELD = 1_000_000  # distinct rows that a task adds up before it sends them
+HELD = 500_000  # distinct rows that a task adds up before it sends them
+SLICE = 1 << 20  # bytes of text taken at once
 _STEP = U64(0x9FB21C651E98DF25)
 
 # a word ends at a blank, a piece also at . , ; : ! ? and line ends
@@ -88,14 +90,14 @@ def _sent(held: dict[str, np.ndarray], languages: list[str | None], names: list[
     known = pa.array(languages, pa.string())
     for a in range(0, len(held["code"]), 50_000):
         some = {k: v[a : a + 50_000] for k, v in held.items()}
-        columns = [pc.take(known, pa.array(some["lang"])), *(pa.array(some[x].view(np.int64) if x != "word" else some[x].tolist()) for x in names), pa.array(some["times"])]
+        columns = [pc.take(known, pa.array(some["lang"])), *(pa.array(some[x].view(np.int64)) for x in names), pa.array(some["times"])]
         yield pa.RecordBatch.from_arrays(columns, names=["lang", *names, "times"])
 
 
 def _tally(batches, names: list[str], found) -> Iterator[pa.RecordBatch]:
     """Adds up over a task what ``found`` gives for each slice."""
     held, languages, known = None, [], {}
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         own, names_of = _languages(batch.column("lang"))
         number = np.array([known.setdefault(x, len(known)) for x in names_of.to_pylist()], np.int64)
         languages = list(known)
@@ -114,21 +116,31 @@ def _tally(batches, names: list[str], found) -> Iterator[pa.RecordBatch]:
 def _unigrams(texts: pa.Array, lang: np.ndarray) -> dict[str, np.ndarray]:
     w, row, _ = _followed(texts)
     own = lang[row]
-    code = _coded(own, w.hash)
-    _, first, of = np.unique(code, return_index=True, return_inverse=True)
-    low = w.low.tobytes()
-    word = np.array([low[a:b].replace(b"\xff", b"\x00").decode("utf-8", "replace") for a, b in zip(w.start[first].tolist(), w.end[first].tolist())], object)
-    times = np.bincount(of, minlength=len(first))
-    return {"code": code[first], "lang": own[first], "x": w.hash[first], "word": word, "times": times}
+    return {"code": _coded(own, w.hash), "lang": own, "x": w.hash, "times": np.ones(len(row))}
 
 
-def _bigrams(texts: pa.Array, lang: np.ndarray) -> dict[str, np.ndarray]:
+def _bigrams(texts: pa.Array, lang: np.ndarray, bits: np.ndarray) -> dict[str, np.ndarray]:
     w, row, goes_on = _followed(texts)
-    at = np.flatnonzero(goes_on)
+    common = in_map(bits, prefix_key(w.hash, U64(0)))
+    at = np.flatnonzero(goes_on[:-1] & common[:-1] & common[1:]) if len(goes_on) else np.empty(0, np.int64)
     x, y, own = w.hash[at], w.hash[at + 1], lang[row[at]]
     return {"code": _coded(own, x, y), "lang": own, "x": x, "y": y, "times": np.ones(len(at))}
 
 
+def _spelled(batches, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Spelling of the words in a bit map, once a task."""
+    seen = np.empty(0, U64)
+    for batch in slices(batches, "text", SLICE):
+        w, _, _ = _followed(batch.column("text"))
+        hashes, first = np.unique(w.hash, return_index=True)
+        new = in_map(bits, prefix_key(hashes, U64(0))) & ~np.isin(hashes, seen)
+        hashes, first = hashes[new], first[new]
+        seen = np.union1d(seen, hashes)
+        low = w.low.tobytes()
+        words = [low[a:b].replace(b"\xff", b"\x00").decode() for a, b in zip(w.start[first].tolist(), w.end[first].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(words, pa.string())], names=["x", "word"])
+
+
 def in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether the bit of each key is set in a map of 64-bit words."""
     width = U64(len(bits).bit_length() + 5)
@@ -182,16 +194,19 @@ def _first(rows: DataFrame, top: int, *order: Column) -> DataFrame:
 
 
 def _counted(texts: DataFrame, found, names: list[str], least: int = 1) -> DataFrame:
-    kinds = ", ".join(f"{x} string" if x == "word" else f"{x} long" for x in names)
+    kinds = ", ".join(f"{x} long" for x in names)
     rows = texts.mapInArrow(lambda it: _tally(it, names, found), f"lang string, {kinds}, times long")
-    keys = [x for x in ["lang", *names] if x != "word"]
-    extra = [F.any_value("word").alias("word")] if "word" in names else []
-    return rows.groupBy(*keys).agg(F.sum("times").alias("f"), *extra).filter(F.col("f") >= least)
+    return rows.groupBy("lang", *names).agg(F.sum("times").alias("f")).filter(F.col("f") >= least)
+
+
+def _shipped_map(prefixes: DataFrame):
+    return prefixes.sparkSession.sparkContext.broadcast(bit_map(prefixes))
 
 
 def pairs_of_words(texts: DataFrame, words: DataFrame, least: int) -> DataFrame:
     """Frequent pairs with score and bound: ``(lang, x, y, a, l, r, score, bound)``."""
-    pairs = stored(_counted(texts, _bigrams, ["x", "y"], least).withColumnRenamed("f", "a"))
+    common = _shipped_map(words.select("x", F.lit(0).cast("long").alias("y")).distinct())
+    pairs = stored(_counted(texts, lambda t, own: _bigrams(t, own, common.value), ["x", "y"], least).withColumnRenamed("f", "a"))
     one = words.select("lang", F.col("x").alias("x"), F.col("f").alias("l"))
     two = words.select("lang", F.col("x").alias("y"), F.col("f").alias("r"))
     return stored(
@@ -204,7 +219,7 @@ def pairs_of_words(texts: DataFrame, words: DataFrame, least: int) -> DataFrame:
 
 def growths(texts: DataFrame, prefixes: DataFrame, pairs: DataFrame, words: DataFrame, least: int) -> DataFrame:
     """Frequent growths of the prefixes: ``(lang, x, y, z, a, l, r, score)``."""
-    shipped = texts.sparkSession.sparkContext.broadcast(bit_map(prefixes))
+    shipped = _shipped_map(prefixes)
     found = _counted(texts, lambda t, own: _trigrams(t, own, shipped.value), ["x", "y", "z"], least).withColumnRenamed("f", "a")
     found = stored(found.join(prefixes.select("lang", "x", "y", F.col("a").alias("f_xy"), F.col("l").alias("f_x")), ["lang", "x", "y"]))
     back = pairs.select("lang", F.col("x").alias("y"), F.col("y").alias("z"), F.col("a").alias("f_yz"), F.col("r").alias("f_z"))
@@ -243,9 +258,9 @@ def mine_collocations(
     spark = docs.sparkSession
     ship_package(spark)
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
-    words = stored(_counted(texts, _unigrams, ["x", "word"]))
+    words = stored(_counted(texts, _unigrams, ["x"]))
     totals = stored(words.groupBy("lang").agg(F.sum("f").alias("n")))
-    common = words.filter(F.col("f") >= least)
+    common = stored(words.filter(F.col("f") >= least))
     pairs = pairs_of_words(texts, common, least)
     settled, rank = [], 2 * top
     open_langs = pairs.select("lang").distinct()
@@ -278,12 +293,14 @@ def mine_collocations(
     found = settled[0]
     for more in settled[1:]:
         found = found.unionByName(more)
-    # ties in score and count go by the phrase, so whole groups of ties get their words first
+    # ties in score and count go by the phrase, so whole groups of ties are spelled out first
     place = F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))
     near = stored(found.withColumn("place", place).filter(F.col("place") <= top).drop("place"))
+    used = near.select(F.explode(F.array("x", "y", "z")).alias("x")).filter("x IS NOT NULL").distinct()
+    wanted = _shipped_map(used.withColumn("y", F.lit(0).cast("long")))
+    spelled = stored(texts.mapInArrow(lambda it: _spelled(it, wanted.value), "x long, word string").distinct())
     for part in "xyz":
-        own = common.select("lang", F.col("x").alias(part), F.col("word").alias(f"word_{part}"))
-        near = near.join(own, ["lang", part], "left")
+        near = near.join(spelled.toDF(part, f"word_{part}"), part, "left")
     near = near.withColumn("phrase", F.concat_ws(" ", "word_x", "word_y", "word_z"))
     return (
         _first(near, top, F.desc("score"), F.desc("a"), F.asc("phrase"))

@@ -131,7 +131,7 @@ def test_a_bound_is_never_under_a_growth_behind_it(spark):
     r = random.Random(2)
     docs = [("en", " ".join(r.choice("abcdef") for _ in range(80))) for _ in range(30)]
     texts = spark.createDataFrame(docs, "lang string, text string")
-    words = co._counted(texts, co._unigrams, ["x", "word"])
+    words = co._counted(texts, co._unigrams, ["x"])
     pairs = co.pairs_of_words(texts, words, 1)
     grown = co.growths(texts, pairs, pairs, words, 1)
     over = grown.alias("g").join(pairs.select("x", "y", "bound").alias("p"), ["x", "y"]).filter("g.score > p.bound")
