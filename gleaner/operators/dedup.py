@@ -1,13 +1,14 @@
 """First-wins removal of exact, fuzzy and semantic near-duplicates."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import normalise_question
 from gleaner.operators.similar_text import (
     DEFAULT_THRESHOLD,
-    ROWS_PER_TASK,
     candidate_pairs,
     leading_texts,
     measured_pairs,
@@ -90,21 +91,20 @@ def fuzzy_edges(
     return exact.unionByName(fuzzy)
 
 
-def _text_edges(
-    leaders: DataFrame, rest: DataFrame, nodes: DataFrame, threshold: float
-) -> DataFrame:
-    found = candidate_pairs(leaders, threshold).unionByName(
-        candidate_pairs(leaders, threshold, others=rest)
+def _text_edges(leaders: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    found = (
+        candidate_pairs(leaders, threshold, others=nodes)
+        .filter("a <> b")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
     )
     return measured_pairs(found, nodes, threshold).select("earlier", "later")
 
 
-def _vector_edges(
-    leaders: DataFrame, rest: DataFrame, nodes: DataFrame, threshold: float
-) -> DataFrame:
+def _vector_edges(leaders: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     found = cosine_pairs(
         leaders.select(F.col("gid").alias("lid"), "vec"),
-        leaders.unionByName(rest).select(F.col("gid").alias("rid"), "vec"),
+        nodes.select(F.col("gid").alias("rid"), "vec"),
         threshold,
     ).filter("lid != rid")
     place = nodes.select("gid", "order")
@@ -122,35 +122,37 @@ def thin_crowds(
     nodes: DataFrame,
     string_threshold: float | None = DEFAULT_THRESHOLD,
     vector_threshold: float | None = None,
-    hot_rows: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Nodes left after crowds of near-copies lost all but certain winners.
 
     A crowd of ``m`` near-copies would make ``m * m`` pairs although its first
-    member rejects the rest. So, while pieces (or neighbourhoods of vectors)
-    hold ``hot_rows`` nodes, their first members are compared with everything;
-    those with no similar node before them are certain to be accepted, and all
-    nodes similar to them leave. What stays is resolved pair by pair.
+    member rejects the rest. So the first members of all pieces (or
+    neighbourhoods of vectors) that at least the square root of ``n`` nodes
+    share are compared with everything; those with no similar node before them
+    are certain to be accepted, and all nodes similar to them leave. Rounds go
+    on while one removes a crowd: fewer nodes mean that common phrases are
+    shared, not copies. Smaller crowds make ``n`` pairs each at most; what stays
+    is resolved pair by pair.
 
     ``nodes(gid, order, text[, vec])`` must be checkpointed.
     """
     size = nodes.count()
-    while size >= hot_rows:
+    while size:
+        crowd = max(2, math.isqrt(size))
         leaders = None
         if string_threshold is not None:
-            leaders = leading_texts(nodes, string_threshold, hot_rows)
+            leaders = leading_texts(nodes, string_threshold, crowd)
         if vector_threshold is not None:
-            near = leading_vectors(nodes, vector_threshold, hot_rows)
+            near = leading_vectors(nodes, vector_threshold, crowd)
             leaders = near if leaders is None else leaders.unionByName(near).distinct()
         chosen = checkpointed(nodes.join(leaders, "gid", "left_semi"))
         if chosen.isEmpty():
             return nodes
-        rest = nodes.join(chosen.select("gid"), "gid", "left_anti")
         edges = None
         if string_threshold is not None:
-            edges = _text_edges(chosen, rest, nodes, string_threshold)
+            edges = _text_edges(chosen, nodes, string_threshold)
         if vector_threshold is not None:
-            close = _vector_edges(chosen, rest, nodes, vector_threshold)
+            close = _vector_edges(chosen, nodes, vector_threshold)
             edges = close if edges is None else edges.unionByName(close)
         edges = checkpointed(edges)
         certain = chosen.select("gid").join(
@@ -163,7 +165,7 @@ def thin_crowds(
         )
         nodes = checkpointed(nodes.join(beaten, "gid", "left_anti"))
         before, size = size, nodes.count()
-        if before - size < hot_rows // 2:  # common phrases, not copies
+        if before - size < crowd:
             break
     return nodes
 
@@ -173,7 +175,6 @@ def dedup_questions(
     position: str,
     question: str,
     threshold: float = DEFAULT_THRESHOLD,
-    hot_rows: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Rows that survive first-wins removal of near-equal questions.
 
@@ -186,7 +187,7 @@ def dedup_questions(
             F.col("first").alias("gid"), F.col("first").alias("order"), "text"
         )
     )
-    nodes = thin_crowds(nodes, threshold, hot_rows=hot_rows)
+    nodes = thin_crowds(nodes, threshold)
     lost = first_wins_rejected(similar_pairs(nodes.select("gid", "text"), threshold))
     kept = nodes.select("gid").join(lost.withColumnRenamed("id", "gid"), "gid", "left_anti")
     return df.join(kept, df[position] == kept["gid"], "left_semi")
@@ -206,7 +207,6 @@ def dedup_vectors(
     position: str,
     vector: str,
     threshold: float = DEFAULT_THRESHOLD,
-    hot_rows: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Rows that survive first-wins removal of close vectors.
 
@@ -217,7 +217,7 @@ def dedup_vectors(
         .agg(F.min(position).alias("gid"))
         .select("gid", F.col("gid").alias("order"), "vec")
     )
-    nodes = thin_crowds(nodes, None, threshold, hot_rows)
+    nodes = thin_crowds(nodes, None, threshold)
     lost = first_wins_rejected(cosine_self_pairs(nodes.select("gid", "vec"), threshold))
     kept = nodes.select("gid").join(lost.withColumnRenamed("id", "gid"), "gid", "left_anti")
     return df.join(kept, df[position] == kept["gid"], "left_semi")

@@ -1,20 +1,14 @@
 """Source-diverse evidence retrieval over an embedding table."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.vectors import Encoder, embed, hashing_encoder, stacked
+from gleaner.functions.vectors import Encoder, embed, hashing_encoder
 from gleaner.operators.similar_vectors import cosine_pairs
 
 MIN_SCORE = 0.25
 MAX_PER_SOURCE = 3
-QUERY_BLOCK = 2_000  # queries that ride along with one scan of the chunks
 POOL = 10  # candidates considered per result wanted
 
 
@@ -40,71 +34,35 @@ def scored_hits(
     """Best ``pool`` chunks per query: ``(query, chunk_id, source_filename, score, pool_rank)``.
 
     ``queries(query, vec)``; ``chunks(chunk_id, source_filename, vec)``. Ties
-    go to the smaller chunk id.
+    go to the smaller chunk id. Queries and chunks meet in the tiles of the
+    vector join, each of which keeps its best ``pool`` per query; those are
+    merged by query, and no query vector visits the driver.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    part = F.pmod(F.xxhash64("query"), F.lit(blocks))
-    scans = [
-        _scan(queries.filter(part == b).select("query", "vec").collect(), queries, chunks, pool, min_score)
-        for b in range(blocks)
-    ]
-    hits = reduce(DataFrame.unionByName, scans)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "chunk_id")
-    return hits.withColumn("pool_rank", F.row_number().over(order)).filter(
-        F.col("pool_rank") <= pool
+    best = (
+        _near(queries, chunks, min_score, pool)
+        .withColumn("pool_rank", F.row_number().over(order))
+        .filter(F.col("pool_rank") <= pool)
+    )
+    return best.join(chunks.select("chunk_id", "source_filename"), "chunk_id").select(
+        "query", "chunk_id", "source_filename", "score", "pool_rank"
     )
 
 
 def all_hits(queries: DataFrame, chunks: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """Every chunk at or above the score: ``(query, chunk_id, source_filename, score)``."""
-    near = cosine_pairs(
-        queries.select(F.col("query").alias("lid"), "vec"),
-        chunks.select(F.col("chunk_id").alias("rid"), "vec"),
-        min_score,
-    ).select(F.col("lid").alias("query"), F.col("rid").alias("chunk_id"), "score")
-    return near.join(chunks.select("chunk_id", "source_filename"), "chunk_id").select(
+    return _near(queries, chunks, min_score).join(chunks.select("chunk_id", "source_filename"), "chunk_id").select(
         "query", "chunk_id", "source_filename", "score"
     )
 
 
-def _scan(
-    few: list, queries: DataFrame, chunks: DataFrame, pool: int, min_score: float
-) -> DataFrame:
-    """One pass over the chunks; each task keeps its best candidates only."""
-    names = [r["query"] for r in few]
-    wanted = np.array([r["vec"] for r in few], dtype=np.float64)
-    if not few:
-        wanted = np.zeros((0, 1))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[pd.DataFrame | None] = [None] * len(names)
-        for pdf in batches:
-            if not len(pdf) or not names:
-                continue
-            scores = stacked(pdf["vec"]) @ wanted.T
-            rows = pdf[["chunk_id", "source_filename"]]
-            for q in range(len(names)):
-                hit = np.nonzero(scores[:, q] >= min_score)[0]
-                if not len(hit):
-                    continue
-                found = rows.iloc[hit].assign(score=scores[hit, q])
-                if best[q] is not None:
-                    found = pd.concat([best[q], found])
-                best[q] = found.sort_values(
-                    ["score", "chunk_id"], ascending=[False, True]
-                ).head(pool)
-        for name, found in zip(names, best):
-            if found is not None:
-                yield found.assign(query=name)[["query", "chunk_id", "source_filename", "score"]]
-
-    kinds = {
-        "query": queries.schema["query"].dataType,
-        "chunk_id": chunks.schema["chunk_id"].dataType,
-    }
-    ddl = ", ".join(f"{k} {t.simpleString()}" for k, t in kinds.items())
-    return chunks.select("chunk_id", "source_filename", "vec").mapInPandas(
-        scan, f"{ddl}, source_filename string, score double"
-    )
+def _near(queries: DataFrame, chunks: DataFrame, min_score: float, best: int | None = None) -> DataFrame:
+    return cosine_pairs(
+        queries.select(F.col("query").alias("lid"), "vec"),
+        chunks.select(F.col("chunk_id").alias("rid"), "vec"),
+        min_score,
+        best=best,
+    ).select(F.col("lid").alias("query"), F.col("rid").alias("chunk_id"), "score")
 
 
 def plain_top_k(hits: DataFrame, k: int) -> DataFrame:

@@ -262,19 +262,17 @@ def candidate_pairs(
     return one_way.unionByName(other_way).distinct()
 
 
-def leading_texts(
-    nodes: DataFrame, threshold: float = DEFAULT_THRESHOLD, hot_rows: int = ROWS_PER_TASK
-) -> DataFrame:
-    """First text (by ``order``) behind every piece that ``hot_rows`` texts share.
+def leading_texts(nodes: DataFrame, threshold: float = DEFAULT_THRESHOLD, crowd: int = 2) -> DataFrame:
+    """First text (by ``order``) behind every piece that ``crowd`` texts share.
 
-    ``nodes(gid, text, order)``; returns ``(gid)``, empty when no piece is hot.
+    ``nodes(gid, text, order)``; returns ``(gid)``.
     """
     pieces = _pieces(_prepared(nodes), threshold).select("gid", "key")
     return (
         pieces.join(nodes.select("gid", "order"), "gid")
         .groupBy("key")
         .agg(F.count("*").alias("texts"), F.min_by("gid", "order").alias("gid"))
-        .filter(F.col("texts") >= hot_rows)
+        .filter(F.col("texts") >= crowd)
         .select("gid")
         .distinct()
     )

@@ -1,26 +1,33 @@
-"""Exact cosine join of two vector tables in bounded tiles.
+"""Exact cosine join of two vector tables over a two-level tree of cells.
 
 Unit vectors within angle ``theta`` of each other lie at nearly the same
-angle from any third vector. Right rows go to the cell of their nearest pivot;
-a left row visits only the cells whose radius comes within ``theta`` of it, so
-clustered data skips most cells and no pair is missed. Cells are cut into
-tiles of bounded size on both sides; a tile is one matrix product that emits
-only pairs reaching the threshold.
+angle from any third vector. The right table is sampled for centres, one per
+``tile_rows / 4`` rows, so cells grow in number with the data and not in size;
+the first of them, about the square root of their number, are the upper level.
+A right row goes to the nearest upper centre and there to the nearest cell. A
+left row goes down only where the radius of an upper centre, then of a cell,
+comes within ``theta`` of it: clustered data skips most cells and no pair is
+missed. Cells are cut into tiles of bounded size on both sides; a tile is one
+matrix product that emits only pairs reaching the threshold, or the best few of
+them per left row.
 """
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.vectors import stacked
 from gleaner.session import checkpointed
 
 SLACK = 1e-6  # angles come from rounded cosines
+TREE_BYTES = 64 << 20  # of centres that every task gets; beyond it cells hold more tiles each
+TILE = ["cell", "home", "guest"]
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -28,146 +35,198 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norms == 0, 1.0, norms)
 
 
-def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(_unit(vectors) @ pivots.T, -1.0, 1.0))
-
-
-def _by_cell(sizes: dict[int, int], tile_rows: int) -> Column:
-    """Number of tiles of each cell as a map lookup on ``cell``."""
-    entries = [F.lit(x) for c, n in sizes.items() for x in (c, max(1, math.ceil(n / tile_rows)))]
-    return F.create_map(*entries)[F.col("cell")]
-
-
-def cosine_pairs(
-    left: DataFrame,
-    right: DataFrame,
-    threshold: float,
-    tile_rows: int = 4_096,
-    pivots: int = 16,
-) -> DataFrame:
-    """Pairs ``(lid, rid, score)`` with cosine at or above the threshold.
-
-    ``left(lid, vec)`` and ``right(rid, vec)`` hold unit vectors.
-    """
-    schema_l = left.schema["lid"].dataType.simpleString()
-    schema_r = right.schema["rid"].dataType.simpleString()
-    result = f"lid {schema_l}, rid {schema_r}, score double"
-    chosen = right.orderBy(F.xxhash64("rid"), "rid").limit(pivots).collect()
-    if not chosen:
-        return left.sparkSession.createDataFrame([], result)
-    centres = _unit(np.array([r["vec"] for r in chosen], dtype=np.float64))
-    theta = math.acos(min(1.0, max(-1.0, threshold)))
-
+def _angles(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(_unit(vectors) @ centres.T, -1.0, 1.0))
+
+
+@dataclass
+class CellTree:
+    centres: np.ndarray  # of the cells; the first ones are the upper level too
+    under: list[np.ndarray]  # cells below each upper centre
+
+    @classmethod
+    def over(cls, vectors: np.ndarray) -> CellTree:
+        centres = _unit(np.asarray(vectors, dtype=np.float64))
+        upper = math.ceil(math.sqrt(len(centres)))
+        nearest = _angles(centres, centres[:upper]).argmin(axis=1)
+        nearest[:upper] = np.arange(upper)
+        return cls(centres, [np.flatnonzero(nearest == u) for u in range(upper)])
+
+    def homes(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cell of each vector and its angle to the centre."""
+        upper = _angles(vectors, self.centres[: len(self.under)]).argmin(axis=1)
+        cell, angle = np.empty(len(vectors), np.int64), np.empty(len(vectors))
+        for u in np.unique(upper):
+            own = np.flatnonzero(upper == u)
+            down = _angles(vectors[own], self.centres[self.under[u]])
+            best = down.argmin(axis=1)
+            cell[own], angle[own] = self.under[u][best], down[np.arange(len(own)), best]
+        return cell, angle
+
+    def upper_radius(self, radius: np.ndarray) -> np.ndarray:
+        """How far from each upper centre the rows of its cells may be."""
+        out = np.full(len(self.under), -10.0)
+        for u, cells in enumerate(self.under):
+            held = cells[radius[cells] >= 0]
+            if len(held):
+                out[u] = (_angles(self.centres[held], self.centres[u : u + 1])[:, 0] + radius[held]).max()
+        return out
+
+    def visits(self, vectors: np.ndarray, radius: np.ndarray, theta: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and the cells that may hold a vector within ``theta`` of them."""
+        near = _angles(vectors, self.centres[: len(self.under)]) - self.upper_radius(radius) <= theta + 2 * SLACK
+        rows, cells = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for u in np.flatnonzero(near.any(axis=0)):
+            own = np.flatnonzero(near[:, u])
+            row, at = np.nonzero(_angles(vectors[own], self.centres[self.under[u]]) - radius[self.under[u]] <= theta + SLACK)
+            rows.append(own[row])
+            cells.append(self.under[u][at])
+        return np.concatenate(rows), np.concatenate(cells)
+
+
+def cell_tree(vectors: DataFrame, tile_rows: int) -> CellTree | None:
+    """A tree over a sample of ``vectors(rid, vec)``; null when there is none."""
+    facts = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
+    if not facts["n"]:
+        return None
+    cells = min(-(-4 * facts["n"] // tile_rows), TREE_BYTES // (8 * max(1, facts["d"])))
+    chosen = vectors.orderBy(F.xxhash64("rid"), "rid").limit(max(1, cells)).select("vec").toPandas()
+    return CellTree.over(stacked(chosen["vec"]))
+
+
+def _in_cells(rows: DataFrame, tree) -> DataFrame:
     def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                angle = _angles(stacked(pdf["vec"]), centres)
-                cell = angle.argmin(axis=1)
-                yield pdf.assign(cell=cell, angle=angle[np.arange(len(pdf)), cell])
-
-    placed = checkpointed(
-        right.select("rid", "vec").mapInPandas(
-            homes, f"rid {schema_r}, vec array<float>, cell int, angle double"
-        )
-    )
-    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect()
-    radius = np.full(len(centres), -10.0)  # an empty cell is never near
-    for s in stats:
-        radius[s["cell"]] = s["r"]
+                cell, angle = tree.value.homes(stacked(pdf["vec"]))
+                yield pdf.assign(cell=cell, angle=angle)
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInPandas(homes, f"{fields}, cell int, angle double")
+
+
+def tiled(
+    left: DataFrame, right: DataFrame, threshold: float, tile_rows: int
+) -> tuple[DataFrame, DataFrame] | None:
+    """Both tables with the tiles ``(cell, home, guest)`` that their rows meet in."""
+    spark = left.sparkSession
+    grown = cell_tree(right, tile_rows)
+    if grown is None:
+        return None
+    tree = spark.sparkContext.broadcast(grown)
+    theta = math.acos(min(1.0, max(-1.0, threshold)))
+    placed = checkpointed(_in_cells(right.select("rid", F.col("vec").cast("array<float>").alias("vec")), tree))
+    # one row a cell, as many as the tree has centres
+    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).toPandas()
+    radius = np.full(len(grown.centres), -10.0)  # an empty cell is never near
+    radius[stats["cell"]] = stats["r"]
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                near = _angles(stacked(pdf["vec"]), centres) - radius <= theta + SLACK
-                row, cell = np.nonzero(near)
+                row, cell = tree.value.visits(stacked(pdf["vec"]), radius, theta)
                 yield pdf.iloc[row].assign(cell=cell)
 
+    kind = left.schema["lid"].dataType.simpleString()
     visiting = checkpointed(
-        left.select("lid", "vec").mapInPandas(
-            visits, f"lid {schema_l}, vec array<float>, cell int"
+        left.select("lid", F.col("vec").cast("array<float>").alias("vec")).mapInPandas(
+            visits, f"lid {kind}, vec array<float>, cell int"
         )
     )
-    guests = {r["cell"]: r["count"] for r in visiting.groupBy("cell").count().collect()}
-    if not guests:
-        return left.sparkSession.createDataFrame([], result)
-    home_tiles = _by_cell({s["cell"]: s["n"] for s in stats}, tile_rows)
-    guest_tiles = _by_cell(guests, tile_rows)
-    rows_r = placed.filter(F.col("cell").isin(*guests)).select(
+    guests = visiting.groupBy("cell").agg(F.count("*").alias("visitors"))
+    homes = placed.groupBy("cell").agg(F.count("*").alias("rows"))
+    tiles = checkpointed(
+        homes.join(guests, "cell").select(
+            "cell",
+            F.ceil(F.col("rows") / tile_rows).cast("int").alias("homes"),
+            F.ceil(F.col("visitors") / tile_rows).cast("int").alias("guests"),
+        )
+    )
+    tiles = F.broadcast(tiles)  # a row a cell
+    rows_r = placed.join(tiles, "cell").select(
         "rid", "vec", "cell",
-        F.pmod(F.xxhash64("rid"), home_tiles).cast("int").alias("home"),
-        F.explode(F.sequence(F.lit(0), guest_tiles - 1)).alias("guest"),
+        F.pmod(F.xxhash64("rid"), F.col("homes")).cast("int").alias("home"),
+        F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("guest"),
     )
-    rows_l = visiting.select(
+    rows_l = visiting.join(tiles, "cell").select(
         "lid", "vec", "cell",
-        F.explode(F.sequence(F.lit(0), home_tiles - 1)).alias("home"),
-        F.pmod(F.xxhash64("lid"), guest_tiles).cast("int").alias("guest"),
+        F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("home"),
+        F.pmod(F.xxhash64("lid"), F.col("guests")).cast("int").alias("guest"),
     )
+    return rows_l, rows_r
+
+
+def _best_of_rows(score: np.ndarray, ids: np.ndarray, threshold: float, best: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``best`` scores of each row that reach the threshold; smaller ids win ties."""
+    order = np.argsort(ids, kind="stable")
+    i, j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for row in range(len(score)):
+        at = order[score[row, order] >= threshold]
+        if len(at) > best:
+            at = at[np.argsort(-score[row, at], kind="stable")[:best]]
+        i.append(np.full(len(at), row))
+        j.append(at)
+    return np.concatenate(i), np.concatenate(j)
+
+
+def cosine_pairs(
+    left: DataFrame,
+    right: DataFrame,
+    threshold: float,
+    tile_rows: int = 4_096,
+    best: int | None = None,
+) -> DataFrame:
+    """Pairs ``(lid, rid, score)`` with cosine at or above the threshold.
+
+    ``left(lid, vec)`` and ``right(rid, vec)`` hold unit vectors. With ``best``
+    a tile gives that many of the highest scores per left row at most, so a
+    ranking of the result has to be cut once more.
+    """
+    result = (
+        f"lid {left.schema['lid'].dataType.simpleString()}, "
+        f"rid {right.schema['rid'].dataType.simpleString()}, score double"
+    )
+    sides = tiled(left, right, threshold, tile_rows)
+    if sides is None:
+        return left.sparkSession.createDataFrame([], result)
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"lid": a["lid"][:0], "rid": b["rid"][:0], "score": []})
         score = stacked(a["vec"]) @ stacked(b["vec"]).T
-        i, j = np.nonzero(score >= threshold)
-        return pd.DataFrame(
-            {
-                "lid": a["lid"].to_numpy()[i],
-                "rid": b["rid"].to_numpy()[j],
-                "score": score[i, j],
-            }
-        )
+        ids = b["rid"].to_numpy()
+        i, j = np.nonzero(score >= threshold) if best is None else _best_of_rows(score, ids, threshold, best)
+        return pd.DataFrame({"lid": a["lid"].to_numpy()[i], "rid": ids[j], "score": score[i, j]})
 
-    tile = ["cell", "home", "guest"]
-    return (
-        rows_l.groupBy(*tile)
-        .cogroup(rows_r.groupBy(*tile))
-        .applyInPandas(product, result)
-    )
+    rows_l, rows_r = sides
+    return rows_l.groupBy(*TILE).cogroup(rows_r.groupBy(*TILE)).applyInPandas(product, result)
 
 
-def leading_vectors(
-    nodes: DataFrame, threshold: float, hot_rows: int, pivots: int = 16
-) -> DataFrame:
-    """First node (by ``order``) of every neighbourhood holding ``hot_rows`` nodes.
+def leading_vectors(nodes: DataFrame, threshold: float, crowd: int, tile_rows: int = 4_096) -> DataFrame:
+    """First node (by ``order``) of every close neighbourhood of ``crowd`` nodes or more.
 
-    ``nodes(gid, order, vec)``. Nodes within half the angle of a sampled pivot
-    are close to each other; a group holding a good share of all nodes is met
-    by some pivot with near certainty, and missing one only costs time.
+    ``nodes(gid, order, vec)``. Nodes of a cell within half the angle of its
+    centre are close to each other.
     """
-    chosen = nodes.orderBy(F.xxhash64("gid"), "gid").limit(pivots).collect()
-    kind = nodes.schema["gid"].dataType.simpleString()
-    if not chosen:
+    named = nodes.select(F.col("gid").alias("rid"), "order", F.col("vec").cast("array<float>").alias("vec"))
+    grown = cell_tree(named, tile_rows)
+    if grown is None:
         return nodes.select("gid")
-    centres = _unit(np.array([r["vec"] for r in chosen], dtype=np.float64))
     half = math.acos(min(1.0, max(-1.0, threshold))) / 2
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                row, cell = np.nonzero(_angles(stacked(pdf["vec"]), centres) <= half)
-                yield pdf.iloc[row][["gid", "order"]].assign(cell=cell)
-
-    order = nodes.schema["order"].dataType.simpleString()
     return (
-        nodes.select("gid", "order", "vec")
-        .mapInPandas(members, f"gid {kind}, order {order}, cell int")
+        _in_cells(named, nodes.sparkSession.sparkContext.broadcast(grown))
+        .filter(F.col("angle") <= half)
         .groupBy("cell")
-        .agg(F.count("*").alias("n"), F.min_by("gid", "order").alias("gid"))
-        .filter(F.col("n") >= hot_rows)
+        .agg(F.count("*").alias("n"), F.min_by("rid", "order").alias("gid"))
+        .filter(F.col("n") >= crowd)
         .select("gid")
-        .distinct()
     )
 
 
-def cosine_self_pairs(
-    vectors: DataFrame, threshold: float, tile_rows: int = 4_096, pivots: int = 16
-) -> DataFrame:
+def cosine_self_pairs(vectors: DataFrame, threshold: float, tile_rows: int = 4_096) -> DataFrame:
     """Pairs ``(earlier, later, score)`` of ``vectors(gid, vec)``, each once."""
     pairs = cosine_pairs(
-        vectors.withColumnRenamed("gid", "lid"),
-        vectors.withColumnRenamed("gid", "rid"),
-        threshold,
-        tile_rows,
-        pivots,
+        vectors.withColumnRenamed("gid", "lid"), vectors.withColumnRenamed("gid", "rid"), threshold, tile_rows
     )
     return pairs.filter(F.col("lid") < F.col("rid")).select(
         F.col("lid").alias("earlier"), F.col("rid").alias("later"), "score"

@@ -1,6 +1,9 @@
 """Ordered validation of generated pairs with one reason per rejection."""
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +13,6 @@ from gleaner.functions.vectors import Encoder, embed, hashing_encoder
 from gleaner.operators.dedup import exact_groups, first_wins_rejected, thin_crowds
 from gleaner.operators.similar_text import (
     DEFAULT_THRESHOLD,
-    ROWS_PER_TASK,
     candidate_pairs,
     measured_pairs,
     similarity,
@@ -72,7 +74,6 @@ def validate_pairs(
     encoder: Encoder = hashing_encoder,
     string_threshold: float = DEFAULT_THRESHOLD,
     semantic_threshold: float = DEFAULT_THRESHOLD,
-    hot_rows: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Validate pairs in the order of ``position`` (unique, not negative).
 
@@ -146,7 +147,7 @@ def validate_pairs(
         .select("gid", F.col("lead").alias("order"), "text")
         .withColumn("vec", embed(F.col("text"), encoder))
     )
-    rivals = thin_crowds(open_leads, string_threshold, semantic_threshold, hot_rows)
+    rivals = thin_crowds(open_leads, string_threshold, semantic_threshold)
     string_edges = measured_pairs(
         candidate_pairs(rivals, string_threshold), rivals, string_threshold
     ).select("earlier", "later")
@@ -245,6 +246,49 @@ def cut_at_target(validated: DataFrame, position: str, target: int) -> DataFrame
     return validated.filter(F.col(position) <= stop["stop"])
 
 
+def validate_until(
+    pairs: DataFrame,
+    position: str,
+    target: int,
+    min_score: float = 0.4,
+    seeds: DataFrame | None = None,
+    encoder: Encoder = hashing_encoder,
+    string_threshold: float = DEFAULT_THRESHOLD,
+    semantic_threshold: float = DEFAULT_THRESHOLD,
+    surplus: float = 2.0,
+) -> DataFrame:
+    """``cut_at_target`` of all pairs, validated range by range until the target is met.
+
+    A range holds the next ``surplus`` rows per pair still wanted, more after a
+    range that accepted few. The winners so far go ahead of each range: they
+    were accepted before and are again, so they reject later rows under both
+    tests as in one run. Rows behind the last range are only read for their
+    position.
+    """
+    columns = pairs.columns
+    done, winners, after, accepted = [], None, None, 0
+    while accepted < target:
+        rest = pairs if after is None else pairs.filter(F.col(position) > after)
+        size = math.ceil((target - accepted) * surplus)
+        last = rest.select(position).orderBy(position).limit(size).agg(F.max(position)).first()[0]
+        if last is None:
+            break
+        fresh = rest.filter(F.col(position) <= last)
+        batch = fresh if winners is None else winners.select(columns).unionByName(fresh)
+        out = validate_pairs(batch, position, min_score, seeds, encoder, string_threshold, semantic_threshold)
+        out = checkpointed(out if after is None else out.filter(F.col(position) > after))
+        won = out.filter("accepted")
+        gain = won.count()
+        done.append(out)
+        winners = won if winners is None else winners.unionByName(won)
+        accepted += gain
+        surplus = min(8 * surplus, max(surplus, size / max(gain, 1)))
+        after = last
+    if not done:
+        return validate_pairs(pairs.limit(0), position, min_score, seeds, encoder)
+    return cut_at_target(reduce(DataFrame.unionByName, done), position, target)
+
+
 def validation_summary(validated: DataFrame) -> DataFrame:
     """Totals, acceptance rate and a zero-filled count per rejection reason."""
     per_reason = [F.count_if(F.col("reason") == r).alias(r) for r in REASONS]

@@ -188,8 +188,8 @@ def deduplicated_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.dedup_vectors(vectors, "vec_id", "embedding", 0.35).select("vec_id")
 
 
-def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs and a later reworded copy of each, validated after the benchmark seeds."""
+def to_validate(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs and a later reworded copy of each; the benchmark texts as seeds."""
     pairs = inputs.pairs(spark, sf_dir).select(
         (F.col("id") * 10).alias("position"), "question", "answer"
     )
@@ -201,17 +201,21 @@ def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = inputs.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("position"), F.col("text").alias("question")
     )
-    return validation.validate_pairs(pairs.unionByName(again), "position", 0.4, seeds)
+    return pairs.unionByName(again), seeds
 
 
 @query()
 def validated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validated(spark, sf_dir).select("position", "accepted", "reason", "quality_score")
+    pairs, seeds = to_validate(spark, sf_dir)
+    return validation.validate_pairs(pairs, "position", 0.4, seeds).select(
+        "position", "accepted", "reason", "quality_score"
+    )
 
 
 @query()
 def pairs_until_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.cut_at_target(validated(spark, sf_dir), "position", 40).select(
+    pairs, seeds = to_validate(spark, sf_dir)
+    return validation.validate_until(pairs, "position", 40, 0.4, seeds).select(
         "position", "accepted", "reason"
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import dedup
 from gleaner.operators.similar_text import candidate_pairs, similar_pairs
-from gleaner.operators.similar_vectors import cosine_pairs, cosine_self_pairs
+from gleaner.operators.similar_vectors import TILE, cosine_pairs, cosine_self_pairs, tiled
 
 VOCAB = "what is the treatment for diabetes cause of heart failure risk in adults dose drug aspirin".split()
 
@@ -96,7 +96,7 @@ def test_crowds_of_near_copies_give_the_same_result(spark):
     rows = crowd + rest
     rng.shuffle(rows)
     df = spark.createDataFrame(list(enumerate(rows)), "pos long, q string")
-    kept = {r["pos"] for r in dedup.dedup_questions(df, "pos", "q", hot_rows=30).collect()}
+    kept = {r["pos"] for r in dedup.dedup_questions(df, "pos", "q").collect()}
     assert kept == set(range(len(rows))) - greedy(len(rows), brute(rows, 0.92))
 
 
@@ -128,14 +128,13 @@ def test_cosine_pairs_equal_brute_force(spark, tile):
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "gid long, vec array<float>")
     scores = m.astype(np.float64) @ m.astype(np.float64).T
     want = {(i, j) for i in range(80) for j in range(i + 1, 80) if scores[i, j] >= 0.92}
-    got = {(r["earlier"], r["later"]) for r in cosine_self_pairs(df, 0.92, tile, 4).collect()}
+    got = {(r["earlier"], r["later"]) for r in cosine_self_pairs(df, 0.92, tile).collect()}
     assert got == want and want
     none = cosine_pairs(df.filter("gid < 0").withColumnRenamed("gid", "lid"), df.withColumnRenamed("gid", "rid"), 0.9)
     assert none.count() == 0
 
 
-@pytest.mark.parametrize("hot", [20_000, 12])
-def test_vector_dedup_equals_a_loop(spark, hot):
+def test_vector_dedup_equals_a_loop(spark):
     rng = np.random.default_rng(6)
     crowd = np.repeat(unit(rng, 1, 8), 40, axis=0) + rng.normal(scale=0.03, size=(40, 8))
     m = np.vstack([unit(rng, 60, 8), crowd])[rng.permutation(100)]
@@ -143,5 +142,36 @@ def test_vector_dedup_equals_a_loop(spark, hot):
     s = m.astype(np.float64) @ m.astype(np.float64).T
     edges = [(i, j) for i in range(100) for j in range(i + 1, 100) if s[i, j] >= 0.9]
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, v array<float>")
-    kept = {r["id"] for r in dedup.dedup_vectors(df, "id", "v", 0.9, hot).collect()}
+    kept = {r["id"] for r in dedup.dedup_vectors(df, "id", "v", 0.9).collect()}
     assert kept == set(range(100)) - greedy(100, edges)
+
+
+def clustered(spark, n, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = unit(rng, n // 40, 16)
+    m = centres[rng.integers(0, len(centres), n)] + rng.normal(scale=0.02, size=(n, 16))
+    m = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    return m, spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "gid long, vec array<float>")
+
+
+def test_tiles_grow_slower_than_the_square_of_clustered_rows(spark):
+    visited = {}
+    for n in (600, 2_400):
+        m, df = clustered(spark, n)
+        rows, _ = tiled(df.withColumnRenamed("gid", "lid"), df.withColumnRenamed("gid", "rid"), 0.95, 64)
+        visited[n] = rows.count(), rows.select(*TILE).distinct().count()
+    assert visited[2_400][0] < 8 * visited[600][0]  # 16 times without pruning
+    assert visited[2_400][1] < 8 * visited[600][1]
+    scores = m.astype(np.float64) @ m.astype(np.float64).T
+    assert cosine_self_pairs(df, 0.95, 64).count() == int((np.triu(scores, 1) >= 0.95).sum())
+
+
+def test_the_best_of_tiles_hold_the_best_of_all(spark):
+    m, df = clustered(spark, 400)
+    few = df.filter("gid % 20 = 0")
+    near = cosine_pairs(few.withColumnRenamed("gid", "lid"), df.withColumnRenamed("gid", "rid"), 0.3, 32, best=3).collect()
+    scores = m.astype(np.float64) @ m.astype(np.float64).T
+    for q in range(0, 400, 20):
+        got = sorted((-r["score"], r["rid"]) for r in near if r["lid"] == q)[:3]
+        want = sorted((-scores[q, i], i) for i in range(400) if scores[q, i] >= 0.3)[:3]
+        assert [i for _, i in got] == [i for _, i in want]

@@ -49,9 +49,7 @@ def chunks(spark, chunk_vectors):
     )
 
 
-@pytest.mark.parametrize("limit", [2_000, 1])
-def test_diverse_retrieval_equals_round_robin(spark, chunks, chunk_vectors, limit, monkeypatch):
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", limit)
+def test_diverse_retrieval_equals_round_robin(spark, chunks, chunk_vectors):
     topics = chunks.filter("chunk_id < 3").select(F.concat(F.lit("q"), "chunk_id").alias("query"), "vec")
     hits = retrieval.scored_hits(topics, chunks, 60, 0.25)
     got = defaultdict(list)

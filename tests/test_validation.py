@@ -79,8 +79,8 @@ def sequential(rows, facts, seeds, semantic):
     return out
 
 
-@pytest.mark.parametrize("hot_rows, semantic", [(20_000, 0.92), (10, 0.8)])
-def test_validation_equals_a_sequential_run(spark, hot_rows, semantic):
+@pytest.mark.parametrize("semantic", [0.92, 0.8])
+def test_validation_equals_a_sequential_run(spark, semantic):
     rows = made_rows(160, 7)
     df = spark.createDataFrame(rows, "pos long, question string, answer string")
     q, a = F.col("question"), F.col("answer")
@@ -96,9 +96,7 @@ def test_validation_equals_a_sequential_run(spark, hot_rows, semantic):
     seeds = [rows[3][1], "What is the treatment for heart failure in adults?"]
     seed_df = spark.createDataFrame(list(enumerate(seeds)), "position long, question string")
     want = sequential(rows, facts, seeds, semantic)
-    out = validation.validate_pairs(
-        df, "pos", 0.4, seed_df, semantic_threshold=semantic, hot_rows=hot_rows
-    )
+    out = validation.validate_pairs(df, "pos", 0.4, seed_df, semantic_threshold=semantic)
     got = {r["pos"]: (r["reason"], r["quality_score"]) for r in out.collect()}
     assert got.keys() == want.keys()
     for pos, (reason, score) in want.items():
@@ -109,6 +107,10 @@ def test_validation_equals_a_sequential_run(spark, hot_rows, semantic):
     assert {r["pos"] for r in target.collect()} == {p for p in want if p <= last}
     summary = validation.validation_summary(out).first()
     assert summary["total_accepted"] == sum(r is None for r, _ in want.values())
+    if semantic > 0.9:  # the ranges are many jobs: once is enough
+        return
+    ranges = validation.validate_until(df, "pos", 10, 0.4, seed_df, semantic_threshold=semantic)
+    assert {r["pos"]: r["reason"] for r in ranges.collect()} == {r["pos"]: r["reason"] for r in target.collect()}
 
 
 def test_curated_pairs_are_all_kept(spark):
