@@ -5,7 +5,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.parsing import parse_qa
@@ -16,22 +16,26 @@ Generate = Callable[[str, float], str | None]
 
 REMINDER = "\n\nReply with these two fields and nothing else:\nQuestion: ...\nAnswer: ..."
 CONCURRENCY = 5
+CALLS_A_TASK = 500
 
 
-def infer(
-    df: DataFrame,
-    prompt: str,
-    generate: Generate,
-    temperature: float,
-    concurrency: int = CONCURRENCY,
-    out: str = "response",
-) -> DataFrame:
-    """Add the response to each prompt and ``{out}_error`` for failed calls.
+LEDGER = "call string, response string, error string"
 
-    Responses are costly and may differ between calls, so they are written to
-    the checkpoint folder before anything reads them.
-    """
 
+def call_key(prompt: Column, temperature: float) -> Column:
+    """Name of a call: equal prompts at one temperature share an answer."""
+    return F.sha2(F.concat_ws("\x1f", F.lit(str(temperature)), prompt), 256)
+
+
+def ledger_rows(spark: SparkSession, ledger: str) -> DataFrame:
+    """``(call, response, error)``: an answer where there is one, else the failure."""
+    spark.createDataFrame([], LEDGER).write.mode("append").parquet(ledger)  # it may be new
+    rows = spark.read.schema(LEDGER).parquet(ledger)
+    told = F.struct("response", "error")
+    return rows.groupBy("call").agg(F.min_by(told, F.col("error").isNotNull()).alias("told")).select("call", "told.*")
+
+
+def _asked(df: DataFrame, prompt: str, generate: Generate, temperature: float, concurrency: int, out: str, error: str) -> DataFrame:
     def ask(prompt_text: str) -> tuple[str | None, str | None]:
         try:
             return generate(prompt_text, temperature), None
@@ -45,14 +49,49 @@ def infer(
                 yield pdf.assign(
                     **{
                         out: pd.Series([a for a, _ in answers], index=pdf.index, dtype=object),
-                        f"{out}_error": pd.Series(
-                            [e for _, e in answers], index=pdf.index, dtype=object
-                        ),
+                        error: pd.Series([e for _, e in answers], index=pdf.index, dtype=object),
                     }
                 )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return checkpointed(df.mapInPandas(run, f"{fields}, {out} string, {out}_error string"))
+    return df.mapInPandas(run, f"{fields}, {out} string, {error} string")
+
+
+def infer(
+    df: DataFrame,
+    prompt: str,
+    generate: Generate,
+    temperature: float,
+    concurrency: int = CONCURRENCY,
+    out: str = "response",
+    ledger: str | None = None,
+) -> DataFrame:
+    """Add the response to each prompt and ``{out}_error`` for failed calls.
+
+    Responses are costly and may differ between calls, so they are written to
+    the checkpoint folder before anything reads them. With ``ledger``, a folder
+    of the shared store, they are kept there by prompt: only prompts without an
+    answer are asked, about ``CALLS_A_TASK`` to a task, and a task's answers stay
+    once it has ended, whatever becomes of the run. Failed calls are asked again
+    by the next run.
+    """
+    if ledger is None:
+        return checkpointed(_asked(df, prompt, generate, temperature, concurrency, out, f"{out}_error"))
+    keyed = df.withColumn("_call", call_key(F.col(prompt), temperature))
+    answered = ledger_rows(df.sparkSession, ledger).filter("error IS NULL").select(F.col("call").alias("_call"))
+    missing = checkpointed(
+        keyed.select("_call", prompt).dropDuplicates(["_call"]).join(answered, "_call", "left_anti")
+    )
+    tasks = max(1, -(-missing.count() // CALLS_A_TASK))
+    (
+        _asked(missing.repartition(tasks, "_call"), prompt, generate, temperature, concurrency, "response", "error")
+        .select(F.col("_call").alias("call"), "response", "error")
+        .write.mode("append")
+        .option("mapreduce.fileoutputcommitter.algorithm.version", "2")  # a task's file is final when it ends
+        .parquet(ledger)
+    )
+    told = ledger_rows(df.sparkSession, ledger).toDF("_call", out, f"{out}_error")
+    return checkpointed(keyed.join(told, "_call", "left").drop("_call"))
 
 
 def generate_pairs(
@@ -61,6 +100,7 @@ def generate_pairs(
     model: str,
     temperature: float = 0.7,
     concurrency: int = CONCURRENCY,
+    ledger: str | None = None,
 ) -> DataFrame:
     """One attempt per prompt and one retry for responses that do not parse.
 
@@ -68,7 +108,7 @@ def generate_pairs(
     error)``; question and answer are null where both attempts failed.
     """
     first = infer(
-        prompts.select("prompt_index", "prompt"), "prompt", generate, temperature, concurrency
+        prompts.select("prompt_index", "prompt"), "prompt", generate, temperature, concurrency, ledger=ledger
     ).withColumn("pair", parse_qa(F.col("response")))
     good = first.filter("pair is not null").select(
         "prompt_index", "pair", F.lit(1).alias("attempts"), F.lit(None).cast("string").alias("error")
@@ -84,7 +124,7 @@ def generate_pairs(
         "prompt_index", F.concat("prompt", F.lit(REMINDER)).alias("prompt")
     )
     second = infer(
-        again, "prompt", generate, max(0.3, temperature - 0.2), concurrency
+        again, "prompt", generate, max(0.3, temperature - 0.2), concurrency, ledger=ledger
     ).withColumn("pair", parse_qa(F.col("response")))
     retried = second.select(
         "prompt_index",

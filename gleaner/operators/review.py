@@ -98,6 +98,7 @@ def _judged(
     fallback: Column,
     generate: Generate,
     concurrency: int,
+    ledger: str | None = None,
 ) -> DataFrame:
     """``(id, result, error)``: ask, parse, check, ask once more, repair.
 
@@ -107,7 +108,7 @@ def _judged(
     """
     asked = infer(
         pairs.select("id", prompt(F.col("question"), F.col("answer")).alias("prompt")),
-        "prompt", generate, REVIEW_TEMPERATURE, concurrency,
+        "prompt", generate, REVIEW_TEMPERATURE, concurrency, ledger=ledger,
     )
     first = parse_json_rows(asked, "response").withColumn(
         "valid", F.col("doc").isNotNull() & (F.size(violations(F.col("doc"))) == 0)
@@ -116,7 +117,7 @@ def _judged(
         first.filter(~F.col("valid") & F.col("response_error").isNull()).select(
             "id", F.concat("prompt", F.lit(RETRY_NOTE)).alias("prompt")
         ),
-        "prompt", generate, REVIEW_TEMPERATURE, concurrency,
+        "prompt", generate, REVIEW_TEMPERATURE, concurrency, ledger=ledger,
     )
     second = parse_json_rows(again, "response").select("id", F.col("doc").alias("second"))
     return first.join(second, "id", "left").select(
@@ -130,24 +131,24 @@ def _judged(
 
 
 def review_pairs(
-    pairs: DataFrame, generate: Generate, concurrency: int = CONCURRENCY
+    pairs: DataFrame, generate: Generate, concurrency: int = CONCURRENCY, ledger: str | None = None
 ) -> DataFrame:
     """Reviews of ``pairs(id, question, answer)`` as ``(id, review, error)``."""
     fallback = parsing.fallback_review("No usable review after one retry")
     judged = _judged(
         pairs, review_prompt, parsing.review_violations, parsing.coerce_review, fallback,
-        generate, concurrency,
+        generate, concurrency, ledger,
     )
     return judged.withColumnRenamed("result", "review")
 
 
 def fact_check_pairs(
-    pairs: DataFrame, generate: Generate, concurrency: int = CONCURRENCY
+    pairs: DataFrame, generate: Generate, concurrency: int = CONCURRENCY, ledger: str | None = None
 ) -> DataFrame:
     """Fact checks of ``pairs(id, question, answer)`` as ``(id, fact_check, error)``."""
     judged = _judged(
         pairs, fact_prompt, parsing.fact_violations, parsing.coerce_fact, parsing.fallback_fact(),
-        generate, concurrency,
+        generate, concurrency, ledger,
     )
     return judged.withColumnRenamed("result", "fact_check")
 
@@ -171,13 +172,18 @@ def pending_for_review(pairs: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def run_review_session(
-    pairs: DataFrame, done: DataFrame, generate: Generate, concurrency: int = CONCURRENCY
+    pairs: DataFrame,
+    done: DataFrame,
+    generate: Generate,
+    concurrency: int = CONCURRENCY,
+    ledger: str | None = None,
 ) -> DataFrame:
     """All results of a session: those at hand plus the missing ones.
 
-    Running it again reviews nothing twice.
+    Running it again reviews nothing twice; with a ledger that holds for calls
+    of a run that was lost, too.
     """
-    fresh = review_pairs(pending_for_review(pairs, done), generate, concurrency)
+    fresh = review_pairs(pending_for_review(pairs, done), generate, concurrency, ledger)
     return done.select("id", "review", "error").unionByName(fresh)
 
 

@@ -1,18 +1,21 @@
 """The whole run: chunks, evidence, prompts, generation, validation, storage."""
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.vectors import Encoder, hashing_encoder
-from gleaner.operators.generation import Generate, batch_stats, generate_pairs, target_prompts
+from gleaner.operators.generation import Generate, batch_stats, target_prompts
 from gleaner.operators.prompts import rag_prompts, random_prompts
 from gleaner.operators.provenance import rag_pairs, sampled_pairs
 from gleaner.operators.retrieval import embed_chunks
-from gleaner.operators.validation import cut_at_target, validate_pairs
-from gleaner.session import checkpointed
+from gleaner.plans.rounds import run_rounds
+from gleaner.session import checkpoint_folder, checkpointed
+
+MOST_PROMPTS = 3.5  # per pair wanted: the largest factor of a round
 
 
 @dataclass
@@ -46,13 +49,16 @@ def generate_dataset(
     generate: Generate,
     seeds: DataFrame | None = None,
     encoder: Encoder = hashing_encoder,
+    folder: str | None = None,
 ) -> RunResult:
-    """One round of generation over a chunk table.
+    """Rounds of generation over a chunk table until the target is met.
 
-    ``chunks`` as made by :mod:`gleaner.operators.chunks`, ``terms(position,
+    Prompts are made for the largest factor a round may have; rounds take them
+    in order, so later ones are asked only where earlier ones fell short. Give
+    ``folder`` to go on where a lost run ended. ``chunks`` as made by :mod:`gleaner.operators.chunks`, ``terms(position,
     query)`` the topics, ``seeds(position, question)`` questions stored before.
     """
-    wanted = target_prompts(settings.target_pairs, settings.multiplier)
+    wanted = target_prompts(settings.target_pairs, max(MOST_PROMPTS, settings.multiplier))
     shared = (settings.domain, settings.question_types, settings.difficulties, wanted)
     if settings.use_evidence:
         index = checkpointed(embed_chunks(chunks, encoder))
@@ -60,19 +66,13 @@ def generate_dataset(
     else:
         prompts = random_prompts(chunks, *shared, limits=settings.chunk_limits)
     prompts = checkpointed(prompts)
-    generated = checkpointed(
-        generate_pairs(prompts, generate, settings.model, settings.temperature)
-    )
-    parsed = generated.filter(F.col("question").isNotNull())
-    outcomes = checkpointed(
-        cut_at_target(
-            validate_pairs(
-                parsed, "prompt_index", settings.min_quality_score, seeds, encoder
-            ),
-            "prompt_index",
-            settings.target_pairs,
-        )
+    if folder is None:
+        folder = f"{checkpoint_folder(chunks.sparkSession).rstrip('/')}/run-{uuid.uuid4().hex}"
+    rounds = run_rounds(
+        prompts, settings.target_pairs, generate, settings.model, folder, settings.temperature,
+        settings.multiplier, settings.min_quality_score, seeds, encoder,
     )
+    generated, outcomes = rounds.generated, rounds.outcomes.drop("round")
     store = rag_pairs if settings.use_evidence else sampled_pairs
     pairs = store(
         outcomes.filter("accepted"), prompts, settings.project_id, settings.job_id,

@@ -5,7 +5,9 @@ parsing and decision queries read replies derived from the tables.
 """
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,8 @@ from gleaner.plans import inputs
 from gleaner.plans.curate import RunSettings, generate_dataset
 from gleaner.plans.quality_queries import REASONED, reasoned
 from gleaner.plans.registry import PAIRS, query, sql_collapse, sql_strip
+from gleaner.plans.rounds import run_rounds
+from gleaner.session import checkpoint_folder
 
 
 def stub_generate(prompt: str, temperature: float) -> str | None:
@@ -67,6 +71,75 @@ def generated_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def md5_generate(prompt: str, temperature: float) -> str | None:
+    """A stand-in whose replies SQL can tell from the MD5 of the prompt."""
+    h = hashlib.md5(prompt.encode("utf-8")).hexdigest()
+    if h[0] in "01":
+        return None
+    if h[0] in "23456":
+        return "I would rather not."
+    one, two = (hashlib.md5(f"{h[1:4]}{x}".encode()).hexdigest() for x in "ab")
+    answer = "NOT FOUND in the material, which says nothing of it." if h[4] == "0" else (
+        f"Record {one} holds that the finding stands as it was first described."
+    )
+    return f"Question: What does record {one} say about {two}?\nAnswer: {answer}"
+
+
+# the hash that answers a prompt: its own, or that of the retry
+ANSWERED = f"""asked AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS o, 'Ask about: ' || coalesce(text, '') AS prompt FROM documents),
+hashed AS (SELECT doc_id, o, md5(prompt) AS h1, md5(prompt || '{generation.REMINDER}') AS h2 FROM asked),
+told AS (SELECT doc_id, o, CASE WHEN h1 < '2' THEN NULL WHEN h1 >= '7' THEN h1 WHEN h2 >= '7' THEN h2 END AS h,
+  CASE WHEN h1 >= '2' AND h1 < '7' THEN 2 ELSE 1 END AS attempts FROM hashed)"""
+QUESTION = "'What does record ' || md5(substr(h, 2, 3) || 'a') || ' say about ' || md5(substr(h, 2, 3) || 'b') || '?'"
+
+
+def md5_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.documents(spark, sf_dir).select(
+        F.col("doc_id").alias("prompt_index"),
+        F.concat(F.lit("Ask about: "), F.coalesce("text", F.lit(""))).alias("prompt"),
+    )
+
+
+@query(f"WITH {ANSWERED} SELECT doc_id AS prompt_index, {QUESTION} AS question, attempts FROM told")
+def answered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prompt, its retry where the first reply does not parse, through a ledger."""
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    made = generation.generate_pairs(md5_prompts(spark, sf_dir), md5_generate, "stub", ledger=folder)
+    return made.select("prompt_index", "question", "attempts")
+
+
+TARGET = 150
+
+
+@query(f"""WITH RECURSIVE {ANSWERED},
+judged AS (SELECT doc_id, o, h, h IS NOT NULL AND substr(h, 5, 1) <> '0' AS good FROM told),
+firsts AS (SELECT *, good AND o = min(CASE WHEN good THEN o END) OVER (PARTITION BY substr(h, 2, 3)) AS won FROM judged),
+sums AS (SELECT doc_id, o, coalesce(won, false) AS won, count(h) OVER (ORDER BY o) AS parsed,
+  count(*) FILTER (won) OVER (ORDER BY o) AS accepted, count(*) OVER () AS n FROM firsts),
+rounds AS (
+  SELECT -1 AS round, 0::BIGINT AS last, 0::BIGINT AS accepted, NULL::DOUBLE AS multiplier, 2.0::DOUBLE AS next
+  UNION ALL
+  SELECT round + 1, s.o, least(s.accepted, {TARGET}), next,
+    CASE WHEN s.o < 10 THEN next WHEN rate < 0.3 THEN least(3.5, next * 1.4) WHEN rate < 0.5 THEN least(3.5, next * 1.2)
+      WHEN rate > 0.8 THEN greatest(1.3, next * 0.8) ELSE next END
+  FROM (SELECT r.*, s.o, s.accepted AS got, CASE WHEN s.accepted > 0
+      THEN least(s.accepted, {TARGET}) / greatest(s.parsed, 1) ELSE s.parsed / s.o END AS rate
+    FROM rounds r JOIN sums s ON s.o = least(s.n, r.last + greatest(1, floor(({TARGET} - r.accepted) * r.next)))
+    WHERE r.accepted < {TARGET} AND r.last < s.n) r JOIN sums s ON s.o = r.o)
+SELECT r.round, s.doc_id AS prompt_index, round(r.multiplier, 9) AS multiplier
+FROM sums s JOIN (SELECT *, lag(last) OVER (ORDER BY round) AS before FROM rounds) r ON s.o > r.before AND s.o <= r.last
+WHERE s.won AND s.accepted <= {TARGET}""")
+def rounds_until_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of all rounds, with the factor their round was planned by."""
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/rounds-{uuid.uuid4().hex}"
+    done = run_rounds(md5_prompts(spark, sf_dir), TARGET, md5_generate, "stub", folder)
+    return (
+        done.outcomes.filter("accepted")
+        .join(F.broadcast(done.states.select("round", "multiplier")), "round")
+        .select("round", "prompt_index", F.round("multiplier", 9).alias("multiplier"))
+    )
+
+
 @query(f"""WITH {PAIRS}, base AS (SELECT id, {REASONED} AS reason, conv_id % 4 <> 0 AS parsed FROM pairs),
 c AS (SELECT count(*) AS s, count(*) FILTER (parsed) AS p, count(*) FILTER (reason IS NULL) AS a,
   count(reason) AS rejected, count(*) FILTER (reason = 'duplicate') AS duplicates,
