@@ -76,6 +76,8 @@ def infer(
     by the next run.
     """
     if ledger is None:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(parts, prompt)  # a call is costly, whatever files the rows came from
         return checkpointed(_asked(df, prompt, generate, temperature, concurrency, out, f"{out}_error"))
     keyed = df.withColumn("_call", call_key(F.col(prompt), temperature))
     answered = ledger_rows(df.sparkSession, ledger).filter("error IS NULL").select(F.col("call").alias("_call"))

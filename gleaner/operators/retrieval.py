@@ -13,7 +13,9 @@ POOL = 10  # candidates considered per result wanted
 
 
 def embed_chunks(chunks: DataFrame, encoder: Encoder = hashing_encoder) -> DataFrame:
-    return chunks.withColumn("vec", embed(F.col("content"), encoder))
+    """Chunks with their vectors; dealt out first, as encoding is costly per row."""
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return chunks.repartition(parts, "content").withColumn("vec", embed(F.col("content"), encoder))
 
 
 def append_embeddings(

@@ -42,28 +42,32 @@ INPUT_TOKENS, OUTPUT_TOKENS = 500, 150  # assumed per pair
 JSON_ONLY = "Reply with one valid JSON object and no other text.\n"
 RETRY_NOTE = "\n\nThe previous reply was not valid. Reply with the JSON object only."
 
+# what stands before the question, before the answer, and behind it
+REVIEW_PROMPT = (
+    JSON_ONLY + "Rate this question and answer.\n\nQuestion: ",
+    "\nAnswer: ",
+    "\n\nFields: accuracy, completeness, clarity, relevance, overall (integers 0-10), "
+    "recommendation (approve, revise or reject), feedback (one or two sentences).",
+)
+FACT_PROMPT = (
+    JSON_ONLY + "Check the facts of this answer.\n\nQuestion: ",
+    "\nAnswer: ",
+    "\n\nFields: factual_accuracy (integer 0-10), analysis (list of short findings), "
+    "suggested_answer (better answer if factual_accuracy is below 8, else null), "
+    "confidence (0.0-1.0).",
+)
+
+
+def _filled(parts: tuple[str, str, str], question: Column, answer: Column) -> Column:
+    return F.concat(F.lit(parts[0]), question, F.lit(parts[1]), answer, F.lit(parts[2]))
+
 
 def review_prompt(question: Column, answer: Column) -> Column:
-    return F.concat(
-        F.lit(JSON_ONLY + "Rate this question and answer.\n\nQuestion: "), question,
-        F.lit("\nAnswer: "), answer,
-        F.lit(
-            "\n\nFields: accuracy, completeness, clarity, relevance, overall (integers 0-10), "
-            "recommendation (approve, revise or reject), feedback (one or two sentences)."
-        ),
-    )
+    return _filled(REVIEW_PROMPT, question, answer)
 
 
 def fact_prompt(question: Column, answer: Column) -> Column:
-    return F.concat(
-        F.lit(JSON_ONLY + "Check the facts of this answer.\n\nQuestion: "), question,
-        F.lit("\nAnswer: "), answer,
-        F.lit(
-            "\n\nFields: factual_accuracy (integer 0-10), analysis (list of short findings), "
-            "suggested_answer (better answer if factual_accuracy is below 8, else null), "
-            "confidence (0.0-1.0)."
-        ),
-    )
+    return _filled(FACT_PROMPT, question, answer)
 
 
 def parse_json_rows(df: DataFrame, raw: str) -> DataFrame:

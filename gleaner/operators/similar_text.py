@@ -263,19 +263,22 @@ def candidate_pairs(
 
 
 def leading_texts(nodes: DataFrame, threshold: float = DEFAULT_THRESHOLD, crowd: int = 2) -> DataFrame:
-    """First text (by ``order``) behind every piece that ``crowd`` texts share.
+    """Texts that come first (by ``order``) behind half of their pieces or more, ``crowd`` texts sharing each.
 
+    Near-copies share most pieces, texts with a common phrase only a few.
     ``nodes(gid, text, order)``; returns ``(gid)``.
     """
     pieces = _pieces(_prepared(nodes), threshold).select("gid", "key")
-    return (
+    led = (
         pieces.join(nodes.select("gid", "order"), "gid")
         .groupBy("key")
         .agg(F.count("*").alias("texts"), F.min_by("gid", "order").alias("gid"))
         .filter(F.col("texts") >= crowd)
-        .select("gid")
-        .distinct()
+        .groupBy("gid")
+        .agg(F.count("*").alias("led"))
     )
+    own = pieces.groupBy("gid").agg(F.count("*").alias("pieces"))
+    return led.join(own, "gid").filter(2 * F.col("led") >= F.col("pieces")).select("gid")
 
 
 def _common_subsequence(a: str, b: str) -> int:

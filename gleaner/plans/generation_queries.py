@@ -36,24 +36,41 @@ def stub_generate(prompt: str, temperature: float) -> str | None:
     )
 
 
-def stub_judge(prompt: str, temperature: float) -> str:
-    n = zlib.crc32(prompt.encode("utf-8"))
-    if n % 6 == 0:
+def md5_judge(prompt: str, temperature: float) -> str:
+    """Reviews and fact checks that SQL can tell from the MD5 of the prompt."""
+    h = hashlib.md5(prompt.encode("utf-8")).hexdigest()
+    if h[0] == "f":
+        raise ValueError("judge is away")
+    if h[0] in "01":
         return "no opinion"
-    scores = {k: n % (7 + i) for i, k in enumerate(parsing.REVIEW_SCORES)}
+    digit = [int(x, 16) for x in h]
+    scores = {k: digit[i] % 11 for i, k in enumerate(parsing.REVIEW_SCORES, 1)}
     facts = {
-        "factual_accuracy": n % 11, "analysis": ["a"], "confidence": 0.5,
-        "suggested_answer": f"A better answer number {n}." if n % 3 else None,
+        "factual_accuracy": digit[6] % 11, "analysis": ["a"], "confidence": 0.5,
+        "suggested_answer": f"A better answer {h[:6]}." if digit[7] % 3 else None,
     }
     return "Here: " + json.dumps({**scores, "recommendation": "revise", "feedback": "ok", **facts})
 
 
-@query()
-def generated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inputs.documents(spark, sf_dir).select(
-        F.col("doc_id").alias("prompt_index"), F.concat(F.lit("Ask about: "), "text").alias("prompt")
-    )
-    return generation.generate_pairs(rows, stub_generate, "stub")
+def judged_sql(name: str, rows: str, parts: tuple[str, str, str], answer: str = "answer") -> str:
+    """``name(id, h, error)``: the hash whose reply counts for each of ``rows``, null for the fallback."""
+    before, middle, behind = parts
+    return f"""{name}_asked AS (SELECT id, '{before}' || question || '{middle}' || {answer} || '{behind}' AS prompt FROM {rows}),
+{name}_hashed AS (SELECT id, md5(prompt) AS h1, md5(prompt || '{review.RETRY_NOTE}') AS h2 FROM {name}_asked),
+{name} AS (SELECT id, CASE WHEN h1 >= 'f' THEN NULL WHEN h1 >= '2' THEN h1 WHEN h2 >= '2' AND h2 < 'f' THEN h2 END AS h,
+  CASE WHEN h1 >= 'f' THEN 'judge is away' END AS error FROM {name}_hashed)"""
+
+
+def digit_sql(place: int) -> str:
+    return f"(strpos('0123456789abcdef', substr(h, {place}, 1)) - 1)"
+
+
+SCORES_SQL = ", ".join(
+    f"(CASE WHEN h IS NULL THEN 0 ELSE {digit_sql(i)} % 11 END)::INT AS {k}" for i, k in enumerate(parsing.REVIEW_SCORES, 2)
+) + ", 'revise' AS recommendation, CASE WHEN h IS NULL THEN 'No usable review after one retry' ELSE 'ok' END AS feedback"
+ACCURACY_SQL = f"(CASE WHEN h IS NULL THEN 0 ELSE {digit_sql(7)} % 11 END)::DOUBLE"
+SUGGESTED_SQL = f"CASE WHEN {digit_sql(8)} % 3 <> 0 THEN 'A better answer ' || substr(h, 1, 6) || '.' END"
+REVIEWED = f"{PAIRS}, {judged_sql('reviewed', 'pairs', review.REVIEW_PROMPT)}"
 
 
 @query()
@@ -100,6 +117,16 @@ def md5_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ANSWER = """CASE WHEN substr(h, 5, 1) = '0' THEN 'NOT FOUND in the material, which says nothing of it.'
+  WHEN h IS NOT NULL THEN 'Record ' || md5(substr(h, 2, 3) || 'a') || ' holds that the finding stands as it was first described.' END"""
+
+
+@query(f"""WITH {ANSWERED} SELECT doc_id AS prompt_index, {QUESTION} AS question, {ANSWER} AS answer, 'stub' AS model, attempts,
+  CASE WHEN h IS NULL AND attempts = 1 THEN 'empty response' WHEN h IS NULL THEN 'not parsed' END AS error FROM told""")
+def generated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generation.generate_pairs(md5_prompts(spark, sf_dir), md5_generate, "stub")
+
+
 @query(f"WITH {ANSWERED} SELECT doc_id AS prompt_index, {QUESTION} AS question, attempts FROM told")
 def answered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every prompt, its retry where the first reply does not parse, through a ledger."""
@@ -262,33 +289,50 @@ def coerced_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("conv_id", "f.*", "violations").withColumn("analysis", F.array_join("analysis", ";"))
 
 
-@query()
+@query(f"WITH {REVIEWED} SELECT id, {SCORES_SQL}, error FROM reviewed")
 def reviewed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = review.review_pairs(inputs.pairs(spark, sf_dir), stub_judge)
+    rows = review.review_pairs(inputs.pairs(spark, sf_dir), md5_judge)
     return rows.select("id", "review.*", "error")
 
 
-@query()
+@query(f"""WITH {PAIRS}, {judged_sql('checked', 'pairs', review.FACT_PROMPT)}
+SELECT id, {ACCURACY_SQL} AS factual_accuracy, {SUGGESTED_SQL} AS suggested_answer,
+  (CASE WHEN h IS NULL THEN 0 ELSE 0.5 END)::DOUBLE AS confidence, error FROM checked""")
 def fact_checked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = review.fact_check_pairs(inputs.pairs(spark, sf_dir), stub_judge)
+    rows = review.fact_check_pairs(inputs.pairs(spark, sf_dir), md5_judge)
     return rows.select(
         "id", "fact_check.factual_accuracy", "fact_check.suggested_answer", "fact_check.confidence", "error"
     )
 
 
-@query()
+@query(f"""WITH {REVIEWED} SELECT id, {SCORES_SQL}, error FROM reviewed
+WHERE id NOT IN (SELECT id FROM pairs WHERE validation_status = 'approved')
+UNION ALL SELECT id, {', '.join('0' for _ in parsing.REVIEW_SCORES)}, 'revise', 'earlier', NULL FROM pairs
+WHERE validation_status = 'approved'""")
 def resumed_review_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.pairs(spark, sf_dir)
     done = rows.filter("validation_status = 'approved'").select(
         "id", parsing.fallback_review("earlier").alias("review"), F.lit(None).cast("string").alias("error")
     )
-    return review.run_review_session(rows, done, stub_judge).select("id", "review.*", "error")
-
-
-@query()
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    return review.run_review_session(rows, done, md5_judge, ledger=folder).select("id", "review.*", "error")
+
+
+@query(f"""WITH {REVIEWED}, {judged_sql('checked', '(SELECT p.* FROM pairs p JOIN reviewed USING (id) WHERE error IS NULL)', review.FACT_PROMPT)},
+marked AS (SELECT p.*, r.error IS NOT NULL OR c.error IS NOT NULL AS failed, c.score, c.suggestion,
+    coalesce(r.error IS NULL AND c.error IS NULL AND c.score >= 6.0 AND c.score <= 6.9 AND c.suggestion <> '', false) AS applied
+  FROM pairs p JOIN reviewed r USING (id)
+  LEFT JOIN (SELECT id, error, {ACCURACY_SQL} AS score, {SUGGESTED_SQL} AS suggestion FROM checked) c USING (id)),
+{judged_sql('again', '(SELECT * FROM marked WHERE applied)', review.FACT_PROMPT, 'suggestion')},
+decided AS (SELECT m.*, CASE WHEN failed THEN 'error' WHEN score >= 7.0 THEN 'approved'
+    WHEN applied AND a.error IS NULL AND a.second >= 7.0 THEN 'approved' ELSE 'pending' END AS decision
+  FROM marked m LEFT JOIN (SELECT id, error, {ACCURACY_SQL} AS second FROM again) a USING (id))
+SELECT id, CASE WHEN applied THEN suggestion ELSE answer END AS answer,
+  CASE WHEN decision = 'approved' THEN 'approved' ELSE validation_status END AS validation_status,
+  applied AS human_edited, decision, score AS fact_check_score, applied AS suggestion_applied FROM decided""")
 def approval_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = review.approval_workflow(
-        inputs.pairs(spark, sf_dir), stub_judge, threshold=7.0, accept_suggestions=True
+        inputs.pairs(spark, sf_dir), md5_judge, threshold=7.0, accept_suggestions=True
     )
     return rows.select(
         "id", "answer", "validation_status", "human_edited", "decision", "audit.fact_check_score",
