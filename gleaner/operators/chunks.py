@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.chunking import chunk_article, create_chunks
 from gleaner.functions.text import clean_text, word_count
-from gleaner.operators.ranking import with_global_rank
+from gleaner.operators.ranking import with_running_total
 from gleaner.session import checkpointed
 from gleaner.sources.articles import display_name, has_full_text
 
@@ -68,7 +68,8 @@ def chunk_articles(
     """Chunks of ``articles(position, pmid, title, abstract, full_text, sections)``.
 
     Articles with full text are cut by section, others by strategy on the
-    cleaned abstract. One running index counts through all articles.
+    cleaned abstract. One running index counts through all articles, in the
+    order of position and pmid: only a row of counts per article is sorted.
     """
     full = has_full_text(F.col("full_text"))
     by_section = chunk_article(
@@ -82,12 +83,18 @@ def chunk_articles(
     pieces = named.filter(full).withColumn("_chunks", by_section).unionByName(
         named.filter(~full).withColumn("_chunks", by_strategy)
     )
-    rows = pieces.select("position", "pmid", "display_name", F.posexplode("_chunks")).select(
-        "position", "pmid", "display_name", F.col("pos").alias("_at"), "col.content", "col.section"
+    # stored, so that texts are cut once and row numbers stay
+    cut = checkpointed(
+        pieces.select("position", "pmid", "display_name", "_chunks", F.monotonically_increasing_id().alias("_row"))
     )
-    # ranking reads its input twice (sample, then sort): chunk only once
-    ranked = with_global_rank(
-        checkpointed(rows), F.col("position"), F.col("pmid"), F.col("_at"), name="chunk_index"
+    starts = with_running_total(
+        cut.select("position", "pmid", "_row", F.size("_chunks").cast("long").alias("_n")),
+        "_n", F.col("position"), F.col("pmid"), F.col("_row"), name="_start",
+    )
+    ranked = (
+        cut.join(starts.select("_row", "_start"), "_row")
+        .select("display_name", "_start", F.posexplode("_chunks"))
+        .select("display_name", (F.col("_start") + F.col("pos")).alias("chunk_index"), "col.content", "col.section")
     )
     return ranked.select(
         chunk_id(F.lit(ARTICLE_SOURCE), F.col("chunk_index"), F.col("content")).alias("chunk_id"),

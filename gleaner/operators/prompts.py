@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.vectors import Encoder, embed, hashing_encoder
-from gleaner.operators.ranking import with_global_rank, with_group_rank
+from gleaner.operators.ranking import draw_cuts, seeded_draw, with_global_rank
 from gleaner.operators.retrieval import (
     MIN_SCORE,
     POOL,
@@ -189,29 +189,39 @@ def balanced_sample(
     """Chunks drawn evenly per source type, leftovers filling free places.
 
     ``chunks(chunk_id, source_type, ...)``. The random order is a seeded hash,
-    so a rerun draws the same rows. Adds ``prompt_index``.
+    so a rerun draws the same rows. Adds ``prompt_index``. Counting finds how
+    far each type's draws reach; only the sample itself is put in order.
     """
-
-    def drawn(salt: int) -> list[Column]:
-        drawn_text = F.concat_ws(":", F.lit(str(seed + salt)), F.col("chunk_id").cast("string"))
-        return [F.md5(drawn_text), F.col("chunk_id")]
-
-    keys = with_group_rank(
-        chunks.select("chunk_id", "source_type"), ["source_type"], *drawn(0), name="draw"
+    keys = chunks.select(
+        "chunk_id", "source_type", seeded_draw(seed, F.col("chunk_id")).alias("draw")
+    )
+    sizes = {r[0]: r[1] for r in keys.groupBy("source_type").count().collect()}  # source types are few
+    caps = {kind: n for kind, n in (limits or {}).items() if n > 0}
+    share = target // max(len(sizes), 1)
+    places = [(kind, "share", min(share, caps.get(kind, share))) for kind in sizes]
+    places += [(kind, "limit", n) for kind, n in caps.items() if kind in sizes]
+    cuts = draw_cuts(keys, places, "source_type", "draw")
+
+    def before(name: str) -> Column:
+        """Rows ahead of their type's cut, all of a type without one."""
+        ahead = F.lit(True)
+        for kind in sizes:
+            if (kind, name) in cuts:
+                other = ~F.col("source_type").eqNullSafe(F.lit(kind))
+                ahead = ahead & (other | (F.col("draw") < cuts[kind, name][0]))
+        return ahead
+
+    taken = keys.filter(before("share")).select("chunk_id")
+    free = target - sum(cuts[k, "share"][1] if (k, "share") in cuts else n for k, n in sizes.items())
+    spare = keys.filter(before("limit") & ~before("share")).select(
+        "chunk_id", F.lit(0).alias("all"), seeded_draw(seed + 1, F.col("chunk_id")).alias("draw")
     )
-    for kind, limit in (limits or {}).items():
-        if limit > 0:
-            keys = keys.filter(~F.col("source_type").eqNullSafe(kind) | (F.col("draw") < limit))
-    keys = checkpointed(keys)
-    kinds = keys.select("source_type").distinct().count()
-    share = target // max(kinds, 1)
-    taken = keys.filter(F.col("draw") < share).select("chunk_id")
-    free = target - taken.count()
-    spare = with_global_rank(
-        keys.filter(F.col("draw") >= share).select("chunk_id"), *drawn(1), name="place"
-    ).filter(F.col("place") < free)
+    last = draw_cuts(spare, [(0, "free", free)], "all", "draw")
+    if last:
+        spare = spare.filter(F.col("draw") < last[0, "free"][0])
     chosen = with_global_rank(
-        taken.unionByName(spare.select("chunk_id")), *drawn(2), name="prompt_index"
+        taken.unionByName(spare.select("chunk_id")),
+        seeded_draw(seed + 2, F.col("chunk_id")), F.col("chunk_id"), name="prompt_index",
     )
     return chunks.join(chosen, "chunk_id")
 
@@ -234,6 +244,7 @@ def random_prompts(
         .withColumn("difficulty", cycled(difficulties, index))
         .select(
             "prompt_index",
+            "chunk_id",
             F.concat(
                 fill_template(
                     F.col("question_type"),

@@ -1,10 +1,10 @@
 """Train / validation / test assignment."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.operators.ranking import with_global_rank
+from gleaner.operators.ranking import draw_cuts, seeded_draw
 
 SPLITS = ("train", "val", "test")
 
@@ -15,20 +15,21 @@ def split_exact(
     """Add ``split`` with ``int(n * train)`` and ``int(n * val)`` rows, rest test.
 
     The order is a seeded hash of the key, so the same rows fall into the
-    same split on every run.
+    same split on every run; repeated rows of a key stay together, on the side
+    of the first of them. Counting finds the two cuts: no row moves.
     """
-    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    ranked = with_global_rank(
-        pairs.select(key).withColumn("_draw", draw), F.col("_draw"), F.col(key), name="_place"
-    )
-    n = ranked.count()
+    n = pairs.count()
     n_train, n_val = int(n * train), int(n * val)
-    split = (
-        F.when(F.col("_place") < n_train, "train")
-        .when(F.col("_place") < n_train + n_val, "val")
-        .otherwise("test")
+    draw = seeded_draw(seed, F.col(key))
+    places = [(0, "train", n_train), (0, "val", n_train + n_val)]
+    cuts = draw_cuts(pairs.select(F.lit(0).alias("all"), draw.alias("draw")), places, "all", "draw")
+
+    def before(name: str) -> Column:
+        return draw < cuts[0, name][0] if (0, name) in cuts else F.lit(True)
+
+    return pairs.withColumn(
+        "split", F.when(before("train"), "train").when(before("val"), "val").otherwise("test")
     )
-    return pairs.join(ranked.select(key, split.alias("split")), key)
 
 
 def split_by_hash(

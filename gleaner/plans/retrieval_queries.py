@@ -259,7 +259,4 @@ def sampled_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = prompts.random_prompts(
         rows, "x", ["factual", "reasoning"], ["advanced"], SAMPLE_TARGET, limits=SAMPLE_LIMITS
     )
-    ids = prompts.balanced_sample(rows, SAMPLE_TARGET, SAMPLE_LIMITS).select("prompt_index", "chunk_id")
-    return plan.join(ids, "prompt_index").select(
-        "prompt_index", "chunk_id", "question_type", F.md5("prompt").alias("prompt")
-    )
+    return plan.select("prompt_index", "chunk_id", "question_type", F.md5("prompt").alias("prompt"))

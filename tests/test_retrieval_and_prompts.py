@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import defaultdict
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import generation, prompts, retrieval
+from gleaner.operators import generation, prompts, ranking, retrieval
 from gleaner.operators.ranking import with_global_rank, with_group_rank
 from gleaner.plans.curate import RunSettings, generate_dataset
 from gleaner.plans.generation_queries import stub_generate
@@ -101,6 +102,29 @@ def test_balanced_sample_fills_from_leftovers(spark):
     assert len(limited) == 9
 
 
+@pytest.mark.parametrize("border", [ranking.BORDER, 3])
+def test_draw_cuts_match_a_sort(spark, monkeypatch, border):
+    monkeypatch.setattr(ranking, "BORDER", border)  # 3: several rounds, keys repeated more often than that
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(400)) for _ in range(1200)]
+    df = spark.createDataFrame(rows, "g string, k int").withColumn("d", ranking.seeded_draw(1, F.col("k")))
+    places = [(g, f"p{p}", p) for g in ("a", "b", None, "z") for p in (0, 1, 100, 390, 10**6)]
+    got = ranking.draw_cuts(df, places, "g", "d")
+    for g, name, place in places:
+        draws = sorted(hashlib.md5(f"1:{k}".encode()).hexdigest() for kind, k in rows if kind == g)
+        want = (draws[place], draws.index(draws[place])) if place < len(draws) else None
+        assert got.get((g, name)) == want
+    assert ranking.draw_cuts(df.limit(0), places, "g", "d") == {}
+
+
+def test_sample_of_nothing_and_of_null_types(spark):
+    schema = "chunk_id long, source_type string, content string, source_filename string"
+    assert prompts.balanced_sample(spark.createDataFrame([], schema), 5).count() == 0
+    rows = [(i, None if i % 2 else "PDF", "c", "f") for i in range(20)]
+    got = prompts.balanced_sample(spark.createDataFrame(rows, schema), 6).collect()
+    assert sorted(str(r["source_type"]) for r in got) == ["None"] * 3 + ["PDF"] * 3
+
+
 def test_ranks(spark):
     rng = random.Random(1)
     rows = [(rng.choice("ab"), rng.randrange(50), i) for i in range(300)]
