@@ -1,18 +1,28 @@
 """Queries over reports, listings, splits, exports and table changes."""
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import changes, listing, reports, splits
+from gleaner.operators.validation import evaluate_pairs
 from gleaner.plans import inputs
 from gleaner.plans.registry import PAIRS, query
-from gleaner.sinks import exports
+from gleaner.session import checkpoint_folder
+from gleaner.sinks import exports, tables
 from gleaner.streaming import progress
 
 P = f"WITH {PAIRS} "
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder in the shared store."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
+
+
 def pairs_and(extra: str) -> str:
     return f"WITH {PAIRS}, {extra} "
 
@@ -340,6 +350,36 @@ def parquet_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.parquet_rows(exported(spark, sf_dir), lists_as_json=True).drop("retrieval_scores")
 
 
+@query(pairs_and(SPLIT) + """SELECT split, json_object('messages', [
+  json_object('role', 'system', 'content', 'You are a knowledgeable medical assistant.'),
+  json_object('role', 'user', 'content', question),
+  json_object('role', 'assistant', 'content', answer)])::VARCHAR AS value FROM parts""")
+def written_split_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs written as one project's chat files, per split, and read back."""
+    rows = export_source(spark, sf_dir).withColumn("project_id", F.lit("all"))
+    folder = f"{fresh_folder(spark)}/export"
+    out = exports.export_project(rows, folder, "openai", "all", "a b/c", "1", train=0.8, val=0.1)
+    read = [spark.read.text(path).select(F.lit(name).alias("split"), "value") for name, path in out.items()]
+    return reduce(DataFrame.unionByName, read)
+
+
+@query(P + """SELECT id, question, answer, validation_status, 3::BIGINT AS checks,
+  ['format', 'length', 'relevance'] AS check_types FROM pairs""")
+def rewritten_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs and checks written in two batches, each of them twice, and read back."""
+    folder = fresh_folder(spark)
+    rows = evaluate_pairs(inputs.pairs(spark, sf_dir))
+    odd = F.pmod(F.xxhash64("id"), F.lit(2)) == 1
+    for batch, part in [("a", rows.filter(~odd)), ("b", rows.filter(odd))] * 2:
+        tables.write_pairs(folder, batch, part)
+    checks = tables.read_batches(spark, folder, "checks").groupBy(F.col("qa_pair_id").alias("id")).agg(
+        F.count("*").alias("checks"), F.array_sort(F.collect_list("check_type")).alias("check_types")
+    )
+    return tables.read_batches(spark, folder, "pairs").join(checks, "id").select(
+        "id", "question", "answer", "validation_status", "checks", "check_types"
+    )
+
+
 # -- changes -----------------------------------------------------------------
 
 

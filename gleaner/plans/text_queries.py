@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pandas as pd
@@ -16,7 +17,9 @@ from gleaner.plans import inputs
 from gleaner.plans.registry import (
     PAIRS, SPACE, query, sql_clean, sql_strip, sql_words,
 )
+from gleaner.session import checkpoint_folder
 from gleaner.sources import articles, documents, qa_xml
+from gleaner.streaming import ingest
 
 WORD_WINDOWS = f"""
 WITH cleaned AS (SELECT *, {sql_clean('text')} AS t FROM documents),
@@ -50,6 +53,21 @@ def source_chunk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(WORD_WINDOWS + "SELECT doc_id, chunk_index, content, word_count FROM chunk_rows")
+def streamed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arriving in two batches, the second with all of the first again."""
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    arriving = inputs.documents(spark, sf_dir).select("source_id", "project_id", "filename", "text")
+    early = arriving.filter(F.pmod(F.xxhash64("source_id"), F.lit(2)) == 0)
+    for batch in (early, arriving):
+        batch.write.mode("append").parquet(f"{folder}/documents")
+        stream = spark.readStream.schema(arriving.schema).parquet(f"{folder}/documents")
+        ingest.ingest_documents(stream, f"{folder}/index", f"{folder}/progress").awaitTermination()
+    return spark.read.parquet(f"{folder}/index").select(
+        F.col("source_id").alias("doc_id"), "chunk_index", "content", "word_count"
+    )
+
+
 PARAGRAPHS = f"""
 WITH RECURSIVE spread AS (
   SELECT doc_id, unnest(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\\n\\n+')) AS p,

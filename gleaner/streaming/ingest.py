@@ -8,8 +8,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gleaner.functions.vectors import Encoder, hashing_encoder
 from gleaner.operators.chunks import chunk_documents
-from gleaner.operators.retrieval import append_embeddings, embed_chunks
+from gleaner.operators.retrieval import embed_chunks
 from gleaner.operators.validation import validate_pairs
+from gleaner.session import checkpointed
+
+BUCKETS = 64  # of the chunk keys of an index
 
 
 def _table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -26,23 +29,45 @@ def ingest_documents(
     index_path: str,
     checkpoint: str,
     encoder: Encoder = hashing_encoder,
+    buckets: int = BUCKETS,
     **chunking,
 ) -> StreamingQuery:
-    """Clean, chunk and embed arriving documents; append chunks not indexed yet.
+    """Clean, chunk and embed arriving documents; add the chunks not indexed yet.
 
-    Chunk ids follow from content, so a batch replayed after a failure adds
-    nothing twice.
+    A batch writes ``index_path/batch=<id>``, replaced if it is replayed, and
+    the keys of its chunks to ``<index_path>_keys``, cut into buckets by hash.
+    The index itself, with its texts and vectors, is never read: a batch looks
+    up its chunks by their 8-byte hashes in the buckets they fall into, and
+    reads chunk ids only for hashes found there, in the buckets of those.
+    Equal chunks of one batch are kept once. ``buckets`` must stay the same
+    over the life of an index.
     """
+    index_path = index_path.rstrip("/")
+    keys_path = f"{index_path}_keys"
 
-    def write(batch: DataFrame, _: int) -> None:
-        chunks = chunk_documents(batch, **chunking).dropDuplicates(["chunk_id"])
-        indexed = _table_or_none(batch.sparkSession, index_path)
-        fresh = (
-            embed_chunks(chunks, encoder)
-            if indexed is None
-            else append_embeddings(indexed, chunks, encoder)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        finger = F.xxhash64("chunk_id")
+        chunks = checkpointed(
+            chunk_documents(batch, **chunking)
+            .dropDuplicates(["chunk_id"])
+            .withColumns({"finger": finger, "bucket": F.pmod(finger, F.lit(buckets)).cast("int")})
+        )
+        keys = _table_or_none(spark, keys_path)
+        known = None if keys is None else keys.filter(F.col("batch") < batch_id)
+        fresh = chunks if known is None else _not_indexed(chunks, known)
+        fresh = checkpointed(fresh)
+        embed_chunks(fresh.drop("finger", "bucket"), encoder).write.mode("overwrite").parquet(
+            f"{index_path}/batch={batch_id}"
+        )
+        (
+            fresh.select("finger", "chunk_id", "bucket")
+            .repartition(buckets, "bucket")  # one file a bucket, in the order of its hashes
+            .sortWithinPartitions("bucket", "finger")
+            .write.mode("overwrite")
+            .partitionBy("bucket")
+            .parquet(f"{keys_path}/batch={batch_id}")
         )
-        fresh.write.mode("append").parquet(index_path)
 
     return (
         documents.writeStream.foreachBatch(write)
@@ -52,6 +77,22 @@ def ingest_documents(
     )
 
 
+def _not_indexed(chunks: DataFrame, known: DataFrame) -> DataFrame:
+    """Chunks whose id is not in the keys: hashes first, ids for those that meet."""
+
+    def inside(rows: DataFrame) -> DataFrame:
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # as many as buckets
+        return known.filter(F.col("bucket").isin(touched))
+
+    suspects = checkpointed(chunks.join(inside(chunks).select("finger"), "finger", "left_semi"))
+    if suspects.isEmpty():
+        return chunks
+    ids = suspects.select("bucket", "finger", "chunk_id").join(
+        inside(suspects).select("finger", "chunk_id"), ["finger", "chunk_id"], "left_semi"
+    )
+    return chunks.join(ids.select("chunk_id"), "chunk_id", "left_anti")
+
+
 def validate_stream(
     pairs: DataFrame,
     position: str,

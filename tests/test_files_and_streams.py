@@ -146,6 +146,30 @@ def test_tables_are_appended(spark, tmp_path):
     assert kinds == {"length", "format", "relevance", "duplicate", "completeness"}
 
 
+def test_batches_are_replaced_together(spark, tmp_path):
+    folder = str(tmp_path)
+    with pytest.raises(ValueError):
+        tables.read_batches(spark, folder, "pairs")
+
+    def rows(*ids):
+        return spark.createDataFrame([(i,) for i in ids], "id long")
+
+    def stored(name):
+        return sorted(r["id"] for r in tables.read_batches(spark, folder, name).collect())
+
+    tables.write_batch(folder, "a", {"pairs": rows(1, 2), "checks": rows(1, 1, 2)})
+    tables.write_batch(folder, "b", {"pairs": rows(), "checks": rows()})
+    tables.write_batch(folder, "b", {"pairs": rows(3), "checks": rows(3, 3)})
+    assert stored("pairs") == [1, 2, 3] and stored("checks") == [1, 1, 2, 3, 3]
+    # one table is written, the other fails: the batch stays as it was
+    broken = rows(9).select(F.raise_error(F.lit("lost")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        tables.write_batch(folder, "a", {"pairs": rows(9), "checks": broken})
+    assert stored("pairs") == [1, 2, 3]
+    tables.write_batch(folder, "a", {"pairs": rows(2, 4), "checks": rows(4)})
+    assert stored("pairs") == [2, 3, 4] and stored("checks") == [3, 3, 4]
+
+
 def test_progress_stream_keeps_the_terminal_state(spark, tmp_path):
     path = str(tmp_path / "events")
     rows = [("a", 1, 10.0, "m", "in_progress"), ("a", 3, 0.0, "m", "failed"), ("b", 1, 5.0, "m", "in_progress")]
@@ -173,6 +197,17 @@ def test_document_stream_adds_each_chunk_once(spark, tmp_path):
     got = spark.read.parquet(index)
     assert sorted(r["source_id"] for r in got.collect()) == ["s1", "s2"]
     assert got.select(F.size("vec")).first()[0] == 384
+    keys = spark.read.parquet(index + "_keys")
+    assert keys.select("chunk_id").distinct().count() == keys.count() == 2
+    assert sorted(r["source_id"] for r in got.filter("batch = 1").collect()) == ["s2"]
+
+
+def test_equal_hashes_of_different_chunks_are_both_kept(spark):
+    new = spark.createDataFrame([(7, "x", 0), (7, "y", 0), (8, "z", 1)], "finger long, chunk_id string, bucket int")
+    known = spark.createDataFrame([(7, "x", 0), (7, "w", 0), (8, "q", 2)], "finger long, chunk_id string, bucket int")
+    assert sorted(r["chunk_id"] for r in ingest._not_indexed(new, known).collect()) == ["y", "z"]
+    assert ingest._not_indexed(new, known.limit(0)).count() == 3
+    assert ingest._not_indexed(new.limit(0), known).count() == 0
 
 
 def test_validation_stream_knows_earlier_batches(spark, tmp_path):
