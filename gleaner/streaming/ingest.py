@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gleaner.functions.vectors import Encoder, hashing_encoder
+from gleaner.functions.vectors import Encoder, embed, hashing_encoder
 from gleaner.operators.chunks import chunk_documents
-from gleaner.operators.retrieval import embed_chunks
 from gleaner.operators.validation import validate_pairs
 from gleaner.session import checkpointed
 
@@ -39,25 +38,31 @@ def ingest_documents(
     The index itself, with its texts and vectors, is never read: a batch looks
     up its chunks by their 8-byte hashes in the buckets they fall into, and
     reads chunk ids only for hashes found there, in the buckets of those.
-    Equal chunks of one batch are kept once. ``buckets`` must stay the same
+    Equal chunks of one batch are kept once. ``<index_path>_arriving`` holds the
+    chunks of the batch at work, so that texts are cut once. ``buckets`` must stay the same
     over the life of an index.
     """
     index_path = index_path.rstrip("/")
-    keys_path = f"{index_path}_keys"
+    keys_path, staged_path = f"{index_path}_keys", f"{index_path}_arriving"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         finger = F.xxhash64("chunk_id")
-        chunks = checkpointed(
-            chunk_documents(batch, **chunking)
-            .dropDuplicates(["chunk_id"])
-            .withColumns({"finger": finger, "bucket": F.pmod(finger, F.lit(buckets)).cast("int")})
+        chunk_documents(batch, **chunking).write.mode("overwrite").parquet(staged_path)
+        chunks = spark.read.parquet(staged_path)
+        ids = chunks.select("chunk_id").distinct().withColumns(
+            {"finger": finger, "bucket": F.pmod(finger, F.lit(buckets)).cast("int")}
         )
         keys = _table_or_none(spark, keys_path)
         known = None if keys is None else keys.filter(F.col("batch") < batch_id)
-        fresh = chunks if known is None else _not_indexed(chunks, known)
-        fresh = checkpointed(fresh)
-        embed_chunks(fresh.drop("finger", "bucket"), encoder).write.mode("overwrite").parquet(
+        fresh = checkpointed(ids if known is None else _not_indexed(checkpointed(ids), known))
+        # one shuffle by id serves the join, the copies of a batch and the encoder
+        added = (
+            chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
+            .join(fresh.select("chunk_id"), "chunk_id", "left_semi")
+            .dropDuplicates(["chunk_id"])
+        )
+        added.withColumn("vec", embed(F.col("content"), encoder)).write.mode("overwrite").parquet(
             f"{index_path}/batch={batch_id}"
         )
         (
