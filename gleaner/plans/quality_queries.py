@@ -1,6 +1,9 @@
 """Queries over quality checks, duplicates and validation."""
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from gleaner.functions.text import normalise_question
 from gleaner.operators import dedup, validation
 from gleaner.operators.similar_text import similar_pairs
 from gleaner.plans import inputs
+from gleaner.plans.ratio_sql import ratios
 from gleaner.plans.registry import PAIRS, query, sql_collapse, sql_strip, sql_words
 
 
@@ -17,7 +21,9 @@ def _any(text: str, phrases: list[str]) -> str:
     return "(" + " + ".join(f"contains({text}, '{p}')::INT" for p in quoted) + ")"
 
 
-CHECKS = f"""WITH {PAIRS},
+def checks_of(rows: str) -> str:
+    """CTEs that end in ``totals``: the checks of all questions and answers of ``rows``."""
+    return f"""
 measured AS (
   SELECT *, length(question) AS ql, length(answer) AS al,
     {sql_strip('question')} AS sq, {sql_strip('answer')} AS sa,
@@ -25,7 +31,7 @@ measured AS (
     {_any('lower(answer)', [p.lower() for p in quality.REFUSALS])} AS refusals,
     len(regexp_extract_all(answer, '(?i)\\[Evidence\\s*\\d+\\]|\\[Ref(?:erence)?\\s*\\d+\\]|\\[Source\\s*\\d+\\]|\\(\\s*Evidence\\s*\\d+\\s*\\)')) AS citations,
     {_any('lower(answer)', quality.SOURCE_PHRASES)} + {_any('lower(question)', quality.SOURCE_PHRASES)} AS sources
-  FROM pairs),
+  FROM {rows}),
 flags AS (
   SELECT *, ql BETWEEN 10 AND 500 AND al BETWEEN 20 AND 3000 AS length_ok,
     ((CASE WHEN ql BETWEEN 20 AND 200 THEN 1.0 WHEN ql BETWEEN 10 AND 500 THEN 0.7 ELSE 0.0 END)::DOUBLE
@@ -55,6 +61,9 @@ totals AS (
 """
 
 
+CHECKS = f"WITH {PAIRS}, {checks_of('pairs')}"
+
+
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.evaluate_pairs(inputs.pairs(spark, sf_dir), 0.4)
 
@@ -144,19 +153,51 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+HELD = """nodes AS (SELECT min(pos) AS gid, text FROM held GROUP BY text),
+held_as AS (SELECT h.pos, n.gid FROM held h JOIN nodes n USING (text))"""
+
+QUESTIONS = f"""WITH RECURSIVE asked AS (
+  SELECT conv_id * 1000 + turn * 10 AS pos, text FROM conversations WHERE role = 'user'),
+questions AS (
+  SELECT pos AS position, 'What is ' || text || '?' AS question FROM asked
+  UNION ALL SELECT pos + 1, 'What was ' || text || '?' FROM asked
+  UNION ALL SELECT pos + 2, 'WHAT  is ' || text || '?' FROM asked),
+held AS (SELECT position AS pos, {sql_collapse('lower(question)')} AS text FROM questions),
+{HELD}, {ratios('nodes')}
+"""
+
+
+def walk(nodes: str, edges: str) -> str:
+    """CTEs that end in ``winners(id)``: nodes in the order of their id, the first wins."""
+    return f"""
+numbered AS MATERIALIZED (
+  SELECT n.id, row_number() OVER (ORDER BY n.id) AS k,
+    coalesce(list(e.earlier) FILTER (e.earlier IS NOT NULL), []) AS before
+  FROM {nodes} n LEFT JOIN {edges} e ON e.later = n.id GROUP BY n.id),
+walk AS (
+  SELECT 0::BIGINT AS k, []::BIGINT[] AS kept
+  UNION ALL
+  SELECT n.k, CASE WHEN list_has_any(n.before, w.kept) THEN w.kept ELSE list_append(w.kept, n.id) END
+  FROM walk w JOIN numbered n ON n.k = w.k + 1),
+winners AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM walk ORDER BY k DESC LIMIT 1))"""
+
+
+@query(QUESTIONS + "SELECT earlier, later, ratio FROM ratios WHERE earlier < later")
 def similar_question_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = questions(spark, sf_dir)
     nodes = dedup.exact_groups(rows, normalise_question(F.col("question")), "position")
     return similar_pairs(nodes.select(F.col("first").alias("gid"), "text"))
 
 
-@query()
+@query(QUESTIONS + """SELECT gid AS earlier, pos AS later, 1.0::DOUBLE AS similarity FROM held_as WHERE pos > gid
+UNION ALL SELECT earlier, pos, ratio FROM held_as JOIN ratios ON later = gid WHERE pos > earlier""")
 def question_duplicate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.fuzzy_edges(questions(spark, sf_dir), "position", "question")
 
 
-@query()
+@query(f"""{QUESTIONS}, heads AS (SELECT gid AS id FROM nodes),
+ahead AS MATERIALIZED (SELECT earlier, later FROM ratios WHERE earlier < later), {walk('heads', 'ahead')}
+SELECT position, question FROM questions JOIN winners ON id = position""")
 def deduplicated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.dedup_questions(questions(spark, sf_dir), "position", "question")
 
@@ -204,23 +245,102 @@ def to_validate(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return pairs.unionByName(again), seeds
 
 
-@query()
+def md5_encoder(texts: list[str], dim: int = 384) -> np.ndarray:
+    """A stand-in encoder that SQL can follow: words signed and placed by their MD5."""
+    out = np.zeros((len(texts), dim), dtype=np.float32)
+    for row, text in enumerate(texts):
+        for word in text.split():
+            h = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16)
+            out[row, h % dim] += 1.0 if (h >> 16) & 1 else -1.0
+    return out
+
+
+def md5_entries(texts: str, words: str) -> str:
+    """SQL for the entries ``(gid, place, x)`` of that encoder that are not zero."""
+    return f"""(SELECT gid, h % 384 AS place, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x
+  FROM (SELECT gid, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM (SELECT gid, unnest({words}) AS w FROM {texts}))
+  GROUP BY ALL HAVING x <> 0)"""
+
+
+WITH_DUPLICATE = """round((length_score * 0.25::DOUBLE + format_score * 0.2::DOUBLE + relevance_score * 0.3::DOUBLE
+    + (1.0::DOUBLE - coalesce(similarity, 0)) * 0.25::DOUBLE) / 1.0::DOUBLE, 4)"""
+
+CANDIDATES = """candidates AS (
+  SELECT id * 10 AS position, question, answer FROM pairs
+  UNION ALL SELECT id * 10 + 1, replace(question, 'What is ', 'What was '), answer FROM pairs)"""
+
+VALIDATED = f"""WITH RECURSIVE {PAIRS}, {CANDIDATES}, {checks_of('candidates')},
+staged AS MATERIALIZED (
+  SELECT *, {sql_collapse('lower(question)')} AS text,
+    CASE WHEN not_found THEN 0 WHEN len(issues) > 0 THEN 1 ELSE 2 END AS stage,
+    length_ok AND relevance_ok AND {WITH_DUPLICATE} >= 0.4 AS good
+  FROM (SELECT *, NULL::DOUBLE AS similarity FROM totals)),
+seeds AS (SELECT {sql_collapse('lower(text)')} AS text, min(item_id) AS seed FROM benchmark GROUP BY 1),
+nodes AS (SELECT text, row_number() OVER (ORDER BY text) AS gid
+  FROM (SELECT text FROM staged WHERE stage = 2 UNION SELECT text FROM seeds)),
+places AS (
+  SELECT n.gid, n.text, any_value(s.seed) - 4611686018427387904 AS seeded,
+    min(t.position) FILTER (t.stage = 2 AND t.good) AS lead
+  FROM nodes n LEFT JOIN seeds s USING (text) LEFT JOIN staged t USING (text) GROUP BY n.gid, n.text),
+{ratios('nodes')},
+free AS (
+  SELECT gid, text, lead AS id FROM places WHERE lead IS NOT NULL AND seeded IS NULL AND gid NOT IN (
+    SELECT later FROM ratios JOIN places p ON p.gid = earlier WHERE p.seeded IS NOT NULL)),
+entries AS {md5_entries('free', "string_split(text, ' ')")},
+norms AS (SELECT gid, sqrt(sum(x * x)) AS norm FROM entries GROUP BY gid),
+cosines AS (
+  SELECT x.gid AS earlier, y.gid AS later FROM entries x JOIN entries y ON x.place = y.place AND x.gid <> y.gid
+  JOIN norms a ON a.gid = x.gid JOIN norms b ON b.gid = y.gid
+  GROUP BY x.gid, y.gid, a.norm, b.norm HAVING sum(x.x * y.x) / (a.norm * b.norm) >= 0.92),
+ahead AS MATERIALIZED (
+  SELECT e.id AS earlier, l.id AS later
+  FROM (SELECT earlier, later FROM ratios UNION SELECT earlier, later FROM cosines) r
+  JOIN free e ON e.gid = r.earlier JOIN free l ON l.gid = r.later WHERE e.id < l.id),
+{walk('free', 'ahead')},
+leaders AS (
+  SELECT gid, id AS place FROM free JOIN winners USING (id)
+  UNION ALL SELECT gid, seeded FROM places WHERE seeded IS NOT NULL),
+tested AS (SELECT t.position, n.gid FROM staged t JOIN nodes n USING (text) WHERE t.stage = 2),
+firsts AS (SELECT position, arg_min(ratio, place) AS similarity FROM (
+    SELECT position, place, 1.0::DOUBLE AS ratio FROM tested JOIN leaders USING (gid) WHERE place < position
+    UNION ALL
+    SELECT position, place, ratio FROM tested t JOIN ratios r ON r.later = t.gid
+    JOIN leaders l ON l.gid = r.earlier WHERE place < position) GROUP BY position),
+outcome AS MATERIALIZED (
+  SELECT t.position, w.id IS NOT NULL AS accepted,
+    CASE WHEN stage = 0 THEN 'not_found' WHEN stage = 1 THEN 'completeness' WHEN w.id IS NOT NULL THEN NULL
+      WHEN f.similarity IS NOT NULL THEN 'duplicate' WHEN NOT good THEN 'quality' ELSE 'semantic_dup' END AS reason,
+    CASE WHEN stage = 2 THEN {WITH_DUPLICATE.replace('similarity', 'f.similarity')} ELSE 0.0 END::DOUBLE AS quality_score
+  FROM staged t LEFT JOIN firsts f USING (position) LEFT JOIN winners w ON w.id = t.position)
+"""
+
+
+@query(VALIDATED + "SELECT position, accepted, reason, quality_score FROM outcome")
 def validated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, seeds = to_validate(spark, sf_dir)
-    return validation.validate_pairs(pairs, "position", 0.4, seeds).select(
+    return validation.validate_pairs(pairs, "position", 0.4, seeds, md5_encoder).select(
         "position", "accepted", "reason", "quality_score"
     )
 
 
-@query()
+@query(VALIDATED + """SELECT position, accepted, reason FROM outcome WHERE position <= coalesce(
+  (SELECT position FROM outcome WHERE accepted ORDER BY position LIMIT 1 OFFSET 39), 9223372036854775807)""")
 def pairs_until_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, seeds = to_validate(spark, sf_dir)
-    return validation.validate_until(pairs, "position", 40, 0.4, seeds).select(
+    return validation.validate_until(pairs, "position", 40, 0.4, seeds, md5_encoder).select(
         "position", "accepted", "reason"
     )
 
 
-@query()
+@query(f"""WITH RECURSIVE {CHECKS[4:]},
+held AS (SELECT id AS pos, {sql_collapse('lower(question)')} AS text FROM pairs),
+{HELD}, {ratios('nodes')},
+firsts AS (SELECT pos, arg_min(ratio, earlier) AS similarity FROM (
+    SELECT pos, gid AS earlier, 1.0::DOUBLE AS ratio FROM held_as WHERE gid < pos
+    UNION ALL SELECT pos, earlier, ratio FROM held_as JOIN ratios ON later = gid WHERE earlier < pos) GROUP BY pos)
+SELECT id, {WITH_DUPLICATE} AS quality_score,
+  CASE WHEN length_ok AND relevance_ok AND similarity IS NULL THEN 'approved' ELSE 'pending' END AS validation_status
+FROM totals LEFT JOIN firsts ON pos = id""")
 def curated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = inputs.pairs(spark, sf_dir).select("id", "question", "answer")
     return validation.store_curated(pairs, "id").select("id", "quality_score", "validation_status")
