@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import prompts, retrieval
 from gleaner.plans import inputs
-from gleaner.plans.registry import PAIRS, query
+from gleaner.plans.encoding import md5_encoder, md5_entries
+from gleaner.plans.registry import PAIRS, query, sql_words
 
 TOP_K = 5
 
@@ -111,6 +112,27 @@ def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# entries as thousandths of the largest; 0.3 keeps ratios of counts off the steps of floor
+@query(f"""WITH texts AS (SELECT doc_id AS gid, text FROM documents),
+entries AS {md5_entries('texts', sql_words('text'))},
+parts AS (SELECT gid, string_agg(place || ':' || (sign(x) * floor(abs(x) / top * 1000 + 0.3))::BIGINT, ',' ORDER BY place) AS entries
+  FROM (SELECT *, max(abs(x)) OVER (PARTITION BY gid) AS top FROM entries) GROUP BY gid)
+SELECT doc_id, coalesce(entries, '') AS entries FROM documents LEFT JOIN parts ON gid = doc_id""")
+def embedded_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors themselves: every entry that is not zero, by the largest of its document."""
+    rows = inputs.documents(spark, sf_dir).select("doc_id", F.col("text").alias("content"))
+    placed = F.transform("vec", lambda x, i: F.struct(i.alias("place"), x.cast("double").alias("x")))
+    top = F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double"))))
+    shown = F.transform(
+        F.filter(placed, lambda e: e["x"] != 0),
+        lambda e: F.concat_ws(
+            ":", e["place"], (F.sign(e["x"]) * F.floor(F.abs(e["x"]) / F.col("top") * 1000 + 0.3)).cast("long")
+        ),
+    )
+    vectors = retrieval.embed_chunks(rows, md5_encoder).withColumn("top", top)
+    return vectors.select("doc_id", F.array_join(shown, ",").alias("entries"))
+
+
 @query("SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def chunks_to_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.documents(spark, sf_dir).select(

@@ -132,7 +132,28 @@ def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+SECTION_CHUNKS = f"""WITH RECURSIVE sections AS ({SECTIONS}),
+sized AS (SELECT *, len({sql_words('section')}) AS n, string_split_regex(section, '\\n\\n+') AS split FROM sections),
+spread AS (SELECT doc_id, section_no, unnest(split) AS p, generate_subscripts(split, 1) AS i FROM sized WHERE n > 40),
+paras AS MATERIALIZED (
+  SELECT doc_id, section_no, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY i) AS k,
+    {sql_strip('p')} AS p, len({sql_words('p')}) AS n FROM spread WHERE {sql_strip('p')} <> ''),
+fold AS (
+  SELECT doc_id, section_no, k, p, n, n AS size, 1 AS part FROM paras WHERE k = 1
+  UNION ALL
+  SELECT x.doc_id, x.section_no, x.k, x.p, x.n, CASE WHEN f.size + x.n > 40 THEN x.n ELSE f.size + x.n END,
+    CASE WHEN f.size + x.n > 40 THEN f.part + 1 ELSE f.part END
+  FROM fold f JOIN paras x ON x.doc_id = f.doc_id AND x.section_no = f.section_no AND x.k = f.k + 1),
+pieces AS (
+  SELECT doc_id, section_no, part, string_agg(p, chr(10) || chr(10) ORDER BY k) AS content
+  FROM fold GROUP BY doc_id, section_no, part HAVING sum(n) >= 20
+  UNION ALL
+  SELECT doc_id, section_no, 1, {sql_strip('section')} FROM sized WHERE n BETWEEN 20 AND 40)
+"""
+
+
+@query(SECTION_CHUNKS + """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, part) - 1
+  AS chunk_index, content FROM pieces""")
 def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.documents(spark, sf_dir).select(
         "doc_id",
