@@ -1,15 +1,16 @@
 """Exact cosine join of two vector tables over a two-level tree of cells.
 
 Unit vectors within angle ``theta`` of each other lie at nearly the same
-angle from any third vector. The right table is sampled for centres, one per
-``tile_rows / 4`` rows, so cells grow in number with the data and not in size;
-the first of them, about the square root of their number, are the upper level.
-A right row goes to the nearest upper centre and there to the nearest cell. A
-left row goes down only where the radius of an upper centre, then of a cell,
-comes within ``theta`` of it: clustered data skips most cells and no pair is
-missed. Cells are cut into tiles of bounded size on both sides; a tile is one
-matrix product that emits only pairs reaching the threshold, or the best few of
-them per left row.
+angle from any third vector. The right table is sampled for centres, sixteen a
+tile, so cells grow in number with the data and not in size; the first of them,
+about the square root of their number, are the upper level. A right row goes to
+the nearest upper centre and there to the nearest cell. A left row goes down
+only where the radius of an upper centre, then of a cell, comes within ``theta``
+of it: clustered data skips most cells and no pair is missed. Neighbouring small
+cells share a tile, so a row is sent once per tile and not once per cell; large
+cells are cut into several, and so are their visitors. A tile is multiplied
+slice by slice, so that its memory depends neither on the rows of the tables nor
+on the pairs found.
 """
 from __future__ import annotations
 
@@ -18,7 +19,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,9 @@ from gleaner.session import checkpointed
 
 SLACK = 1e-6  # angles come from rounded cosines
 TREE_BYTES = 64 << 20  # of centres that every task gets; beyond it cells hold more tiles each
+TILE_ROWS = 16_384  # of one side of a tile
+TILE_CELLS = 16  # cells per tile where rows are spread evenly
+SLICE = 1 << 21  # products, row-cell angles or vector components held at once
 TILE = ["cell", "home", "guest"]
 
 
@@ -89,20 +94,49 @@ def cell_tree(vectors: DataFrame, tile_rows: int) -> CellTree | None:
     facts = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
     if not facts["n"]:
         return None
-    cells = min(-(-4 * facts["n"] // tile_rows), TREE_BYTES // (8 * max(1, facts["d"])))
+    cells = min(-(-TILE_CELLS * facts["n"] // tile_rows), TREE_BYTES // (8 * max(1, facts["d"])))
     chosen = vectors.orderBy(F.xxhash64("rid"), "rid").limit(max(1, cells)).select("vec").toPandas()
     return CellTree.over(stacked(chosen["vec"]))
 
 
+def _floats(rows: DataFrame) -> DataFrame:
+    """Rows that have a vector, which is an array of floats."""
+    return rows.filter("vec IS NOT NULL").withColumn("vec", F.col("vec").cast("array<float>"))
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    out = flat.reshape(len(vectors), -1)
+    if out.size and (np.diff(vectors.offsets.to_numpy()) != out.shape[1]).any():
+        raise ValueError("vectors of one table must have one length")
+    return out
+
+
 def _in_cells(rows: DataFrame, tree) -> DataFrame:
-    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                cell, angle = tree.value.homes(stacked(pdf["vec"]))
-                yield pdf.assign(cell=cell, angle=angle)
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cell, angle = tree.value.homes(_matrix(batch.column("vec")))
+                columns = [*batch.columns, pa.array(cell, pa.int32()), pa.array(angle)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "cell", "angle"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInPandas(homes, f"{fields}, cell int, angle double")
+    return rows.mapInArrow(homes, f"{fields}, cell int, angle double")
+
+
+def _shared_tiles(tree: CellTree, rows: np.ndarray, tile_rows: int) -> np.ndarray:
+    """For each cell the first of the cells it shares a tile with: neighbours, up to ``tile_rows``."""
+    first = np.arange(len(rows), dtype=np.int32)
+    for cells in tree.under:
+        lead, held = -1, 0
+        for c in cells.tolist():
+            if not rows[c]:
+                continue
+            if lead < 0 or held + rows[c] > tile_rows:
+                lead, held = c, 0
+            first[c] = lead
+            held += rows[c]
+    return first
 
 
 def tiled(
@@ -110,45 +144,71 @@ def tiled(
 ) -> tuple[DataFrame, DataFrame] | None:
     """Both tables with the tiles ``(cell, home, guest)`` that their rows meet in."""
     spark = left.sparkSession
+    left, right = _floats(left.select("lid", "vec")), _floats(right.select("rid", "vec"))
     grown = cell_tree(right, tile_rows)
     if grown is None:
         return None
     tree = spark.sparkContext.broadcast(grown)
     theta = math.acos(min(1.0, max(-1.0, threshold)))
-    placed = checkpointed(_in_cells(right.select("rid", F.col("vec").cast("array<float>").alias("vec")), tree))
+    placed = checkpointed(_in_cells(right, tree))
     # one row a cell, as many as the tree has centres
     stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).toPandas()
     radius = np.full(len(grown.centres), -10.0)  # an empty cell is never near
     radius[stats["cell"]] = stats["r"]
-
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                row, cell = tree.value.visits(stacked(pdf["vec"]), radius, theta)
-                yield pdf.iloc[row].assign(cell=cell)
+    held = np.zeros(len(radius), np.int64)
+    held[stats["cell"]] = stats["n"]
+    lead = _shared_tiles(grown, held, tile_rows)
+    near = spark.sparkContext.broadcast((radius, lead))
+
+    def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Slices of the batches, their rows, and the leading cell of each tile a row visits."""
+        radius, lead = near.value
+        step = max(1, SLICE // len(lead))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                row, cell = tree.value.visits(_matrix(part.column("vec")), radius, theta)
+                both = np.unique(row * len(lead) + lead[cell])
+                yield part, both // len(lead), both % len(lead)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, cell in visited(batches):
+            cells, n = np.unique(cell, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(n)], names=["cell", "n"])
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, row, cell in visited(batches):
+            # a row may visit every tile: its vector is repeated a few at a time
+            step = max(1, SLICE // max(1, len(part.column("vec").flatten()) // part.num_rows))
+            for at in range(0, len(row), step):
+                rows = part.take(pa.array(row[at : at + step]))
+                cells = pa.array(cell[at : at + step], pa.int32())
+                yield pa.RecordBatch.from_arrays([*rows.columns, cells], names=["lid", "vec", "cell"])
 
     kind = left.schema["lid"].dataType.simpleString()
-    visiting = checkpointed(
-        left.select("lid", F.col("vec").cast("array<float>").alias("vec")).mapInPandas(
-            visits, f"lid {kind}, vec array<float>, cell int"
+    leads = spark.createDataFrame([(int(c), int(lead[c])) for c in stats["cell"]], "cell int, lead int")
+    guests = left.mapInArrow(counts, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("visitors"))
+    # a row a tile: as many at most as the tree has centres
+    tiles = F.broadcast(
+        checkpointed(
+            placed.groupBy("cell").count().join(F.broadcast(leads), "cell").groupBy(F.col("lead").alias("cell"))
+            .agg(F.sum("count").alias("rows"))
+            .join(guests, "cell")
+            .select(
+                "cell",
+                F.ceil(F.col("rows") / tile_rows).cast("int").alias("homes"),
+                F.ceil(F.col("visitors") / tile_rows).cast("int").alias("guests"),
+            )
         )
     )
-    guests = visiting.groupBy("cell").agg(F.count("*").alias("visitors"))
-    homes = placed.groupBy("cell").agg(F.count("*").alias("rows"))
-    tiles = checkpointed(
-        homes.join(guests, "cell").select(
-            "cell",
-            F.ceil(F.col("rows") / tile_rows).cast("int").alias("homes"),
-            F.ceil(F.col("visitors") / tile_rows).cast("int").alias("guests"),
-        )
-    )
-    tiles = F.broadcast(tiles)  # a row a cell
-    rows_r = placed.join(tiles, "cell").select(
+    rows_r = (
+        placed.join(F.broadcast(leads), "cell").select("rid", "vec", F.col("lead").alias("cell")).join(tiles, "cell")
+    ).select(
         "rid", "vec", "cell",
         F.pmod(F.xxhash64("rid"), F.col("homes")).cast("int").alias("home"),
         F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("guest"),
     )
-    rows_l = visiting.join(tiles, "cell").select(
+    rows_l = left.mapInArrow(visits, f"lid {kind}, vec array<float>, cell int").join(tiles, "cell").select(
         "lid", "vec", "cell",
         F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("home"),
         F.pmod(F.xxhash64("lid"), F.col("guests")).cast("int").alias("guest"),
@@ -156,12 +216,11 @@ def tiled(
     return rows_l, rows_r
 
 
-def _best_of_rows(score: np.ndarray, ids: np.ndarray, threshold: float, best: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the ``best`` scores of each row that reach the threshold; smaller ids win ties."""
-    order = np.argsort(ids, kind="stable")
+def _best_of_rows(score: np.ndarray, threshold: float, best: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``best`` scores of each row that reach the threshold; the first columns win ties."""
     i, j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for row in range(len(score)):
-        at = order[score[row, order] >= threshold]
+        at = np.flatnonzero(score[row] >= threshold)
         if len(at) > best:
             at = at[np.argsort(-score[row, at], kind="stable")[:best]]
         i.append(np.full(len(at), row))
@@ -169,49 +228,101 @@ def _best_of_rows(score: np.ndarray, ids: np.ndarray, threshold: float, best: in
     return np.concatenate(i), np.concatenate(j)
 
 
+def _hits(a: np.ndarray, b: np.ndarray, threshold: float, wanted) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, columns and scores that reach the threshold, a few at a time: found in
+    single precision less its error, confirmed in double precision."""
+    error = a.shape[1] * 2.0**-22 * np.linalg.norm(a, axis=1).max() * np.linalg.norm(b, axis=1).max()
+    rows = max(1, SLICE // len(b))
+    for at in range(0, len(a), rows):
+        part = a[at : at + rows]
+        i, j = np.nonzero(part @ b.T >= threshold - error)
+        if wanted is not None:
+            keep = wanted(i + at, j)
+            i, j = i[keep], j[keep]
+        full = part.astype(np.float64) @ b.astype(np.float64).T if 16 * len(i) > len(part) * len(b) else None
+        step = max(1, SLICE // a.shape[1])
+        for k in range(0, len(i), step):
+            x, y = i[k : k + step], j[k : k + step]
+            score = full[x, y] if full is not None else np.einsum(
+                "ij,ij->i", part[x].astype(np.float64), b[y].astype(np.float64)
+            )
+            keep = score >= threshold
+            yield x[keep] + at, y[keep], score[keep]
+
+
+def _best_hits(a: np.ndarray, b: np.ndarray, threshold: float, best: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    b = b.astype(np.float64).T
+    rows = max(1, SLICE // b.shape[1])
+    for at in range(0, len(a), rows):
+        score = a[at : at + rows].astype(np.float64) @ b
+        i, j = _best_of_rows(score, threshold, best)
+        yield i + at, j, score[i, j]
+
+
 def cosine_pairs(
     left: DataFrame,
     right: DataFrame,
     threshold: float,
-    tile_rows: int = 4_096,
+    tile_rows: int = TILE_ROWS,
     best: int | None = None,
+    ordered: bool = False,
 ) -> DataFrame:
     """Pairs ``(lid, rid, score)`` with cosine at or above the threshold.
 
-    ``left(lid, vec)`` and ``right(rid, vec)`` hold unit vectors. With ``best``
-    a tile gives that many of the highest scores per left row at most, so a
-    ranking of the result has to be cut once more.
+    ``left(lid, vec)`` and ``right(rid, vec)`` hold unit vectors; rows without
+    one meet nothing. With ``best`` a tile gives that many of the highest scores
+    per left row at most, so a ranking of the result has to be cut once more.
+    With ``ordered`` only pairs with ``lid < rid`` are made.
     """
-    result = (
-        f"lid {left.schema['lid'].dataType.simpleString()}, "
-        f"rid {right.schema['rid'].dataType.simpleString()}, score double"
-    )
+    lid, rid = (t.schema[c].dataType.simpleString() for t, c in ((left, "lid"), (right, "rid")))
+    result = f"lid {lid}, rid {rid}, score double"
     sides = tiled(left, right, threshold, tile_rows)
     if sides is None:
         return left.sparkSession.createDataFrame([], result)
 
-    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"lid": a["lid"][:0], "rid": b["rid"][:0], "score": []})
-        score = stacked(a["vec"]) @ stacked(b["vec"]).T
-        ids = b["rid"].to_numpy()
-        i, j = np.nonzero(score >= threshold) if best is None else _best_of_rows(score, ids, threshold, best)
-        return pd.DataFrame({"lid": a["lid"].to_numpy()[i], "rid": ids[j], "score": score[i, j]})
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
+        guest = rows["lid"].is_valid()
+        guests, homes = (rows.filter(x).combine_chunks() for x in (guest, pc.invert(guest)))
+        if not guests.num_rows or not homes.num_rows:
+            return
+        homes = homes.sort_by("rid")
+        ids = [t[c].combine_chunks() for t, c in ((guests, "lid"), (homes, "rid"))]
+        a, b = (_matrix(t["vec"].combine_chunks()) for t in (guests, homes))
+        if best is not None:
+            found = _best_hits(a, b, threshold, best)
+        elif ordered:
+            x, y = (i.to_numpy(zero_copy_only=False) for i in ids)
+            found = _hits(a, b, threshold, lambda i, j: x[i] < y[j])
+        else:
+            found = _hits(a, b, threshold, None)
+        for i, j, score in found:
+            yield pa.RecordBatch.from_arrays(
+                [ids[0].take(pa.array(i)), ids[1].take(pa.array(j)), pa.array(score)], names=["lid", "rid", "score"]
+            )
 
     rows_l, rows_r = sides
-    return rows_l.groupBy(*TILE).cogroup(rows_r.groupBy(*TILE)).applyInPandas(product, result)
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        rows_l.withColumn("rid", F.lit(None).cast(rid))
+        .unionByName(rows_r.withColumn("lid", F.lit(None).cast(lid)))
+        .select(*TILE, "lid", "rid", "vec")
+        .repartition(parts, *TILE)
+        .groupBy(*TILE)
+        .applyInArrow(product, result)
+    )
 
 
-def leading_vectors(nodes: DataFrame, threshold: float, crowd: int, tile_rows: int = 4_096) -> DataFrame:
+def leading_vectors(nodes: DataFrame, threshold: float, crowd: int, tile_rows: int = TILE_ROWS) -> DataFrame:
     """First node (by ``order``) of every close neighbourhood of ``crowd`` nodes or more.
 
     ``nodes(gid, order, vec)``. Nodes of a cell within half the angle of its
     centre are close to each other.
     """
-    named = nodes.select(F.col("gid").alias("rid"), "order", F.col("vec").cast("array<float>").alias("vec"))
+    named = _floats(nodes.select(F.col("gid").alias("rid"), "order", "vec"))
     grown = cell_tree(named, tile_rows)
     if grown is None:
-        return nodes.select("gid")
+        return nodes.select("gid").limit(0)
     half = math.acos(min(1.0, max(-1.0, threshold))) / 2
     return (
         _in_cells(named, nodes.sparkSession.sparkContext.broadcast(grown))
@@ -223,11 +334,13 @@ def leading_vectors(nodes: DataFrame, threshold: float, crowd: int, tile_rows: i
     )
 
 
-def cosine_self_pairs(vectors: DataFrame, threshold: float, tile_rows: int = 4_096) -> DataFrame:
+def cosine_self_pairs(vectors: DataFrame, threshold: float, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Pairs ``(earlier, later, score)`` of ``vectors(gid, vec)``, each once."""
     pairs = cosine_pairs(
-        vectors.withColumnRenamed("gid", "lid"), vectors.withColumnRenamed("gid", "rid"), threshold, tile_rows
-    )
-    return pairs.filter(F.col("lid") < F.col("rid")).select(
-        F.col("lid").alias("earlier"), F.col("rid").alias("later"), "score"
+        vectors.withColumnRenamed("gid", "lid"),
+        vectors.withColumnRenamed("gid", "rid"),
+        threshold,
+        tile_rows,
+        ordered=True,
     )
+    return pairs.select(F.col("lid").alias("earlier"), F.col("rid").alias("later"), "score")

@@ -175,3 +175,39 @@ def test_the_best_of_tiles_hold_the_best_of_all(spark):
         got = sorted((-r["score"], r["rid"]) for r in near if r["lid"] == q)[:3]
         want = sorted((-scores[q, i], i) for i in range(400) if scores[q, i] >= 0.3)[:3]
         assert [i for _, i in got] == [i for _, i in want]
+
+
+def test_visits_repeat_vectors_a_few_at_a_time(spark, monkeypatch):
+    """A batch whose rows visit every tile leaves in pieces, and a row goes to a tile once."""
+    from gleaner.operators import similar_vectors
+
+    rng = np.random.default_rng(8)
+    m = unit(rng, 900, 16)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "gid long, vec array<float>").coalesce(1)
+    monkeypatch.setattr(similar_vectors, "SLICE", 1_600)  # 100 vectors of 16
+    rows, homes = tiled(df.withColumnRenamed("gid", "lid"), df.withColumnRenamed("gid", "rid"), 0.3, 64)
+    by_row = rows.groupBy("lid", *TILE).count()
+    assert by_row.filter("count > 1").count() == 0
+    # unclustered rows are sent once per tile of up to 64 rows, not once per cell of 4
+    assert rows.count() < 900 * 2.5 * 900 / 64
+    scores = m.astype(np.float64) @ m.astype(np.float64).T
+    assert cosine_self_pairs(df, 0.3, 64).count() == int((np.triu(scores, 1) >= 0.3).sum())
+
+
+def test_hits_are_made_in_slices_of_bounded_size(monkeypatch):
+    from gleaner.operators import similar_vectors
+
+    monkeypatch.setattr(similar_vectors, "SLICE", 4_096)
+    m = unit(np.random.default_rng(9), 500, 16)
+    for threshold in (-1.0, 0.5):
+        found = list(similar_vectors._hits(m, m, threshold, None))
+        assert max(len(i) for i, _, _ in found) <= 4_096
+        got = {(x, y) for i, j, _ in found for x, y in zip(i.tolist(), j.tolist())}
+        scores = m.astype(np.float64) @ m.astype(np.float64).T
+        assert len(got) == sum(len(i) for i, _, _ in found)
+        assert got == {(x, y) for x, y in zip(*(v.tolist() for v in np.nonzero(scores >= threshold)))}
+
+
+def test_rows_without_a_vector_meet_nothing(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, 0.0])], "gid long, vec array<float>")
+    assert [(r["earlier"], r["later"]) for r in cosine_self_pairs(df, 0.9).collect()] == [(1, 3)]
