@@ -1,6 +1,7 @@
 import json
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,3 +226,10 @@ def test_validation_stream_knows_earlier_batches(spark, tmp_path):
     assert got == {0: None, 1: "duplicate", 2: None}
     counts = progress.running_counts(spark.read.parquet(out))
     assert {r["outcome"]: r["count"] for r in counts.collect()} == {"accepted": 2, "duplicate": 1}
+
+
+def test_articles_are_parsed_a_few_at_a_time():
+    xml = "<PubmedArticle><PMID>1</PMID></PubmedArticle>"
+    for record in (articles._article_record, articles._full_text_record):
+        parts = list(record.func(iter([pa.array([xml] * 200), pa.array([], pa.string())])))
+        assert sum(map(len, parts)) == 200 and max(map(len, parts)) <= articles.PARSED
