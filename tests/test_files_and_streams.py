@@ -233,3 +233,23 @@ def test_articles_are_parsed_a_few_at_a_time():
     for record in (articles._article_record, articles._full_text_record):
         parts = list(record.func(iter([pa.array([xml] * 200), pa.array([], pa.string())])))
         assert sum(map(len, parts)) == 200 and max(map(len, parts)) <= articles.PARSED
+
+
+def test_articles_without_an_id_are_dealt_to_all_tasks(spark):
+    rows = spark.range(1000).select(
+        F.col("id").cast("string").alias("pmid"), F.when(F.col("id") < 10, F.concat(F.lit("P"), "id")).alias("pmcid")
+    )
+    full = rows.filter("pmcid IS NOT NULL").select("pmcid", F.concat(F.lit("t"), "pmcid").alias("full_text"), F.array(
+        F.struct(F.lit("n").alias("name"), F.lit("t").alias("text"))).alias("sections"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = articles.attach_full_text(rows, full, full.limit(0)).withColumn("task", F.spark_partition_id())
+        sizes = [r["count"] for r in out.groupBy("task").count().collect()]
+        found = {r["pmid"] for r in out.filter("full_text = concat('t', pmcid)").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 1000 and max(sizes) < 500 and found == {str(i) for i in range(10)}
