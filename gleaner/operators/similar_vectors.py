@@ -32,6 +32,7 @@ TREE_BYTES = 64 << 20  # of centres that every task gets; beyond it cells hold m
 TILE_ROWS = 16_384  # of one side of a tile
 TILE_CELLS = 16  # cells per tile where rows are spread evenly
 SLICE = 1 << 21  # products, row-cell angles or vector components held at once
+HOMES = 1_024  # rows placed in the tree at once
 TILE = ["cell", "home", "guest"]
 
 
@@ -115,10 +116,11 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
 def _in_cells(rows: DataFrame, tree) -> DataFrame:
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                cell, angle = tree.value.homes(_matrix(batch.column("vec")))
-                columns = [*batch.columns, pa.array(cell, pa.int32()), pa.array(angle)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "cell", "angle"])
+            for at in range(0, batch.num_rows, HOMES):
+                part = batch.slice(at, HOMES)
+                cell, angle = tree.value.homes(_matrix(part.column("vec")))
+                columns = [*part.columns, pa.array(cell, pa.int32()), pa.array(angle)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "cell", "angle"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(homes, f"{fields}, cell int, angle double")

@@ -2,18 +2,22 @@
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 
+from gleaner.functions.vectors import summed_words
+
+
+@lru_cache(1 << 17)
+def _md5_place(word: str, dim: int) -> int:
+    h = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16)
+    return h % dim * 2 + ((h >> 16) & 1)
+
 
 def md5_encoder(texts: list[str], dim: int = 384) -> np.ndarray:
     """A stand-in encoder that SQL can follow: words signed and placed by their MD5."""
-    out = np.zeros((len(texts), dim), dtype=np.float32)
-    for row, text in enumerate(texts):
-        for word in text.split():
-            h = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16)
-            out[row, h % dim] += 1.0 if (h >> 16) & 1 else -1.0
-    return out
+    return summed_words([t.split() for t in texts], lambda w: _md5_place(w, dim), dim)
 
 
 def md5_entries(texts: str, words: str) -> str:

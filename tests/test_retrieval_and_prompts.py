@@ -3,9 +3,11 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions import vectors
 from gleaner.operators import generation, prompts, ranking, retrieval
 from gleaner.operators.ranking import with_global_rank, with_group_rank
 from gleaner.plans.curate import RunSettings, generate_dataset
@@ -192,3 +194,28 @@ def test_whole_run(spark, evidence):
     assert all(p["source_document"] == "file.pdf" for p in pairs)
     stats = run.stats.first()
     assert stats["accepted"] == len(pairs) and stats["prompts_sent"] >= stats["parse_successes"]
+
+
+def test_word_sums_equal_a_loop_over_words():
+    texts = ["a b a c", "", "b", "x y z a"]
+    place = {w: i for i, w in enumerate("abcxyz")}.__getitem__
+    got = vectors.summed_words([t.split() for t in texts], place, 4)
+    want = np.zeros((4, 4), np.float32)
+    for row, text in enumerate(texts):
+        for word in text.split():
+            want[row, place(word) >> 1] += 1 if place(word) & 1 else -1
+    assert got.dtype == np.float32 and (got == want).all()
+
+
+def test_vectors_of_a_batch_are_made_a_few_at_a_time():
+    from pyspark.sql.types import ArrayType, FloatType
+
+    seen = []
+
+    def encoder(texts):
+        seen.append(len(texts))
+        return vectors.hashing_encoder(texts, 8)
+
+    parts = list(vectors.encoded_parts(iter([pa.array(["a b", None] * 100)]), encoder, 64))
+    assert sum(map(len, parts)) == 200 and max(map(len, parts)) <= 64 and max(seen) <= 64
+    assert parts[0].to_pylist()[1] == [0.0] * 8
