@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import let
 from gleaner.operators import prompts, retrieval
 from gleaner.plans import inputs
 from gleaner.plans.encoding import md5_encoder, md5_entries
@@ -123,13 +124,15 @@ def embedded_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.documents(spark, sf_dir).select("doc_id", F.col("text").alias("content"))
     placed = F.transform("vec", lambda x, i: F.struct(i.alias("place"), x.cast("double").alias("x")))
     top = F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double"))))
-    shown = F.transform(
-        F.filter(placed, lambda e: e["x"] != 0),
-        lambda e: F.concat_ws(
-            ":", e["place"], (F.sign(e["x"]) * F.floor(F.abs(e["x"]) / F.col("top") * 1000 + 0.3)).cast("long")
+    # bound once: a column of its own would be put into the lambda and found again for every entry
+    shown = let(
+        top,
+        lambda t: F.transform(
+            F.filter(placed, lambda e: e["x"] != 0),
+            lambda e: F.concat_ws(":", e["place"], (F.sign(e["x"]) * F.floor(F.abs(e["x"]) / t * 1000 + 0.3)).cast("long")),
         ),
     )
-    vectors = retrieval.embed_chunks(rows, md5_encoder).withColumn("top", top)
+    vectors = retrieval.embed_chunks(rows, md5_encoder)
     return vectors.select("doc_id", F.array_join(shown, ",").alias("entries"))
 
 

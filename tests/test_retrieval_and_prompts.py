@@ -219,3 +219,10 @@ def test_vectors_of_a_batch_are_made_a_few_at_a_time():
     parts = list(vectors.encoded_parts(iter([pa.array(["a b", None] * 100)]), encoder, 64))
     assert sum(map(len, parts)) == 200 and max(map(len, parts)) <= 64 and max(seen) <= 64
     assert parts[0].to_pylist()[1] == [0.0] * 8
+
+
+def test_largest_entry_is_found_once_a_document(spark):
+    from gleaner.plans.retrieval_queries import embedded_contents
+
+    plan = embedded_contents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("array_max(") < plan.index("concat_ws(")  # outside of what runs for every entry
