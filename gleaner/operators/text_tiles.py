@@ -51,9 +51,14 @@ class Block:
     def before(self) -> np.ndarray:
         """Counts before every ``step``-th place, ``(rows, cuts, BINS)``."""
         n = len(self.size)
-        place = (self.row * self.cuts + self.at // self.step + 1) * BINS + self.bin
-        parts = np.bincount(place, minlength=n * self.cuts * BINS).reshape(n, self.cuts, BINS)
-        return np.cumsum(parts, 1).astype(self.kind)
+        out = np.empty((n, self.cuts, BINS), self.kind)
+        for low in range(0, n, AT_ONCE):
+            high = min(low + AT_ONCE, n)
+            held = slice(int(self.start[low]), int(self.start[high - 1] + self.size[high - 1]))
+            place = ((self.row[held] - low) * self.cuts + self.at[held] // self.step + 1) * BINS + self.bin[held]
+            parts = np.bincount(place, minlength=(high - low) * self.cuts * BINS)
+            np.cumsum(parts.reshape(high - low, self.cuts, BINS), 1, out=out[low:high], dtype=self.kind)
+        return out
 
     def heads(self, lengths: np.ndarray) -> np.ndarray:
         """Counts of the first so many characters of each text."""
