@@ -11,7 +11,7 @@ from gleaner.operators import changes, listing, reports, splits
 from gleaner.operators.validation import evaluate_pairs
 from gleaner.plans import inputs
 from gleaner.plans.registry import PAIRS, query
-from gleaner.session import checkpoint_folder
+from gleaner.session import checkpoint_folder, checkpointed
 from gleaner.sinks import exports, tables
 from gleaner.streaming import progress
 
@@ -368,7 +368,7 @@ def written_split_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rewritten_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs and checks written in two batches, each of them twice, and read back."""
     folder = fresh_folder(spark)
-    rows = evaluate_pairs(inputs.pairs(spark, sf_dir))
+    rows = checkpointed(evaluate_pairs(inputs.pairs(spark, sf_dir)))  # eight tables are written from it
     odd = F.pmod(F.xxhash64("id"), F.lit(2)) == 1
     for batch, part in [("a", rows.filter(~odd)), ("b", rows.filter(odd))] * 2:
         tables.write_pairs(folder, batch, part)
