@@ -155,3 +155,22 @@ def test_shards_read_back(awkward, empty_docs):
         want.append((str(r.doc_id), len(ids), zlib.crc32(ids.tobytes())))
     assert sorted(seen) == sorted(want)
     assert ti.tokenized(empty_docs, PATH).count() == 0
+
+
+def test_every_training_text_calibrates(spark):
+    from gleaner.llm import language_id
+
+    rng = np.random.default_rng(8)
+    rows = [(lang, " ".join(rng.choice(words.split(), 6))) for lang, words in (
+        ("a", "lorem ipsum dolor sit amet"), ("b", "wir gehen heute noch einmal")) for _ in range(300)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    models = language_id.train_models(df)
+    for i, lang in enumerate(models.langs):
+        own = [t for x, t in rows if x == lang]
+        entropy, _ = models.entropies(pa.array(own))
+        exact = np.quantile(entropy[:, i], 0.999, method="higher")
+        assert 0 <= models.limits[i] / 1.1 - exact <= 0.0011
+    shared = type("Shared", (), {"value": models})
+    batch = pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows]), pa.array([t for _, t in rows])], names=["lang", "text"])
+    (seen,) = language_id._calibration([batch], shared)
+    assert sum(r["n"] for r in seen.to_pylist() if r["lang"] >= 0) == len(rows)
