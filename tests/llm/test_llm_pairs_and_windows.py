@@ -240,6 +240,18 @@ def test_repeats_behind_a_first_window_that_fails(spark):
     assert at.tolist() == [*range(3, 76)] and at[left].tolist() == [*range(3, 10), *range(41, 76)]
 
 
+def test_only_keys_of_three_documents_are_compared_again():
+    """The runs of two documents that were linked with each other are not keyed once more."""
+    key = np.array([7, 7, 9, 9, 9, 9], np.uint64)
+    doc = np.array([2, 1, 3, 1, 2, 3])
+    l, c, r = (np.array(x, np.int32) for x in ([0, 0, 10, 0, 0, 400], [50, 60, 100, 20, 60, 450], [90, 99, 300, 99, 90, 500]))
+    links, more = ps.starred(key, doc, l, c, r, np.ones(6, np.uint8), 46)
+    assert sorted(zip(links[0].tolist(), links[4].tolist())) == [(2, 1), (2, 1), (3, 1), (3, 1)]
+    assert sorted(zip(*(x.tolist() for x in more))) == [(1, 0, 65), (2, 15, 90), (3, 55, 145), (3, 405, 495)]
+    x, y = np.array([5, 6, 5], np.uint32), np.array([6, 5], np.uint32)  # the same shingle in another row does not count
+    assert ps.shared(x, np.array([0, 0, 1]), y, np.array([0, 1])).tolist() == [False, True, True]
+
+
 def bag(t):
     w = SPACED.findall(low(t))
     return Counter(zip(w, w[1:])) if len(w) > 1 else Counter(w)
