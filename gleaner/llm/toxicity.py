@@ -35,6 +35,7 @@ POSITIVES = 10_000
 UNLABELLED = 20_000
 KEPT = 2_000  # fits 16 bits: the lists are collected
 RIDGE = 5e-5  # favours features that many toxic texts share
+SLICE = 1 << 20  # bytes of text scored at once
 LEAST_POSITIVES = 3  # positives that must hold a feature
 LEAST_GAIN = 10.0  # log-likelihood ratio of a kept feature
 PREFIXES = (4, 5)  # bytes of a word's beginning
@@ -220,7 +221,7 @@ def _gain(a: np.ndarray, n_a: float, b: np.ndarray, n_b: float) -> np.ndarray:
 
 def _scored(batches, model):
     m, find = model.value
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         score = pa.array(_scores(batch.column("text"), m, find))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("text_key"), score], names=["doc_id", "text_key", "score"]
@@ -246,7 +247,7 @@ def _scores(texts: pa.Array, model: ToxicityModel, find: Lookup) -> np.ndarray:
 
 def _kept_rows(batches, model, threshold, text):
     m, find = model.value
-    for batch in slices(batches, text):
+    for batch in slices(batches, text, SLICE):
         yield batch.filter(pa.array(_scores(batch.column(text), m, find) < threshold))
 
 

@@ -74,6 +74,18 @@ def test_components_by_lists_and_by_tiles(spark, families, short_list, tile):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(families)
 
 
+def test_tiles_are_bounded_by_shingles(spark, families, monkeypatch):
+    """Long texts are cut into smaller blocks: a tile's memory does not follow the length of its texts."""
+    hot = spark.createDataFrame([(i, 1) for i in range(2, 61)], "a long, b long")
+    sizes = spark.createDataFrame([(i, 100_000) for i in range(1, 61)], "id long, n long")
+    tiles = jj.family_tiles(hot, sizes, 75, 500).groupBy("component", "i", "j").count().collect()
+    assert len(tiles) == 78 and max(x["count"] for x in tiles) <= 25  # 12 blocks of about 5 texts
+    monkeypatch.setattr(jj, "TILE_SHINGLES", 300)
+    df = spark.createDataFrame(families, "doc_id long, text string")
+    got = {x[0]: (x[1], x[2]) for x in jj.similar_documents(df, short_list=2).collect()}
+    assert got == plain_components(families)
+
+
 def test_t_occurrence_equals_counting():
     r = np.random.default_rng(5)
     sets = [np.unique(r.integers(0, 60, r.integers(1, 40))).astype(np.uint64) for _ in range(80)]
