@@ -28,6 +28,7 @@ import os
 import uuid
 import zlib
 from array import array
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -42,7 +43,8 @@ from gleaner.session import ship_package
 MAGIC = b"GLTOKID1"
 SAMPLE = 256
 SHARD_IDS = 8_000_000
-CACHE_PIECES = 500_000  # about 100 MB, which a worker keeps between tasks
+CACHE_PIECES = 500_000  # about 20 MB, which a worker keeps between tasks
+SLICE = 1 << 20  # bytes of text encoded at once
 
 
 # ---------------------------------------------------------------- Elias-Fano
@@ -95,11 +97,19 @@ class EliasFano:
         return (high << self.width) + low
 
 
-def pack_shard(ends: np.ndarray, ids: np.ndarray) -> bytes:
+def shard_parts(ends: np.ndarray, ids: list[np.ndarray]) -> Iterator[bytes]:
+    """The bytes of a shard part by part; ``ids`` are never held a second time."""
     width, low, high, samples = ef_encode(ends)
-    each = 2 if ids.max(initial=0) < 65536 else 4
-    head = np.array([len(ends), len(ids), width, len(low), len(high), SAMPLE, each], "<u8")
-    return b"".join([MAGIC, head.tobytes(), low, high, samples.astype("<u8").tobytes(), ids.astype(f"<u{each}").tobytes()])
+    each = 2 if all(part.max(initial=0) < 65536 for part in ids) else 4
+    yield MAGIC
+    yield np.array([len(ends), sum(map(len, ids)), width, len(low), len(high), SAMPLE, each], "<u8").tobytes()
+    yield from (low, high, samples.astype("<u8").tobytes())
+    for part in ids:
+        yield part.astype(f"<u{each}").tobytes()
+
+
+def pack_shard(ends: np.ndarray, ids: np.ndarray) -> bytes:
+    return b"".join(shard_parts(ends, [ids]))
 
 
 def unpack_shard(data) -> tuple[EliasFano, np.ndarray]:
@@ -163,16 +173,18 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}  # hash of a piece -> its number
+        # sorted hashes of pieces, and their numbers
+        self.known, self.number = np.empty(0, U64), np.empty(0, np.int64)
         self.ids, self.at = array("I"), array("q", [0])  # ids of piece i: ids[at[i]:at[i + 1]]
 
-    def _learn(self, new: list[str], keys: list[int]) -> None:
+    def _learn(self, new: list[str], keys: np.ndarray, place: np.ndarray) -> None:
         for a in range(0, len(new), 4096):
             for e in self.tokenizer.encode_batch_fast(new[a : a + 4096], add_special_tokens=False):
                 self.ids.extend(e.ids)
                 self.at.append(len(self.ids))
         first = len(self.known)
-        self.known.update(zip(keys, range(first, first + len(keys))))
+        self.number = np.insert(self.number, place, np.arange(first, first + len(keys)))
+        self.known = np.insert(self.known, place, keys)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the texts, and where each text's ids end."""
@@ -192,17 +204,19 @@ class Encoder:
         distinct = key[first]
         if len(self.known) + len(distinct) > self.limit:
             self._forget()
-        keys = distinct.tolist()
-        fresh = [i for i, k in enumerate(keys) if k not in self.known]
-        if fresh:
+        place = np.searchsorted(self.known, distinct)
+        old = place < len(self.known)
+        fresh = ~old
+        fresh[old] = self.known[place[old]] != distinct[old]
+        if fresh.any():
             raw = flat.tobytes()
             spans = zip(start[first[fresh]].tolist(), length[first[fresh]].tolist())
-            self._learn([raw[a : a + n].decode() for a, n in spans], [keys[i] for i in fresh])
-        number = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
-        at = np.array(self.at, np.int64)
+            self._learn([raw[a : a + n].decode() for a, n in spans], distinct[fresh], place[fresh])
+        number = self.number[np.searchsorted(self.known, distinct)]
+        at = np.frombuffer(self.at, np.int64)
         begin, count = at[number][which], (at[number + 1] - at[number])[which]
         total = np.cumsum(count)
-        ids = np.array(self.ids, np.uint32)[np.arange(total[-1]) + np.repeat(begin - total + count, count)]
+        ids = np.frombuffer(self.ids, np.uint32)[np.arange(total[-1]) + np.repeat(begin - total + count, count)]
         last = np.searchsorted(start, rows[1:])  # pieces up to the end of each text
         return ids, np.concatenate([[0], total])[last]
 
@@ -241,9 +255,9 @@ def _write(batches, folder: str, tokenizer: str, end_id: int, shard_ids: int):
 
     def flush():
         name = f"shard-{part:06d}-{len(written):05d}-{uuid.uuid4().hex}.bin"
-        blob = pack_shard(np.concatenate(ends), np.concatenate(ids))
         with fs.open_output_stream(f"{root}/{name}") as out:
-            out.write(blob)
+            for some in shard_parts(np.concatenate(ends), ids):
+                out.write(some)
         # the doc ids of a shard are a file of their own, in the same order
         with fs.open_output_stream(f"{root}/{name}.docs") as out:
             with pa.ipc.new_stream(out, pa.schema([("doc_id", pa.int64())])) as w:
@@ -255,12 +269,13 @@ def _write(batches, folder: str, tokenizer: str, end_id: int, shard_ids: int):
         )
 
     written: list[str] = []
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         own, stop = encode(batch.column("text"))
         ids.append(np.insert(own, stop, end_id))  # the end id after each text
         ends.append(total + stop + np.arange(1, batch.num_rows + 1))
         total += len(own) + batch.num_rows
-        docs.append(batch.column("doc_id"))
+        # a copy: the column itself would hold the texts of its whole batch
+        docs.append(batch.column("doc_id").take(pa.array(np.arange(batch.num_rows))))
         if total >= shard_ids:
             yield flush()
             ids, ends, docs, total = [], [], [], 0

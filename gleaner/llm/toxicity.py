@@ -35,7 +35,7 @@ POSITIVES = 10_000
 UNLABELLED = 20_000
 KEPT = 2_000  # fits 16 bits: the lists are collected
 RIDGE = 5e-5  # favours features that many toxic texts share
-SLICE = 1 << 20  # bytes of text scored at once
+SLICE = 1 << 20  # bytes of text read at once
 LEAST_POSITIVES = 3  # positives that must hold a feature
 LEAST_GAIN = 10.0  # log-likelihood ratio of a kept feature
 PREFIXES = (4, 5)  # bytes of a word's beginning
@@ -87,7 +87,7 @@ class Lookup:
 
 def _feature_counts(batches):
     """Positive and drawn texts of each batch that hold a feature."""
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         found, rows = word_features(batch.column("text"))
         order = np.lexsort((rows, found))
         found, rows = found[order], rows[order]
@@ -110,7 +110,7 @@ def _gains(batches, n_pos, n_all):
 
 def _listed(batches, lookup):
     find = lookup.value
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         rows, place = find(*word_features(batch.column("text")))
         ends = np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int16)))

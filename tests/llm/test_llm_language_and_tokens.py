@@ -136,6 +136,20 @@ def test_pieces_never_cut_a_token():
         start = e
 
 
+def test_kept_pieces_take_little_memory():
+    import tracemalloc
+
+    mine = ti.Encoder(PATH)
+    texts = pa.array([" ".join(f"w{i:05}x" for i in range(a, a + 500)) for a in range(0, 40_000, 500)])
+    tracemalloc.start()
+    for a in range(0, len(texts), 4):
+        mine.encode(texts.slice(a, 4))
+    kept = tracemalloc.get_traced_memory()[0] - 4 * len(mine.ids)
+    tracemalloc.stop()
+    assert len(mine.known) >= 40_000 and kept < 64 * len(mine.known)
+    assert (np.diff(mine.known) > 0).all()
+
+
 def test_shards_read_back(awkward, empty_docs):
     plain = Tokenizer.from_file(PATH)
     rows = awkward.select("doc_id", "text").collect()

@@ -161,3 +161,21 @@ def test_rare_toxic_words_among_many_ordinary_ones(spark):
     model = toxicity.fit_toxicity(docs, labels)
     found, _ = toxicity.word_features(pa.array(marks))
     assert set(found.tolist()) <= set(model.features.tolist())
+
+
+def test_features_are_counted_a_slice_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    texts = [f"own{i} shared word " * 20_000 for i in range(6)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(texts), pa.array([True, False] * 3), pa.array([True] * 6)], names=["text", "positive", "drawn"]
+    )
+    read, plain = [], toxicity.word_features
+    monkeypatch.setattr(toxicity, "word_features", lambda t: (read.append(t.nbytes), plain(t))[1])
+    sums = {}
+    for part in toxicity._feature_counts([batch]):
+        for x in part.to_pylist():
+            old = sums.get(x["feature"], (0, 0))
+            sums[x["feature"]] = (old[0] + x["p"], old[1] + x["d"])
+    assert max(read) < 2 * toxicity.SLICE and len(read) > 1
+    assert (3, 6) in sums.values() and (1, 1) in sums.values()
