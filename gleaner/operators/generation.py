@@ -65,11 +65,13 @@ def infer(
     concurrency: int = CONCURRENCY,
     out: str = "response",
     ledger: str | None = None,
+    after: Callable[[DataFrame], DataFrame] = lambda answered: answered,
 ) -> DataFrame:
     """Add the response to each prompt and ``{out}_error`` for failed calls.
 
     Responses are costly and may differ between calls, so they are written to
-    the checkpoint folder before anything reads them. With ``ledger``, a folder
+    the checkpoint folder before anything reads them; of what ``after`` makes of
+    them, its result is written in their place. With ``ledger``, a folder
     of the shared store, they are kept there by prompt: only prompts without an
     answer are asked, about ``CALLS_A_TASK`` to a task, and a task's answers stay
     once it has ended, whatever becomes of the run. Failed calls are asked again
@@ -78,7 +80,7 @@ def infer(
     if ledger is None:
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartition(parts, prompt)  # a call is costly, whatever files the rows came from
-        return checkpointed(_asked(df, prompt, generate, temperature, concurrency, out, f"{out}_error"))
+        return checkpointed(after(_asked(df, prompt, generate, temperature, concurrency, out, f"{out}_error")))
     keyed = df.withColumn("_call", call_key(F.col(prompt), temperature))
     answered = ledger_rows(df.sparkSession, ledger).filter("error IS NULL").select(F.col("call").alias("_call"))
     missing = checkpointed(
@@ -93,7 +95,7 @@ def infer(
         .parquet(ledger)
     )
     told = ledger_rows(df.sparkSession, ledger).toDF("_call", out, f"{out}_error")
-    return checkpointed(keyed.join(told, "_call", "left").drop("_call"))
+    return checkpointed(after(keyed.join(told, "_call", "left").drop("_call")))
 
 
 def generate_pairs(

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import parsing
+from gleaner.functions.text import let
 from gleaner.operators.generation import CONCURRENCY, Generate, infer
 
 REVIEW_TEMPERATURE = 0.3
@@ -110,27 +111,30 @@ def _judged(
     first object, else the fallback. A failed first call gives the fallback
     and its error.
     """
-    asked = infer(
+    def read(doc: Column) -> Column:
+        valid = doc.isNotNull() & (F.size(violations(doc)) == 0)
+        return F.struct(valid.alias("valid"), F.when(doc.isNotNull(), coerce(doc)).alias("result"))
+
+    def told(answered: DataFrame) -> DataFrame:
+        """Each reply parsed once, before it is written; a prompt that is not asked again is dropped."""
+        rows = parse_json_rows(answered, "response").withColumn("read", let(F.col("doc"), read))
+        return rows.select(
+            "id",
+            F.when(~F.col("read.valid") & F.col("response_error").isNull(), F.col("prompt")).alias("again"),
+            "read.result",
+            F.col("response_error").alias("error"),
+        )
+
+    first = infer(
         pairs.select("id", prompt(F.col("question"), F.col("answer")).alias("prompt")),
-        "prompt", generate, REVIEW_TEMPERATURE, concurrency, ledger=ledger,
+        "prompt", generate, REVIEW_TEMPERATURE, concurrency, ledger=ledger, after=told,
     )
-    first = parse_json_rows(asked, "response").withColumn(
-        "valid", F.col("doc").isNotNull() & (F.size(violations(F.col("doc"))) == 0)
-    )
-    again = infer(
-        first.filter(~F.col("valid") & F.col("response_error").isNull()).select(
-            "id", F.concat("prompt", F.lit(RETRY_NOTE)).alias("prompt")
-        ),
-        "prompt", generate, REVIEW_TEMPERATURE, concurrency, ledger=ledger,
-    )
-    second = parse_json_rows(again, "response").select("id", F.col("doc").alias("second"))
+    second = infer(
+        first.filter(F.col("again").isNotNull()).select("id", F.concat("again", F.lit(RETRY_NOTE)).alias("prompt")),
+        "prompt", generate, REVIEW_TEMPERATURE, concurrency, ledger=ledger, after=told,
+    ).select("id", F.col("result").alias("second"))
     return first.join(second, "id", "left").select(
-        "id",
-        F.when(F.col("second").isNotNull(), coerce(F.col("second")))
-        .when(F.col("doc").isNotNull(), coerce(F.col("doc")))
-        .otherwise(fallback)
-        .alias("result"),
-        F.col("response_error").alias("error"),
+        "id", F.coalesce("second", "result", fallback).alias("result"), "error"
     )
 
 

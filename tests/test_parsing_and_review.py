@@ -93,6 +93,18 @@ def test_review_retries_then_coerces_then_falls_back(spark, pairs):
     assert [got[i]["error"] for i in (4, 5)] == [None, "limit"]
 
 
+def test_replies_are_parsed_before_they_are_written(spark, pairs, capsys):
+    def judge(prompt, temperature):
+        return "Here: " + json.dumps({"factual_accuracy": 4, "suggested_answer": "A better one."})
+
+    facts = review.fact_check_pairs(pairs, judge)
+    assert {tuple(r["fact_check"])[::2] for r in facts.collect()} == {(4.0, "A better one.")}
+    capsys.readouterr()
+    facts.explain()
+    plan = capsys.readouterr().out.lower()
+    assert "scan" in plan and "parse" not in plan and "balanced_object" not in plan
+
+
 def test_workflow_decides_and_tries_suggestions(spark, pairs):
     scores = {0: 9, 1: 6, 2: 6, 3: 2, 4: 6.95, 5: 9}
 
