@@ -86,6 +86,19 @@ def test_tiles_are_bounded_by_shingles(spark, families, monkeypatch):
     assert got == plain_components(families)
 
 
+def test_common_phrases_make_no_family(spark, monkeypatch):
+    """Phrases of many texts that few sampled texts hold: taken for rare, they joined all texts to one family."""
+    r, hot = random.Random(3), []
+    phrases = [" ".join(f"p{i}x{j}" for j in range(5)) for i in range(20)]
+    rows = [(i, " ".join([*(f"u{i}y{j}" for j in range(30)), *r.sample(phrases, 4)])) for i in range(600)]
+    links = jj.family_links
+    monkeypatch.setattr(jj, "family_links", lambda texts, found, *rest: hot.append(found.count()) or links(texts, found, *rest))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jj.similar_documents(df, sample_docs=4).collect()
+    assert all(x.component_id == x.doc_id for x in got) and len(got) == 600
+    assert hot == [0]
+
+
 def test_t_occurrence_equals_counting():
     r = np.random.default_rng(5)
     sets = [np.unique(r.integers(0, 60, r.integers(1, 40))).astype(np.uint64) for _ in range(80)]
