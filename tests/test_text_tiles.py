@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from gleaner.operators import similar_text
+from gleaner.operators import similar_text, text_tiles
 from gleaner.operators.text_tiles import Block, likely_pairs
 
 
@@ -43,3 +43,15 @@ def test_texts_over_one_phrase_stock_do_not_leave_the_tiles(spark):
     held, spans = similar_text._blocks(df, 50)
     assert held.count() == 400 and max(r["count"] for r in held.groupBy("block").count().collect()) <= 100
     assert similar_text.candidate_pairs(df, 0.92, 50).count() == 0
+
+
+def test_texts_of_like_letters_do_not_reach_the_slow_tests(monkeypatch):
+    """What three characters stand in a row tells them apart; before, most of these pairs went to the tests of halves and subsequences."""
+    rng, late = random.Random(7), []
+    texts = ["".join(rng.sample("abcdefghijklmnop" * 20, 320)) for _ in range(120)]
+    texts += [t[:150] + "z" + t[150:] for t in texts[:5]]
+    halves = text_tiles._halves
+    monkeypatch.setattr(text_tiles, "_halves", lambda a, b, i, *rest: late.append(len(i)) or halves(a, b, i, *rest))
+    one, two = likely_pairs(block(texts), block(texts), 0.92, True)
+    assert sorted((min(p), max(p)) for p in zip(one.tolist(), two.tolist())) == [(i, 120 + i) for i in range(5)]
+    assert sum(late) < 100
