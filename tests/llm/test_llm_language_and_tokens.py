@@ -188,3 +188,19 @@ def test_every_training_text_calibrates(spark):
     batch = pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows]), pa.array([t for _, t in rows])], names=["lang", "text"])
     (seen,) = language_id._calibration([batch], shared)
     assert sum(r["n"] for r in seen.to_pylist() if r["lang"] >= 0) == len(rows)
+
+
+def test_rare_long_grams_stay_in_a_small_model(spark, awkward, monkeypatch):
+    """Beyond ``cells`` the rarest longest n-grams went, and texts backed off to shorter ones."""
+    r = random.Random(8)
+    rows = [(lang, "".join(r.choice("abcde ") for _ in range(400))) for lang in ("x", "y") for _ in range(6)]
+    train = spark.createDataFrame(rows, "lang string, text string")
+    texts = [(i, t[:200] if i % 3 else t[100:] + " b") for i, (_, t) in enumerate(rows)] + [(50, None), (51, ""), (50, rows[0][1])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    whole, small = li.train_models(train), li.train_models(train, cells=4_000)
+    assert not whole.rest and len(small.rest) > 1
+    grams = [whole.grams[-1].keys[:-1], *(p.grams[-1].keys[:-1] for p in (small, *(b.value for b in small.rest)))]
+    assert sorted(np.concatenate(grams[1:]).tolist()) == grams[0].tolist() and all(len(g) <= 1_000 for g in grams[1:])
+    rows_of = lambda m: sorted((x.doc_id, x.best, round(x.entropy, 6), round(x.score, 6), x.rejected) for x in li.identify(docs, m).collect())
+    assert rows_of(whole) == rows_of(small)
+    assert np.allclose(whole.limits, small.limits) and whole.temperature == small.temperature
